@@ -162,6 +162,21 @@ TYPE_KEYWORDS: dict[str, list[str]] = {
     "Observation": ["관찰", "기록", "증거", "데이터", "로그"],
     "Question": ["질문", "궁금", "미해결", "역설", "모순"],
 }
+SUGGEST_KEYWORDS: dict[str, list[str]] = {
+    "Decision": ["결정", "decided", "decision", "chose", "선택", "확정"],
+    "Failure": ["실패", "fail", "error", "버그", "mistake", "실수", "오류"],
+    "Pattern": ["패턴", "pattern", "반복", "recurring", "규칙", "매번"],
+    "Insight": ["통찰", "insight", "발견", "깨달음", "이해", "알게"],
+    "Principle": ["원칙", "principle", "기준", "철학", "approach", "방침"],
+    "Framework": ["프레임워크", "framework", "구조", "체계", "설계"],
+    "Goal": ["목표", "goal", "달성", "aim", "objective"],
+    "Signal": ["신호", "signal", "조짐", "경향", "징후"],
+    "Experiment": ["실험", "experiment", "테스트", "시도", "검증"],
+    "Observation": ["관찰", "observation", "noticed", "봤다", "기록"],
+    "Identity": ["정체성", "identity", "스타일", "선호", "습관"],
+    "Narrative": ["서사", "narrative", "이야기", "맥락", "비유"],
+    "Question": ["질문", "question", "궁금", "미해결", "역설"],
+}
 PARTICLE_SUFFIXES = [
     "에서", "으로", "하는", "해서", "하고", "에게", "처럼", "까지",
     "부터", "만큼", "라는", "라고", "이라", "에는",

@@ -81,6 +81,12 @@ def orphans(nodes: DataFrame, edges: DataFrame, rule: str = "active_both") -> Da
     return active(nodes).join(touched(pool), "id", "left_anti")
 
 
+def single_edge_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Active nodes with exactly one active edge."""
+    deg = endpoints(active(edges)).groupBy(F.col("nid").alias("id")).agg(F.count("*").alias("edge_count"))
+    return active(nodes).join(deg.where("edge_count = 1").select("id"), "id", "left_semi")
+
+
 def reasoning_edges(edges: DataFrame) -> DataFrame:
     """Active edges whose generation method takes part in traversal."""
     method = F.coalesce("generation_method", F.lit(""))
@@ -114,41 +120,53 @@ def best_edge_class(edges: DataFrame, seeds: DataFrame, found: DataFrame) -> Dat
             .withColumn("edge_class", F.coalesce("edge_class", F.lit(""))))
 
 
+def visits_of(nodes: DataFrame) -> DataFrame:
+    visits = F.when(F.coalesce("visit_count", F.lit(0)) > 0, F.col("visit_count")).otherwise(1)
+    return nodes.select("id", visits.cast("bigint").alias("visits"))
+
+
+def build_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Traversal adjacency of one snapshot, written once and read by every hop and request.
+
+    One row per (edge, end) of the live reasoning edges, with the neighbour's visits.
+    """
+    pool = endpoints(reasoning_edges(live_edges(nodes, edges)), "relation", "strength", "generation_method")
+    return cut_lineage(pool.join(visits_of(nodes).withColumnRenamed("id", "nbr"), "nbr"))
+
+
 def ucb_traverse(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = O.GRAPH_MAX_HOPS,
-                 width: int = O.TRAVERSAL_WIDTH, apply_penalty: bool = False) -> DataFrame:
+                 width: int = O.TRAVERSAL_WIDTH, apply_penalty: bool = False, graph: DataFrame | None = None) -> DataFrame:
     """Upper-confidence traversal: per hop the ``width`` best unvisited neighbours of each query.
 
     ``seeds`` has (qid, id, c). Parallel edges of one direction collapse to the
     latest; an outgoing edge is preferred to an incoming one. The frontier is
-    at most ``width`` rows per query, so every hop touches only its edges.
+    at most ``width`` rows per query, so it is broadcast to the adjacency and
+    only the edges it touches are shuffled.
     """
-    pool = endpoints(reasoning_edges(live_edges(nodes, edges)), "relation", "strength", "generation_method")
-    most = seeds.select("qid").distinct().count() * width
-    visits = nodes.select("id", F.when(F.coalesce("visit_count", F.lit(0)) > 0, F.col("visit_count"))
-                          .otherwise(1).alias("visits"))
-    seen, frontier, out = seeds.select("qid", "id"), seeds, None
+    graph = build_graph(nodes, edges) if graph is None else graph
+    n_seeds = seeds.count()
+    most = max(1, n_seeds) * width
+    frontier = held(seeds.join(visits_of(nodes), "id", "left")
+                    .select("qid", "c", "id", F.coalesce("visits", F.lit(1)).alias("n_i")), n_seeds)
+    seen, out = frontier.select("qid", "id"), None
     for _ in range(depth):
-        near = frontier.join(visits, "id").withColumnRenamed("visits", "n_i").withColumnRenamed("id", "nid")
-        hop = near.join(pool, "nid").select("qid", "c", "nid", "n_i", F.col("nbr").alias("id"), "out", "edge_id",
-                                            "relation", "strength", "generation_method")
-        hop = hop.join(seen, ["qid", "id"], "left_anti")
-        hop = best_row(hop, ["qid", "c", "nid", "n_i", "id"], F.struct("out", "edge_id"),
+        hop = (graph.join(F.broadcast(frontier.withColumnRenamed("id", "nid")), "nid")
+               .withColumnRenamed("nbr", "id").join(F.broadcast(seen), ["qid", "id"], "left_anti"))
+        hop = best_row(hop, ["qid", "c", "nid", "n_i", "id", "visits"], F.struct("out", "edge_id"),
                        ["relation", "strength", "generation_method"])
         weight = F.coalesce("strength", F.lit(0.1)) * O.family_weight(F.col("relation"))
         if apply_penalty:
             weight = weight + O.lookup(O.GENERATION_METHOD_PENALTY, F.col("generation_method"), 0.0)
         bonus = F.col("c") * F.sqrt(F.log(F.col("n_i") + 1.0) / (F.col("visits") + 1))
-        cls = O.edge_class(F.col("relation"))
-        hop = (hop.join(visits, "id")
-               .withColumn("score", F.round(F.greatest(weight, F.lit(0.0)) + bonus, 9))
-               .withColumn("edge_class", cls)
+        hop = (hop.withColumn("score", F.round(F.greatest(weight, F.lit(0.0)) + bonus, 9))
+               .withColumn("edge_class", O.edge_class(F.col("relation")))
                .withColumn("class_rank", O.lookup(O.EDGE_CLASS_RANK, F.col("edge_class"), 0)))
-        hop = best_row(hop, ["qid", "c", "id"], F.struct("score", "class_rank"), ["score", "edge_class"])
+        hop = best_row(hop, ["qid", "c", "id", "visits"], F.struct("score", "class_rank"), ["score", "edge_class"])
         picked = held(top_per_group(hop, ["qid"], [F.desc("score"), F.desc("id"), F.desc("edge_class")], width), most)
         found = picked.select("qid", "id", "edge_class")
         out = found if out is None else out.unionAll(found)
         seen = seen.unionAll(found.select("qid", "id"))
-        frontier = picked.select("qid", "id", "c")
+        frontier = picked.select("qid", "c", "id", F.col("visits").alias("n_i"))
     return out
 
 

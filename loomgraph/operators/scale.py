@@ -67,8 +67,11 @@ def shared_item_counts(log: DataFrame, node: str, group: str, min_shared: int) -
     per_node = pairs.groupBy("n").agg(F.count("*").alias("k")).where(F.col("k") >= min_shared)
     sizes = pairs.groupBy("g").agg(F.count("*").alias("size")).where(F.col("size") >= 2)
     live = pairs.join(per_node, "n").join(sizes, "g")
-    order = Window.partitionBy("n").orderBy("size", "g")
-    prefix = live.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= F.col("k") - min_shared + 1)
+    # the t - 1 largest groups of a node are outside its prefix; finding those is a rank limit
+    prefix = live
+    if min_shared > 1:
+        largest = top_per_group(live.select("n", "g", "size"), ["n"], [F.desc("size"), F.desc("g")], min_shared - 1)
+        prefix = live.join(largest.select("n", "g"), ["n", "g"], "left_anti")
     left, right = prefix.select("g", F.col("n").alias("a")), prefix.select("g", F.col("n").alias("b"))
     cand = left.join(right, "g").where("a < b").select("a", "b").distinct()
     slim = live.select("n", "g")
