@@ -233,7 +233,7 @@ TOP = f"{SCORED}, res AS (SELECT qid, id, type, project, source, node_role, scor
 def _ranked(t, k=15):
     qs = requests(t)
     out = R.score_candidates(t.nodes, t.edges, R.channels(t.nodes, t.edges, t.embeddings, qs), qs, AS_OF)
-    return out.where(F.col("rank") <= k)
+    return held(out.where(F.col("rank") <= k), len(qs) * k)
 
 
 @query("ret25_intent_filters", "RET23 RET25 FLT12", "nodes edges", f"""WITH {TOP}
