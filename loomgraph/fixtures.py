@@ -32,7 +32,7 @@ SELECT d.doc_id AS id,
  WORDS(d.text, 3) AS key_concepts,
  ARR(d.lang, d.source) AS domains,
  ARR(CASE d.doc_id % 4 WHEN 0 THEN 'developer' WHEN 1 THEN 'writer' WHEN 2 THEN 'researcher' ELSE 'other' END) AS facets,
- d.source AS project,
+ concat('src', CAST(IDIV(d.n_chars, 7) % 20 AS VARCHAR(20))) AS project,
  concat(d.lang, ', ', CASE WHEN l.toxic = 1 THEN 'Toxic' ELSE 'Plain' END) AS tags,
  CASE IDIV(d.n_chars, 16) % 14 WHEN 0 THEN 'user' WHEN 1 THEN 'claude' WHEN 2 THEN 'checkpoint' WHEN 3 THEN 'save_session'
   WHEN 4 THEN 'pdr' WHEN 5 THEN 'hook' WHEN 6 THEN 'obsidian:AGENTS.md' WHEN 7 THEN 'obsidian:03_tech-review\impl-a.md'
