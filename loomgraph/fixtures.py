@@ -138,7 +138,7 @@ FROM conversations WHERE role = 'user'
 """,
     "traits": r"""
 SELECT concat('t', CAST(item_id AS VARCHAR(20))) AS id,
- CASE item_id % 9 WHEN 0 THEN 'unclassified' WHEN 1 THEN 'preference' WHEN 2 THEN 'emotion' WHEN 3 THEN 'value'
+ CASE item_id % 9 WHEN 0 THEN 'unclassified' WHEN 1 THEN 'preference' WHEN 2 THEN 'emotion' WHEN 3 THEN 'thinking_style'
   WHEN 4 THEN 'metacognition' WHEN 5 THEN 'decision_style' WHEN 6 THEN 'language' WHEN 7 THEN 'connection' ELSE 'rhythm' END AS dimension,
  text AS content,
  CASE item_id % 4 WHEN 0 THEN 'provisional' WHEN 3 THEN CASE WHEN item_id % 3 = 0 THEN 'archived' ELSE 'verified' END ELSE 'verified' END AS status,
