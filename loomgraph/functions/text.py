@@ -82,7 +82,7 @@ def embed_text(content: Column, summary: Column, concepts: Column, node_type: Co
     body, raw = F.trim(F.coalesce(summary, F.lit(""))), F.trim(F.coalesce(content, F.lit("")))
     excerpt = F.trim(F.substring(raw, 1, 200))
     head = F.concat_ws(" | ", F.nullif(F.trim(node_type), F.lit("")), F.nullif(F.trim(project), F.lit("")))
-    words = F.array_join(F.filter(F.transform(concepts, F.trim), lambda c: c != ""), ", ")
+    words = F.array_join(F.filter(F.transform(concepts, lambda w: F.trim(w)), lambda c: c != ""), ", ")
     parts = [
         F.when(head != "", F.concat(F.lit("["), head, F.lit("]"))),
         F.when(body != "", body).otherwise(F.nullif(raw, F.lit(""))),
@@ -90,7 +90,7 @@ def embed_text(content: Column, summary: Column, concepts: Column, node_type: Co
         F.when(words != "", F.concat(F.lit("Keywords: "), words)),
     ]
     if queries is not None:
-        asked = F.array_join(F.filter(F.transform(queries, F.trim), lambda c: c != ""), ", ")
+        asked = F.array_join(F.filter(F.transform(queries, lambda w: F.trim(w)), lambda c: c != ""), ", ")
         parts.append(F.when(asked != "", F.concat(F.lit("Queries: "), asked)))
     return F.concat_ws("\n", *parts)
 

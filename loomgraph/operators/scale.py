@@ -90,3 +90,17 @@ def held(df: DataFrame, most: int) -> DataFrame:
     if len(rows) > most:
         raise ValueError(f"more than {most} rows in a frame declared bounded")
     return df.sparkSession.createDataFrame(rows, df.schema)
+
+
+def numbered(df: DataFrame, key: str, width: int, out: str) -> DataFrame:
+    """1-based position in the order of a numeric key, without one task sorting all rows.
+
+    Rows are ranked inside ranges of ``width`` key values; the ranges' sizes,
+    one row each, give the offset of every range.
+    """
+    b = df.withColumn("_b", F.floor(F.col(key) / width))
+    inner = b.withColumn("_pos", F.row_number().over(Window.partitionBy("_b").orderBy(key)))
+    size = b.groupBy("_b").agg(F.count("*").alias("_n"))
+    before = size.withColumn("_off", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return inner.join(before, "_b").withColumn(out, F.col("_off") + F.col("_pos")).drop("_b", "_pos", "_off")

@@ -46,16 +46,29 @@ def keywords(content: Column) -> Column:
     return F.slice(F.filter(F.split(F.coalesce(content, F.lit("")), r"\s+"), lambda w: F.length(w) >= 3), 1, 3)
 
 
-def evidence_boost(traits: DataFrame, evidence: DataFrame, claims: DataFrame, captures: DataFrame, target: int = 3,
-                   actor: str = "owner", max_words: int = 20000) -> DataFrame:
-    """New evidence rows for traits short of ``target``: claims of the owner that contain a key word.
-
-    A key word may sit anywhere inside the text, so no equality on words finds
-    it. The distinct key words (three per open trait) are counted; up to
-    ``max_words`` of them are matched in one pass over the claims, beyond that
-    in further passes. Each pass turns a claim into its (word, claim) pairs,
-    and the pairs meet the traits by an equi-join.
+def grams(text: Column) -> Column:
+    """Distinct three-letter pieces of a text of at least three letters."""
+    pieces = F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, 3))
+    return F.when(F.length(text) >= 3, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
+
+
+def containing(words: DataFrame, texts: DataFrame) -> DataFrame:
+    """(word, claim_id) for every text that contains a word of three letters or more, anywhere.
+
+    Each word is looked up by the rarest of its trigrams, an equi-join, and
+    only those candidates are compared; a trigram no text has ends the word.
     """
+    pieces = texts.select("claim_id", F.explode(grams(F.col("text"))).alias("g"))
+    freq = pieces.groupBy("g").agg(F.count("*").alias("df"))
+    rarest = (words.select("word", F.explode(grams(F.col("word"))).alias("g")).join(freq, "g", "left")
+              .groupBy("word").agg(F.min_by("g", F.struct(F.coalesce("df", F.lit(0)), F.col("g"))).alias("g")))
+    return (rarest.join(pieces, "g").join(texts, "claim_id").where(F.contains("text", F.col("word")))
+            .select("word", "claim_id"))
+
+
+def evidence_boost(traits: DataFrame, evidence: DataFrame, claims: DataFrame, captures: DataFrame, target: int = 3,
+                   actor: str = "owner") -> DataFrame:
+    """New evidence rows for traits short of ``target``: claims of the owner that contain a key word."""
     have = evidence.groupBy(F.col("trait_id").alias("id")).agg(F.count("*").alias("have"))
     short = (traits.where("status <> 'archived'").join(have, "id", "left")
              .withColumn("needed", F.lit(target) - F.coalesce("have", F.lit(0))).where("needed > 0"))
@@ -64,15 +77,7 @@ def evidence_boost(traits: DataFrame, evidence: DataFrame, claims: DataFrame, ca
     own = captures.where(F.col("actor") == actor).select(F.col("id").alias("capture_id"))
     pool = (claims.where((F.col("status") != "rejected") & (F.length("text") >= 20)).join(own, "capture_id", "left_semi")
             .select(F.col("id").alias("claim_id"), F.lower("text").alias("text")))
-    words = asked.select("word").distinct()
-    passes = max(1, -(-words.count() // max_words))
-    found = None
-    for p in range(passes):
-        part = [r[0] for r in words.where(F.pmod(F.xxhash64("word"), F.lit(passes)) == p).collect()]
-        lit = F.array(*[F.lit(w) for w in part]) if part else F.array().cast("array<string>")
-        hit = pool.select("claim_id", F.explode(F.filter(lit, lambda w: F.contains(F.col("text"), w))).alias("word"))
-        found = hit if found is None else found.unionAll(hit)
-    # a trait can use at most ``target`` claims and may already own some, so target + owned candidates per word suffice
+    found = containing(asked.select("word").distinct(), pool)
     cand = asked.join(found, "word").join(evidence.select("trait_id", "claim_id"), ["trait_id", "claim_id"], "left_anti")
     first = top_per_group(cand, ["trait_id", "word"], [F.col("claim_id")], target, "k").drop("k")
     once = top_per_group(first, ["trait_id", "claim_id"], [F.col("ord")], 1, "k").drop("k")
