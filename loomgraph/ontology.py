@@ -249,10 +249,18 @@ EDGE_CLASS = {r: cls for cls, members in EDGE_CLASS_MEMBERS.items() for r in mem
 ACTIVE_TYPES = [t for t in PROMOTE_LAYER if t != "Unclassified"]
 
 
+def sql_literal(value) -> str:
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else str(value)
+
+
 def lookup(table: Mapping, key: Column, default=None) -> Column:
     """Constant-table lookup; stays JVM-side and folds into the surrounding projection."""
-    pairs = [F.lit(x) for kv in table.items() if kv[1] is not None for x in kv]
-    found = F.try_element_at(F.create_map(*pairs), key)
+    pairs = ", ".join(sql_literal(x) for kv in table.items() if kv[1] is not None for x in kv)
+    found = F.try_element_at(F.expr(f"map({pairs})"), key)
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
@@ -294,7 +302,8 @@ def any_of(conditions: list[Column]) -> Column:
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
-    return any_of([F.contains(text, F.lit(w)) for w in words])
+    """Whether any of the words occurs, as one alternation of quoted words."""
+    return F.rlike(text, F.lit("|".join(f"\\Q{w}\\E" for w in words)))
 
 
 def all_of(conditions: list[Column]) -> Column:

@@ -86,8 +86,8 @@ def held(df: DataFrame, most: int) -> DataFrame:
     Only for frames whose row count is bounded by request parameters (top-k of
     the driver's own queries); the bound is checked.
     """
-    rows = df.limit(most + 1).collect()
-    if len(rows) > most:
+    rows = df.limit(most + 1).toArrow()
+    if rows.num_rows > most:
         raise ValueError(f"more than {most} rows in a frame declared bounded")
     return df.sparkSession.createDataFrame(rows, df.schema)
 

@@ -21,7 +21,7 @@ def lc26(t):
 
 @query("lc25_apply_answers", "LC25 LT1 LT2 LT3", "nodes", """SELECT id, substr(content, 1, 100) AS summary, array_to_string(string_split(content, ' ')[1:5], ',') AS key_concepts,
  array_to_string(list_concat(list_filter([trim(split_part(tags, ',', 1)), trim(split_part(tags, ',', 2))], lambda x: x <> ''), ['new']), ', ') AS tags,
- array_to_string(list_filter(['developer', 'writer', 'researcher'], lambda x: list_contains(facets, x) OR (x = 'developer' AND regexp_matches(lower(content || ' ' || source), '(?i)\\.claude/skills/|claude.*code|CLI|터미널|bash|python'))), ',') AS facets,
+ array_to_string(list_filter(['developer', 'designer', 'writer', 'researcher'], lambda x: list_contains(facets, x) OR (x = 'designer' AND regexp_matches(lower(content), '(?i)포트폴리오|디자인|UI|UX|레이아웃|타이포')) OR (x = 'developer' AND regexp_matches(lower(content || ' ' || source), '(?i)\\.claude/skills/|claude.*code|CLI|터미널|bash|python'))), ',') AS facets,
  CASE WHEN type = 'Tool' THEN 'art' ELSE '' END AS domains, round(least(1.0, greatest(0.0, coalesce(confidence * 1.5, 0.5))), 6) AS quality_score, CASE WHEN confidence > 0.8 AND promotion_candidate = 1 THEN 3 ELSE layer END AS layer FROM nodes""")
 def lc25(t):
     n = t.nodes
