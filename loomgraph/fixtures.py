@@ -63,9 +63,9 @@ FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
     # ids ending in 9 are never an endpoint, so orphans exist; a fifth of the edges ends in seven hubs
     "edges": r"""
 SELECT o.o_orderkey AS id,
- IDIV(o.o_orderkey % c.m, 9) * 10 + (o.o_orderkey % c.m) % 9 AS source_id,
+ IDIV(o.o_orderkey % o.m, 9) * 10 + (o.o_orderkey % o.m) % 9 AS source_id,
  CASE WHEN o.o_orderkey % 5 = 0 THEN o.o_custkey % 7
-  ELSE IDIV((o.o_custkey * 31 + 7) % c.m, 9) * 10 + ((o.o_custkey * 31 + 7) % c.m) % 9 END AS target_id,
+  ELSE IDIV((o.o_custkey * 31 + 7) % o.m, 9) * 10 + ((o.o_custkey * 31 + 7) % o.m) % 9 END AS target_id,
  CASE (o.o_orderkey + o.o_custkey) % 14 WHEN 0 THEN 'supports' WHEN 1 THEN 'contradicts' WHEN 2 THEN 'led_to'
   WHEN 3 THEN 'realized_as' WHEN 4 THEN 'succeeded_by' WHEN 5 THEN 'contains' WHEN 6 THEN 'connects_with'
   WHEN 7 THEN 'resolved_by' WHEN 8 THEN 'co_retrieved' WHEN 9 THEN 'realizes' WHEN 10 THEN 'influences'
@@ -81,12 +81,12 @@ SELECT o.o_orderkey AS id,
  CASE o.o_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'horizontal' ELSE 'upward' END AS direction,
  o.o_orderdate + INTERVAL 8280 DAY AS created_at,
  CASE WHEN o.o_orderkey % 3 = 0 THEN o.o_orderdate + INTERVAL 8310 DAY END AS last_activated
-FROM orders o CROSS JOIN (SELECT IDIV(COUNT(*) * 9, 10) AS m FROM documents) c
+FROM (SELECT x.*, (SELECT IDIV(COUNT(*) * 9, 10) FROM documents) AS m FROM orders x) o
 """,
     # rows without recall_id form the legacy (query, day) sessions, which are large
     "recall_log": r"""
 SELECT e.event_id AS id, e.event_type AS query,
- (e.user_id * 13 + e.event_id % 7) % c.n AS node_id,
+ (e.user_id * 13 + e.event_id % 7) % e.n AS node_id,
  CASE WHEN e.event_type = 'signup' THEN NULL
   ELSE concat(CAST(e.user_id AS VARCHAR(20)), '-', CAST(CAST(e.ts AS DATE) AS VARCHAR(10))) END AS recall_id,
  e.user_id AS user_id,
@@ -94,7 +94,7 @@ SELECT e.event_id AS id, e.event_type AS query,
  CASE e.event_id % 4 WHEN 0 THEN '["vector"]' WHEN 1 THEN '["fts5"]' WHEN 2 THEN '["fts5", "vector"]' ELSE '[]' END AS sources,
  CASE e.event_type WHEN 'error' THEN 'troubleshooting' ELSE 'generic' END AS mode,
  e.ts AS ts, CAST(e.ts AS DATE) AS day
-FROM events e CROSS JOIN (SELECT COUNT(*) AS n FROM documents) c
+FROM (SELECT x.*, (SELECT COUNT(*) FROM documents) AS n FROM events x) e
 """,
     "sessions": r"""
 SELECT c_custkey AS id, concat('s', CAST(c_custkey AS VARCHAR(20))) AS session_id,
@@ -148,23 +148,23 @@ FROM benchmark
 """,
     "trait_evidence": r"""
 SELECT concat('v', CAST(v.conv_id AS VARCHAR(20)), '-', CAST(v.turn AS VARCHAR(20))) AS id,
- concat('t', CAST((v.conv_id * 7 + v.turn) % c.n AS VARCHAR(20))) AS trait_id,
+ concat('t', CAST((v.conv_id * 7 + v.turn) % v.n AS VARCHAR(20))) AS trait_id,
  concat('c', CAST(v.conv_id AS VARCHAR(20)), '-', CAST(v.turn AS VARCHAR(20))) AS claim_id
-FROM conversations v CROSS JOIN (SELECT COUNT(*) AS n FROM benchmark) c WHERE v.role = 'user'
+FROM (SELECT x.*, (SELECT COUNT(*) FROM benchmark) AS n FROM conversations x) v WHERE v.role = 'user'
 """,
     "trait_conflicts": r"""
-SELECT l.doc_id AS id, concat('t', CAST((l.doc_id * 3) % c.n AS VARCHAR(20))) AS trait_id,
+SELECT l.doc_id AS id, concat('t', CAST((l.doc_id * 3) % l.n AS VARCHAR(20))) AS trait_id,
  CASE WHEN l.quality = 1 THEN 'correction' END AS conflicting_source_type,
  concat('conflict ', CAST(l.doc_id AS VARCHAR(20))) AS description,
  CASE WHEN l.toxic = 1 THEN 0 ELSE 1 END AS resolved
-FROM labels l CROSS JOIN (SELECT COUNT(*) AS n FROM benchmark) c
+FROM (SELECT x.*, (SELECT COUNT(*) FROM benchmark) AS n FROM labels x) l
 """,
     "feedback_events": r"""
 SELECT e.event_id AS id, CASE WHEN e.event_type = 'view' THEN 'node' WHEN e.event_type = 'error' THEN 'claim' ELSE 'trait' END AS target_type,
- concat('t', CAST((e.user_id % 5 * 3) % c.n AS VARCHAR(20))) AS target_id,
+ concat('t', CAST((e.user_id % 5 * 3) % e.n AS VARCHAR(20))) AS target_id,
  CASE WHEN e.event_type = 'click' THEN 'reject' WHEN e.event_type = 'purchase' THEN 'approve' ELSE 'flag' END AS feedback_type,
  e.ts AS created_at
-FROM events e CROSS JOIN (SELECT COUNT(*) AS n FROM benchmark) c
+FROM (SELECT x.*, (SELECT COUNT(*) FROM benchmark) AS n FROM events x) e
 """,
     "retrieval_logs": r"""
 SELECT event_id AS id, CASE WHEN event_type = 'signup' THEN '' ELSE concat('s', CAST(user_id AS VARCHAR(20))) END AS session_id,
@@ -185,8 +185,8 @@ FROM part
     # judgments of the items a user can meet: labelled documents among the seven of the user
     "goldset": r"""
 SELECT u.user_id AS qid, l.doc_id AS node_id, CASE WHEN l.quality = 1 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS grade
-FROM (SELECT DISTINCT e.user_id, (e.user_id * 13 + e.event_id % 7) % c.n AS node_id
-      FROM events e CROSS JOIN (SELECT COUNT(*) AS n FROM documents) c) u
+FROM (SELECT DISTINCT e.user_id, (e.user_id * 13 + e.event_id % 7) % e.n AS node_id
+      FROM (SELECT x.*, (SELECT COUNT(*) FROM documents) AS n FROM events x) e) u
 JOIN labels l ON l.doc_id = u.node_id WHERE l.toxic = 0
 """,
 }

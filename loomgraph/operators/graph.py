@@ -40,6 +40,19 @@ def live_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             .join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi"))
 
 
+def edges_at(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Active edges that end in one of a short list of ids (results or seeds of the driver's own requests).
+
+    The list is broadcast, so the edge table is scanned once and only the few
+    edges found are joined any further.
+    """
+    few = F.broadcast(ids.select("id", F.lit(True).alias("_hit")))
+    act = active(edges)
+    s = act.join(few.withColumnRenamed("id", "source_id").withColumnRenamed("_hit", "_s"), "source_id", "left")
+    both = s.join(few.withColumnRenamed("id", "target_id").withColumnRenamed("_hit", "_t"), "target_id", "left")
+    return both.where("_s OR _t").select(*edges.columns)
+
+
 def degree(edges: DataFrame) -> DataFrame:
     """Both ends counted, so a self-loop adds two."""
     return (edges.select(F.explode(F.array("source_id", "target_id")).alias("id"))
@@ -101,7 +114,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, depth: int = O.GRAPH_MAX_HOPS)
     """
     pool = endpoints(reasoning_edges(edges)).select("nid", "nbr")
     seen = seeds.select("qid", "id").distinct()
-    frontier = seen
+    frontier = F.broadcast(seen)  # seeds are a handful per request; later frontiers are left to AQE
     for _ in range(depth):
         step = (frontier.join(pool, frontier["id"] == pool["nid"])
                 .select("qid", F.col("nbr").alias("id")).distinct())
@@ -113,7 +126,8 @@ def reachable(edges: DataFrame, seeds: DataFrame, depth: int = O.GRAPH_MAX_HOPS)
 def best_edge_class(edges: DataFrame, seeds: DataFrame, found: DataFrame) -> DataFrame:
     """Strongest class among edges that join a found node to a seed directly; '' where there is none."""
     pool = endpoints(active(edges), "relation")
-    direct = (seeds.join(pool, seeds["id"] == pool["nid"])
+    few = F.broadcast(seeds)  # at most six per request
+    direct = (pool.join(few, few["id"] == pool["nid"])
               .select("qid", F.col("nbr").alias("id"), O.edge_class(F.col("relation")).alias("edge_class")))
     best = best_row(direct, ["qid", "id"], O.lookup(O.EDGE_CLASS_RANK, F.col("edge_class"), 0), ["edge_class"])
     return (found.join(best, ["qid", "id"], "left")
@@ -135,19 +149,19 @@ def build_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def ucb_traverse(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = O.GRAPH_MAX_HOPS,
-                 width: int = O.TRAVERSAL_WIDTH, apply_penalty: bool = False, graph: DataFrame | None = None) -> DataFrame:
+                 width: int = O.TRAVERSAL_WIDTH, apply_penalty: bool = False, graph: DataFrame | None = None,
+                 max_rows: int = 100_000) -> DataFrame:
     """Upper-confidence traversal: per hop the ``width`` best unvisited neighbours of each query.
 
     ``seeds`` has (qid, id, c). Parallel edges of one direction collapse to the
     latest; an outgoing edge is preferred to an incoming one. The frontier is
-    at most ``width`` rows per query, so it is broadcast to the adjacency and
-    only the edges it touches are shuffled.
+    at most ``width`` rows per query (``max_rows`` in all, which is checked),
+    so it is broadcast to the adjacency and only the edges it touches are shuffled.
     """
     graph = build_graph(nodes, edges) if graph is None else graph
-    n_seeds = seeds.count()
-    most = max(1, n_seeds) * width
-    frontier = held(seeds.join(visits_of(nodes), "id", "left")
-                    .select("qid", "c", "id", F.coalesce("visits", F.lit(1)).alias("n_i")), n_seeds)
+    known = visits_of(nodes).join(F.broadcast(seeds.select("id").distinct()), "id", "left_semi")
+    frontier = held(seeds.join(F.broadcast(held(known, max_rows)), "id", "left")
+                    .select("qid", "c", "id", F.coalesce("visits", F.lit(1)).alias("n_i")), max_rows)
     seen, out = frontier.select("qid", "id"), None
     for _ in range(depth):
         hop = (graph.join(F.broadcast(frontier.withColumnRenamed("id", "nid")), "nid")
@@ -162,7 +176,7 @@ def ucb_traverse(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: in
                .withColumn("edge_class", O.edge_class(F.col("relation")))
                .withColumn("class_rank", O.lookup(O.EDGE_CLASS_RANK, F.col("edge_class"), 0)))
         hop = best_row(hop, ["qid", "c", "id", "visits"], F.struct("score", "class_rank"), ["score", "edge_class"])
-        picked = held(top_per_group(hop, ["qid"], [F.desc("score"), F.desc("id"), F.desc("edge_class")], width), most)
+        picked = held(top_per_group(hop, ["qid"], [F.desc("score"), F.desc("id"), F.desc("edge_class")], width), max_rows)
         found = picked.select("qid", "id", "edge_class")
         out = found if out is None else out.unionAll(found)
         seen = seen.unionAll(found.select("qid", "id"))

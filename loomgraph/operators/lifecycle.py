@@ -30,8 +30,8 @@ def now(as_of: str) -> Column:
 
 
 def days_since(as_of: str, stamp: Column) -> Column:
-    gap = F.unix_timestamp(now(as_of).cast("timestamp")) - F.unix_timestamp(stamp.cast("timestamp"))
-    return F.greatest(F.floor(gap / 86400), F.lit(0))
+    """Whole days from a zone-less stamp; a stamp in the future counts as today."""
+    return F.greatest(F.extract(F.lit("DAY"), now(as_of) - stamp), F.lit(0))
 
 
 def older_than(as_of: str, stamp: Column, days: int) -> Column:
@@ -100,7 +100,7 @@ def hebbian_update(nodes: DataFrame, edges: DataFrame, results: DataFrame, as_of
     answer of the driver's own requests and is broadcast; edges are scanned once.
     """
     asked = F.broadcast(results.select("qid", "id").distinct())
-    pool = G.reasoning_edges(G.live_edges(nodes, edges))
+    pool = G.live_edges(nodes, G.edges_at(G.reasoning_edges(edges), results.select("id").distinct()))
     src = pool.join(asked.withColumnRenamed("id", "source_id"), "source_id").select("qid", "id", F.lit(1).alias("s"), F.lit(0).alias("t"))
     tgt = pool.join(asked.withColumnRenamed("id", "target_id"), "target_id").select("qid", "id", F.lit(0).alias("s"), F.lit(1).alias("t"))
     ends = src.unionAll(tgt).groupBy("qid", "id").agg(F.max("s").alias("s"), F.max("t").alias("t"))
@@ -257,7 +257,7 @@ def node_prune_candidates(nodes: DataFrame, edges: DataFrame, as_of: str, protec
     out = (poor.join(deg, "id", "left").withColumn("edge_count", F.coalesce("edge_count", F.lit(0).cast("bigint")))
            .where("edge_count < 3"))
     if protected is not None:
-        out = out.join(F.broadcast(protected.select("id", F.lit(True).alias("hub"))), "id", "left")
+        out = out.join(protected.select("id", F.lit(True).alias("hub")), "id", "left")
     else:
         out = out.withColumn("hub", F.lit(False))
     out = out.select("id", "edge_count", F.coalesce("quality_score", F.lit(0.0)).alias("quality"),

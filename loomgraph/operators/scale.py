@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.session import cut_lineage
+
 
 def top_per_group(df: DataFrame, keys: list, order: list[Column], k: int, rank: str = "rn") -> DataFrame:
     """First ``k`` rows per key, with their rank.
@@ -66,7 +68,7 @@ def shared_item_counts(log: DataFrame, node: str, group: str, min_shared: int) -
     pairs = log.select(F.col(node).alias("n"), F.col(group).alias("g")).distinct()
     per_node = pairs.groupBy("n").agg(F.count("*").alias("k")).where(F.col("k") >= min_shared)
     sizes = pairs.groupBy("g").agg(F.count("*").alias("size")).where(F.col("size") >= 2)
-    live = pairs.join(per_node, "n").join(sizes, "g")
+    live = cut_lineage(pairs.join(per_node, "n").join(sizes, "g"))  # narrow, and read five times below
     # the t - 1 largest groups of a node are outside its prefix; finding those is a rank limit
     prefix = live
     if min_shared > 1:
@@ -74,9 +76,15 @@ def shared_item_counts(log: DataFrame, node: str, group: str, min_shared: int) -
         prefix = live.join(largest.select("n", "g"), ["n", "g"], "left_anti")
     left, right = prefix.select("g", F.col("n").alias("a")), prefix.select("g", F.col("n").alias("b"))
     cand = left.join(right, "g").where("a < b").select("a", "b").distinct()
+    # count over the shorter history of the two, so that a node seen everywhere is not expanded per partner
+    ka = per_node.select(F.col("n").alias("a"), F.col("k").alias("ka"))
+    kb = per_node.select(F.col("n").alias("b"), F.col("k").alias("kb"))
+    a_first = F.col("ka") <= F.col("kb")
+    sided = cand.join(ka, "a").join(kb, "b").select(
+        "a", "b", F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("n"),
+        F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("m"))
     slim = live.select("n", "g")
-    hits = (cand.join(slim.withColumnRenamed("n", "a"), "a")
-            .join(slim.withColumnRenamed("n", "b"), ["b", "g"]))
+    hits = sided.join(slim, "n").join(slim.withColumnRenamed("n", "m"), ["m", "g"], "left_semi")
     return hits.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
 
 

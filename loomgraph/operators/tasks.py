@@ -64,13 +64,12 @@ def cycle_edges(deps: DataFrame, proposed: DataFrame) -> DataFrame:
 
 
 def query_tasks(tasks: DataFrame, deps: DataFrame, limit: int | None = 10, status: str = "", **equal) -> DataFrame:
+    """Open tasks in order of priority and age, one row per blocker (null where there is none)."""
     rows = filtered(tasks, status=status or ["ready", "in_progress"], **equal)
     if limit:
         rows = rows.orderBy("priority", "created_at", "id").limit(limit)
-    lists = deps.join(rows.select(F.col("id").alias("task_id")), "task_id", "left_semi").groupBy(F.col("task_id").alias("id")).agg(
-        F.array_join(F.sort_array(F.collect_list(F.col("blocked_by"))).cast("array<string>"), ",").alias("blocked_by"))
-    return rows.join(lists, "id", "left").select("id", "title", "project", "status", "priority",
-                                                 F.coalesce("blocked_by", F.lit("")).alias("blocked_by"))
+    return rows.join(deps.withColumnRenamed("task_id", "id"), "id", "left").select(
+        "id", "title", "project", "status", "priority", "blocked_by")
 
 
 def next_lines(tasks: DataFrame, project: str = "", limit: int = 10) -> DataFrame:

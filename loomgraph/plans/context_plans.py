@@ -124,8 +124,8 @@ def ts03(t):
     return K.cycle_edges(t.task_deps, proposed)
 
 
-@query("ts04_open_tasks", "TS4 FLT1 AG7", "tasks task_deps", """SELECT t.id, title, project, status, priority, coalesce((SELECT string_agg(CAST(blocked_by AS VARCHAR), ',' ORDER BY blocked_by) FROM task_deps d WHERE d.task_id = t.id), '') AS blocked_by
-FROM tasks t WHERE status IN ('ready', 'in_progress') AND project = 'src3'""")
+@query("ts04_open_tasks", "TS4 FLT1", "tasks task_deps", """SELECT t.id, title, project, status, priority, d.blocked_by FROM tasks t LEFT JOIN task_deps d ON d.task_id = t.id
+WHERE status IN ('ready', 'in_progress') AND project = 'src3'""")
 def ts04(t):
     return K.query_tasks(t.tasks, t.task_deps, limit=None, project="src3")
 

@@ -144,8 +144,8 @@ CHANNELS = (f"{vec_sql('v', K * 4)}, {txt_sql(K * 4)}, {assist_sql(K * 4)}, {SEE
 def _seeds(t):
     qs = requests(t)
     vec = search(corpus(t), [VectorQuery(q.qid, q.vector) for q in qs], K * 4)
-    txt = R.two_letter_assist(t.nodes, qs, R.text_search(t.nodes, qs, K * 4), K * 4)
-    return qs, held(R.seeds_of(vec, txt), len(qs) * 6)
+    txt = R.two_letter_assist(t.nodes, qs, held(R.text_search(t.nodes, qs, K * 4), 60), K * 4)
+    return qs, R.seeds_of(held(vec, 60), held(txt, 400))
 
 
 @query("gr01_reachable_two_hops", "GR1 GR2 RET7 RET10 SO1 SO2 SO3", "nodes edges",

@@ -36,6 +36,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomgraph-ckpt-"))
     return df.checkpoint(eager=True)
