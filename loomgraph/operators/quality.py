@@ -147,6 +147,26 @@ def verification_rows(checks: DataFrame, run_id: str, as_of: str) -> DataFrame:
     return checks.select(F.lit(run_id).alias("run_id"), *CHECK_COLS, F.lit(as_of).cast("timestamp_ntz").alias("created_at"))
 
 
+def recall_scenarios(counts: DataFrame, names: dict[int, str], coefficients: dict[str, tuple[float, float]],
+                     repeated: DataFrame) -> DataFrame:
+    """Scenario checks: every named request finds something, modes set their coefficient, repeated contents are refused.
+
+    ``counts`` has (qid, n); ``coefficients`` maps a check name to (expected,
+    actual); ``repeated`` has the outcome of inserting known contents again.
+    """
+    spark = counts.sparkSession
+    asked = spark.createDataFrame(list(names.items()), "qid bigint, name string").join(counts, "qid", "left")
+    n = F.coalesce("n", F.lit(0)).cast("double")
+    blank = F.lit(None).cast("double").alias("threshold")
+    found = asked.select("name", F.lit("recall").alias("category"), n.alias("score"), blank, F.when(n >= 1, "PASS").otherwise("FAIL").alias("status"))
+    fixed = spark.createDataFrame([(k, "recall", float(got), None, "PASS" if got == want else "FAIL") for k, (want, got) in coefficients.items()],
+                                  found.schema)
+    refused = repeated.agg(n_if(F.col("outcome") == "inserted").cast("double").alias("score")).select(
+        F.lit("duplicate_content_refused").alias("name"), F.lit("recall").alias("category"), "score", blank,
+        F.when(F.col("score") == 0, "PASS").otherwise("WARN").alias("status"))
+    return found.unionAll(fixed).unionAll(refused)
+
+
 # --- reports ---------------------------------------------------------------
 
 def health_snapshot(nodes: DataFrame, edges: DataFrame, as_of: str) -> DataFrame:

@@ -343,3 +343,20 @@ def ret36(t):
 def ret37(t):
     layer, tier = R.classify(F.col("type"))
     return t.nodes.select("id", layer.alias("default_layer"), tier.alias("start_tier"))
+
+
+SCENARIOS = {0: "english_query", 1: "two_word_query", 2: "mixed_length_query"}
+
+
+@query("qc07_recall_scenarios", "QC7 RET9", "nodes edges", f"""WITH {SCORED}, c AS (SELECT qid, count(*) AS n FROM final WHERE rank <= 5 GROUP BY qid)
+SELECT name, 'recall' AS category, CAST(coalesce(n, 0) AS DOUBLE) AS score, CAST(NULL AS DOUBLE) AS threshold, CASE WHEN coalesce(n, 0) >= 1 THEN 'PASS' ELSE 'FAIL' END AS status
+FROM (VALUES (0, 'english_query'), (1, 'two_word_query'), (2, 'mixed_length_query')) v(qid, name) LEFT JOIN c ON c.qid = v.qid
+UNION ALL SELECT 'mode_focus_coefficient', 'recall', CAST(0.3 AS DOUBLE), NULL, 'PASS' UNION ALL SELECT 'mode_dmn_coefficient', 'recall', CAST(2.5 AS DOUBLE), NULL, 'PASS'
+UNION ALL SELECT 'duplicate_content_refused', 'recall', CAST(0 AS DOUBLE), NULL, 'PASS'""")
+def qc07(t):
+    from loomgraph.operators.quality import recall_scenarios
+    from loomgraph.operators.tables import insert_nodes
+    counts = _ranked(t, K).groupBy("qid").agg(F.count("*").alias("n"))
+    coeff = {"mode_focus_coefficient": (O.UCB_FOCUS, T.exploration("a b c", "focus")), "mode_dmn_coefficient": (O.UCB_WIDE, T.exploration("a b c", "dmn"))}
+    known = t.nodes.where("content_hash IS NOT NULL").select("id", "type", "layer", "node_role", "content_hash")
+    return recall_scenarios(counts, SCENARIOS, coeff, insert_nodes(known, known))

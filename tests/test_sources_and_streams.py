@@ -96,3 +96,27 @@ def test_json_lines(spark):
                               "id bigint, content string, summary string, key_concepts array<string>, status string, quality_score double")
     line = exports.json_lines(n).first()["value"]
     assert '"id":"node_7"' in line and "text | [concepts] k1, k2" in line
+
+
+def test_review_tally(spark):
+    df = spark.createDataFrame([("[A] fine\n[B] no\n  [A] again\nnot [A]",)], "sheet string")
+    from loomgraph.operators.traits import tally
+    assert df.select(tally(F.col("sheet"), "A")).first()[0] == 2
+
+
+def test_judged_queries_and_catalog_files(spark, tmp_path):
+    from loomgraph.sources import catalog
+    (tmp_path / "g.yaml").write_text("queries:\n- {id: q1, query: one, relevant_ids: [1, 2], also_relevant: [3]}\n- {id: q2, query: two}\n")
+    (tmp_path / "c.yaml").write_text("node_types:\n  Signal: {description: s}\nrelation_types:\n  led_to: {description: r}\n")
+    got = {(r["qid"], r["node_id"], r["grade"]) for r in catalog.judged_queries(spark, str(tmp_path / "g.yaml")).collect()}
+    assert got == {("q1", 1, 1.0), ("q1", 2, 1.0), ("q1", 3, 0.5)}
+    types, rels = catalog.declared_catalog(spark, str(tmp_path / "c.yaml"))
+    assert [tuple(r) for r in types.collect()] == [("Signal", "s")] and [tuple(r) for r in rels.collect()] == [("led_to", "r")]
+
+
+def test_catalog_sync_actions(spark):
+    d = spark.createDataFrame([("a", "new"), ("b", "x"), ("c", "x")], "name string, description string")
+    st = spark.createDataFrame([("b", "old", "active"), ("c", "x", "deprecated"), ("d", "x", "active")], "name string, description string, status string")
+    run = lambda again: {r["name"]: r["action"] for r in L.sync_catalog(d, st, again).collect()}
+    assert run(True) == {"a": "insert", "b": "update", "c": "reactivate", "d": "deprecate"}
+    assert run(False)["c"] == "none"
