@@ -17,7 +17,7 @@ BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "li
                "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 # Templates are ANSI SQL plus a few dialect marks: TS, IDIV(a,b), SHA256(x),
-# WORDS(x,n) = first n space-separated words in lower case, ARR(..), WHEN_ARR.
+# WORDS(x,n) = first n space-separated words in lower case, ARR(..) = list of values.
 TEMPLATES: dict[str, str] = {
     "nodes": r"""
 SELECT d.doc_id AS id,

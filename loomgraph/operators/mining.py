@@ -12,17 +12,18 @@ from loomgraph.operators.scale import shared_item_counts, top_per_group
 
 
 def co_retrieval(log: DataFrame, edges: DataFrame, min_count: int = 5, hub_percentile: int = 95,
-                 exclude_queries: list[str] | None = None, archive_existing: bool = False) -> DataFrame:
+                 exclude_queries: list[str] | None = None, archive_existing: bool = False,
+                 legacy_stamp: str = "ts") -> DataFrame:
     """Edge upserts for node pairs that were retrieved together often enough.
 
-    Sessions are recall ids, or (query, day) where a row has none; the
+    Sessions are recall ids, or (query, ``legacy_stamp``) where a row has none; the
     threshold applies to each kind before the counts are added. A pair of two
     hubs is skipped.
     """
     if exclude_queries:
         log = log.where(~F.col("query").isin(exclude_queries))
     named = log.where("recall_id IS NOT NULL").select("node_id", F.col("recall_id").alias("grp"))
-    legacy = log.where("recall_id IS NULL").select("node_id", F.concat_ws("|", "query", F.col("day").cast("string")).alias("grp"))
+    legacy = log.where("recall_id IS NULL").select("node_id", F.concat_ws("|", "query", F.col(legacy_stamp).cast("string")).alias("grp"))
     counts = (shared_item_counts(named, "node_id", "grp", min_count)
               .unionAll(shared_item_counts(legacy, "node_id", "grp", min_count))
               .groupBy("a", "b").agg(F.sum("shared").alias("co_count")))
@@ -134,7 +135,9 @@ def similar_pairs(nodes: DataFrame, threshold: float = 0.15) -> DataFrame:
     """
     floor = 1.0 - threshold
     concepts = F.array_sort(F.array_distinct(F.transform("key_concepts", lambda c: F.lower(F.trim(c)))))
-    rows = (G.active(nodes).select("id", "type", "project", concepts.alias("concepts")).where(F.size("concepts") > 0)
+    blank = F.lit("")
+    rows = (G.active(nodes).select("id", F.coalesce("type", blank).alias("type"), F.coalesce("project", blank).alias("project"),
+                                   concepts.alias("concepts")).where(F.size("concepts") > 0)
             .withColumn("sig", F.array_join("concepts", "\u001f")))
     profiles = rows.groupBy("sig", "type", "project").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
     sets = rows.select("sig", "concepts").distinct()

@@ -36,7 +36,9 @@ def duplicate_groups(df: DataFrame, keys: list[str], order: list[Column], payloa
     groups = (df.groupBy(*keys).agg(F.count("*").alias("group_size"), keeper)
               .where(F.col("group_size") > 1)
               .select(*keys, "group_size", F.col("_first.id").alias("keep_id")))
-    return df.select(*keys, *payload).join(groups, keys)
+    rows = df.select(*keys, *payload)
+    same = [rows[k].eqNullSafe(groups[k]) for k in keys]  # rows without a project are a group too
+    return rows.join(groups, same).select(*[rows[c] for c in rows.columns], "group_size", "keep_id")
 
 
 def carry_previous(df: DataFrame, key: str, bucket: Column, order: list[str], value: str, out: str) -> DataFrame:

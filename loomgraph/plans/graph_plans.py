@@ -135,7 +135,7 @@ SELECT p.a AS source_id, p.b AS target_id, CAST(p.co_count AS BIGINT) AS co_coun
  CASE WHEN o.edge_id IS NULL THEN 'insert' ELSE 'update' END AS action
 FROM pairs p LEFT JOIN old o ON o.source_id = p.a AND o.target_id = p.b WHERE NOT (p.a IN (FROM hub) AND p.b IN (FROM hub))""")
 def gr20(t):
-    return M.co_retrieval(t.recall_log, t.edges, min_count=3)
+    return M.co_retrieval(t.recall_log, t.edges, min_count=3, legacy_stamp="day")
 
 
 def _cross_sql(f):
