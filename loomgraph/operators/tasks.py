@@ -46,8 +46,9 @@ def dependents(deps: DataFrame, start: DataFrame, hops_per_round: int = 4, max_r
     frontier = seen
     for _ in range(max_rounds):
         hop, found = frontier, None
-        for _ in range(hops_per_round):
-            hop = hop.join(deps, hop["id"] == deps["blocked_by"]).select("root", F.col("task_id").alias("id")).distinct()
+        for i in range(hops_per_round):
+            hop = hop.join(deps, hop["id"] == deps["blocked_by"]).select("root", F.col("task_id").alias("id"))
+            hop = hop.distinct() if i == 1 else hop  # parallel ways are folded halfway and at the end
             found = hop if found is None else found.unionAll(hop)
         frontier = cut_lineage(found.distinct().join(seen, ["root", "id"], "left_anti"))
         if frontier.isEmpty():
