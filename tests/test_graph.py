@@ -118,3 +118,27 @@ def test_similar_pairs_counts_all_pairs_of_larger_sets(spark):
     want = sum(1 for a, b in itertools.combinations(rows, 2)
                if (a[1] == b[1] or a[2] == b[2]) and len(set(a[4]) & set(b[4])) / len(set(a[4]) | set(b[4])) >= 0.85)
     assert got == want
+
+
+def test_dense_clusters_equal_the_greedy_walk(spark):
+    rnd = random.Random(6)
+    edges = [(i, rnd.randrange(40), rnd.randrange(40)) for i in range(160)]
+    status = {i: "archived" if i % 9 == 0 else "active" for i in range(40)}
+    nf = spark.createDataFrame(list(status.items()), "id bigint, status string")
+    ef = spark.createDataFrame(edges, "id bigint, source_id bigint, target_id bigint")
+    deg, near = {}, {}
+    for _, s, t in edges:
+        for a, b in ((s, t), (t, s)):
+            deg[a] = deg.get(a, 0) + 1
+            near.setdefault(a, set()).add(b)
+    want, taken = [], set()
+    for seed in sorted(deg, key=lambda n: (-deg[n], n))[:50]:
+        members = sorted(near[seed])[:7]
+        if seed in taken or len(members) + 1 < 5:
+            continue
+        if sum(status[m] == "active" for m in members) + (status[seed] == "active") < 5:
+            continue
+        want.append((seed, members))
+        taken |= {seed, *members}
+    got = [(r["seed"], r["members"]) for r in G.dense_clusters(nf, ef, min_size=5, max_size=8).collect()]
+    assert sorted(got) == sorted(want)
