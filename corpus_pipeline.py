@@ -4,12 +4,57 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from loomgraph.llm import bpe, exact_dedup, minhash, mixing, quality
 from loomgraph.llm.common import frozen
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose posterior of good quality is at least one half."""
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text."""
+    dropped = exact_dedup.dedup(docs).where("not kept").select("doc_id")
+    return without(docs, dropped)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies."""
+    dropped = minhash.near_duplicates(docs).where("not kept").select("doc_id")
+    return without(docs, dropped)
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Ids are sent to the documents while they are few (8 bytes each); else Spark joins both by id. Rows without an id stay."""
+    dropped = frozen(dropped.where("doc_id is not null").distinct(), "dropped")
+    few = dropped.count() <= 1_000_000
+    return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture: a document once for every pass over it; the texts of partial passes are the blocks that were drawn."""
+    rows = frozen(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    sizes = mixing.measured(rows)
+    draws = mixing.mix(sizes, mixing.targets(sizes))
+    texts = mixing.mixed_texts(rows, draws).withColumn("n_chars", F.length("text").cast("long"))
+    return texts.select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, with digests of the ids and of what they decode to."""
+    return bpe.digests(bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS), with_ids=True)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", good_quality), ("exact_dedup", without_copies), ("near_dedup", without_near_copies), ("mixing", mixed), ("tokens", tokens),
+]
 #: Stages with learnt models, sketches and tokenizers have no SQL form.
 ORACLE_SQL = None
 
