@@ -12,14 +12,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import shared_path
+from loomgraph.llm.common import frozen, shared_path
 
 ROCKS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # megabytes ahead for each of many small states
 }
 
+#: Groups (70 bytes each) up to which their digests are sent to the scans instead of the texts to the digests.
+HELD = 200_000
+
 
 def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
@@ -93,12 +97,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", diges
 def verify(rows: DataFrame, hits: DataFrame, digest) -> DataFrame:
     """Digests of hits (doc_id, digest, keep_id) whose bytes differ from the bytes of the row that stays.
 
-    Texts are read only of rows in a group. A keeper is one row a digest, so the join's large side can be split where a
+    Only texts of rows in a group go further than the scan. A keeper is one row a digest, so the join's large side can be split where a
     group is hot.
     """
     keyed = rows.withColumn("digest", digest(F.col("text")).cast("string"))
-    ids = hits.select("digest", "keep_id").distinct()
-    members = keyed.join(ids, "digest")
+    ids = frozen(hits.select("digest", "keep_id").distinct(), "hits")
+    members = frozen(keyed.join(F.broadcast(ids) if ids.count() <= HELD else ids, "digest"), "members")
     keepers = members.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.max("text").alias("kept_text"))
     return members.join(keepers, "digest").where(F.col("text") != F.col("kept_text")).select("digest")
 
