@@ -30,7 +30,9 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stri
 
 from loomgraph.llm.common import partitions
 
-PACKED = "block string, target string, kind int, bucket int, n int, keys binary, counts binary, pack binary"
+#: Bytes of text, or pre-tokens, that a task handles at a time.
+SLICE = 2_000_000
+PACKED = "block string, target string, kind int, bucket int, n int, keys binary, counts binary, ranks binary, pack binary"
 
 
 @functools.lru_cache(2)
@@ -107,12 +109,12 @@ def _from_planes(pack: bytes) -> np.ndarray:
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """start, start + 1, ... for every (start, size), one after the other."""
-    out = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
+    out = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
     return out + np.arange(len(out))
 
 
-def pretokens(texts: pa.Array, pattern) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """(code of every pre-token, number of pre-tokens of each text, the distinct pre-tokens by code).
+def pretokens(texts: pa.Array, pattern, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(code of every pre-token, number of pre-tokens of each text); `words` holds the codes and gains the new words.
 
     Texts are cut before single spaces first, so that the pattern runs once over each distinct chunk (a space and what
     follows up to the next one). Where a space has white space on both sides, a match can cross the cut; such neighbouring
@@ -130,7 +132,6 @@ def pretokens(texts: pa.Array, pattern) -> tuple[np.ndarray, np.ndarray, list[by
     crossing = blank[codes[:-1], 1] & blank[codes[1:], 0] & ~first[1:]
     whole = np.unique(text_of[1:][crossing])
 
-    words: dict[str, int] = {}
     found: list[int] = []
     sizes: list[int] = []
 
@@ -151,7 +152,18 @@ def pretokens(texts: pa.Array, pattern) -> tuple[np.ndarray, np.ndarray, list[by
     starts = np.concatenate([[0], np.cumsum(size_of)[:-1]]).astype(np.int64)
     stream = codes_found[_spread(starts[inverse], size_of[inverse])] if len(inverse) else codes_found
     counts = np.bincount(text_of, weights=size_of[inverse], minlength=len(ends) - 1).astype(np.int64)
-    return stream, counts, [w.encode() for w in words]
+    return stream.astype(np.uint32), counts
+
+
+def slices(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Neighbouring rows, (first, end), of at most `most` in sum, or one row."""
+    out, start, total = [], 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if total and total + size > most:
+            out.append((start, i))
+            start, total = i, 0
+        total += size
+    return [*out, (start, len(sizes))]
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
@@ -170,7 +182,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         for at, batch in enumerate(batches):
             if not batch.num_rows:
                 continue
-            stream, counts, words = pretokens(batch.column("text"), compiled)
+            texts, known = batch.column("text"), {}
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+            pieces = [pretokens(texts.slice(a, b - a), compiled, known) for a, b in slices(sizes, SLICE)]
+            stream, counts = (np.concatenate(x) for x in zip(*pieces, strict=True))
+            words = [w.encode() for w in known]
+            del known, pieces
             block = f"{part}-{at}"
             keys = pa.table({"key": batch.column("key")})
             sink = pa.BufferOutputStream()
@@ -184,15 +201,19 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             # a word's index: bucket by bucket, sorted within
             index = np.empty(len(words), np.int64)
             index[order[np.argsort(bucket_of[order], kind="stable")]] = np.arange(len(words))
+            by_rank = np.argsort(-np.bincount(stream, minlength=len(words)), kind="stable")  # frequent words get small numbers, which compress
+            rank = np.empty(len(words), np.int64)
+            rank[by_rank] = np.arange(len(words))
             filled = [b for b in range(buckets) if lists[b]]
             out = {
                 "block": [block] * (1 + len(filled)), "target": ["b" + block, *(f"w{b}" for b in filled)],
                 "kind": [0, *[1] * len(filled)], "bucket": [-1, *filled], "n": [len(stream), *(len(lists[b]) for b in filled)],
                 "keys": [sink.getvalue().to_pybytes(), *[None] * len(filled)],
                 "counts": [counts.astype("<i8").tobytes(), *[None] * len(filled)],
-                "pack": [_planes(index[stream]), *(_pack(lists[b]) for b in filled)],
+                "ranks": [_planes(index[by_rank]), *[None] * len(filled)],
+                "pack": [_planes(rank[stream]), *(_pack(lists[b]) for b in filled)],
             }
-            schema = schema or pa.schema([("block", pa.string()), ("target", pa.string()), ("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("pack", pa.binary())])
+            schema = schema or pa.schema([("block", pa.string()), ("target", pa.string()), ("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("ranks", pa.binary()), ("pack", pa.binary())])
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     def encoded(table: pa.Table) -> pa.Table:
@@ -216,14 +237,19 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         own, lists = rows[0], [ids for r in rows[1:] for ids in _unpack(r["pack"], r["n"])]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
         ids_of = np.frombuffer(b"".join(lists), "<u4")
-        index, counts = _from_planes(own["pack"]).astype(np.int64), np.frombuffer(own["counts"], "<i8")
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(sizes) else np.zeros(0, np.int64)
-        ids = ids_of[_spread(starts[index], sizes[index])] if len(index) else np.zeros(0, "<u4")
-        token_ends = np.concatenate([[0], np.cumsum(sizes[index])])[np.concatenate([[0], np.cumsum(counts)])]
+        index, counts = _from_planes(own["ranks"])[_from_planes(own["pack"])], np.frombuffer(own["counts"], "<i8")
+        starts = np.cumsum(sizes) - sizes
+        ids, lengths = [], [np.zeros(1, np.int64)]
+        for a in range(0, len(index), SLICE):
+            part = index[a : a + SLICE]
+            ids.append(ids_of[_spread(starts[part], sizes[part])].astype(np.int32))
+            lengths.append(np.cumsum(sizes[part]) + lengths[-1][-1])
+        ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        token_ends = np.concatenate(lengths)[np.concatenate([[0], np.cumsum(counts)])]
         keys = pa.ipc.open_stream(own["keys"]).read_all().column("key").combine_chunks()
         return pa.table({
             "doc_id": keys,
-            "ids": pa.ListArray.from_arrays(pa.array(token_ends, pa.int32()), pa.array(ids.astype(np.int32))),
+            "ids": pa.ListArray.from_arrays(pa.array(token_ends, pa.int32()), pa.array(ids)),
         })
 
     out = StructType([StructField("doc_id", LongType()), StructField("ids", ArrayType(IntegerType()))])
@@ -240,6 +266,20 @@ def token_bytes(ranks_path: str) -> pa.BinaryArray:
     return pa.array(table, pa.binary())
 
 
+def decoded_bytes(ids: pa.ListArray, table: pa.BinaryArray) -> pa.BinaryArray:
+    """The bytes of every list of ids: each id meets its row of the token-byte table, in its position."""
+    flat = ids.flatten()
+    found = pc.take(table, flat)
+    if found.null_count:
+        raise ValueError("an id is not in the vocabulary")
+    sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    byte_ends = np.concatenate([[0], np.cumsum(pc.binary_length(found).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    ends = byte_ends[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])].astype(np.int32)
+    raw = found.buffers()[2] or pa.py_buffer(b"")
+    whole = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends.tobytes()), raw])
+    return pc.if_else(pc.is_null(ids), pa.scalar(None, pa.binary()), whole)
+
+
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """Adds `decoded` (binary) to rows with `doc_id` and `ids`: a join of every id with the token-byte table, by position.
 
@@ -252,33 +292,31 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
         table = token_bytes(ranks_path)
         for batch in batches:
             ids = batch.column("ids")
-            flat = ids.flatten()
-            found = pc.take(table, flat)
-            if found.null_count:
-                raise ValueError("an id is not in the vocabulary")
-            token_ends = found.cast(pa.large_binary()).buffers()[1]
-            byte_ends = np.frombuffer(token_ends, np.int64, len(found) + 1) if len(found) else np.zeros(1, np.int64)
-            sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
-            ends = byte_ends[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])]
-            raw = found.buffers()[2] if len(found) else pa.py_buffer(b"")
-            whole = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), raw])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pc.if_else(pc.is_null(ids), pa.scalar(None, pa.binary()), whole)], ["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, decoded_bytes(ids, table)], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(joined, schema)
 
 
-def digests(decoded: DataFrame, with_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]): ids are hashed as little-endian unsigned 32-bit integers."""
+def digests(encoded: DataFrame, ranks_path: str, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) of encoded rows: their ids, decoded again in the same pass.
+
+    Ids are hashed as little-endian unsigned 32-bit integers. One Python worker a task does both, as `decode` and a second
+    step would hold two workers' memory.
+    """
     fields = [StructField("doc_id", LongType()), StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
     fields += [StructField("ids", ArrayType(IntegerType()))] * with_ids
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = token_bytes(ranks_path)
         for batch in batches:
             ids, ends = batch.column("ids"), batch.column("ids").offsets.to_numpy()
-            flat = ids.values.to_numpy(zero_copy_only=False).astype("<u4")
-            first = [hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            second = [hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column("decoded")]
-            columns = [batch.column("doc_id"), pa.array(np.diff(ends), pa.int64()), pa.array(first), pa.array(second)]
+            first, second = [], []
+            for a, b in slices(np.diff(ends), SLICE // 4):
+                part = ids.slice(a, b - a)
+                flat = part.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+                first += [hashlib.sha256(flat[x - ends[a] : y - ends[a]]).hexdigest() for x, y in zip(ends[a:b], ends[a + 1 : b + 1], strict=True)]
+                second += [hashlib.sha256(x.as_buffer()).hexdigest() for x in decoded_bytes(part, table)]
+            columns = [batch.column("doc_id"), pa.array(np.diff(ends), pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
             yield pa.RecordBatch.from_arrays([*columns, *[ids] * with_ids], [f.name for f in fields])
 
-    return decoded.mapInArrow(hashed, StructType(fields))
+    return encoded.mapInArrow(hashed, StructType(fields))

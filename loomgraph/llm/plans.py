@@ -18,7 +18,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    return bpe.digests(bpe.decode(bpe.encode(table(spark, folder, "documents"), RANKS, public_tokenizers.PATTERN), RANKS))
+    return bpe.digests(bpe.encode(table(spark, folder, "documents"), RANKS, public_tokenizers.PATTERN), RANKS)
 
 
 def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
