@@ -40,16 +40,16 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture: a document once for every pass over it; the texts of partial passes are the blocks that were drawn."""
-    rows = frozen(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
-    sizes = mixing.measured(rows)
+    rows = frozen(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "numbered")
+    sizes = mixing.measured(rows, row_col="_mix_row")
     draws = mixing.mix(sizes, mixing.targets(sizes))
-    texts = mixing.mixed_texts(rows, draws).withColumn("n_chars", F.length("text").cast("long"))
+    texts = mixing.mixed_texts(rows, draws, "_mix_row").withColumn("n_chars", F.length("text").cast("long"))
     return texts.select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with digests of the ids and of what they decode to."""
-    return bpe.digests(bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS), with_ids=True)
+    return bpe.digests(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS, with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -154,7 +154,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not more.isEmpty():
             roots = components(links.union(more))
 
-    known = sketches.select("doc_id", "n_shingles", "digest").join(classes.where("n > 1").select("digest", "rep"), "digest", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    known = sketches.select("doc_id", "n_shingles", "digest").join(classes.where("n > 1").select("digest", "rep"), "digest", "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
     joined = known.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("root", "rep"))
     # an id that repeats with several texts belongs to one component
     return joined.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

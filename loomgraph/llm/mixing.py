@@ -30,9 +30,9 @@ BLOCK_WORDS = 256
 BUCKET, SHARD, FAN = 100_000, 100_000, 16
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(row, doc_id, source, size), written once: `row` tells repeated rows apart from then on."""
-    row = F.col("row") if "row" in docs.columns and id_col != "row" else F.monotonically_increasing_id()
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """(row, doc_id, source, size), written once: `row` tells repeated rows apart from then on; `row_col` names it if the documents have it already."""
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     return frozen(docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
                               F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
 
@@ -50,9 +50,8 @@ def ranked(names: DataFrame, column: str) -> DataFrame:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """(source, source_size, source_blocks, target). Only sums over sources come to the driver, one round per change of the capped ones."""
-    blocks = F.ceil(F.col("size") / BLOCK_WORDS)
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(blocks).cast("long").alias("source_blocks"))
+    """(source, source_size, target). Only sums over sources come to the driver, one round per change of the capped ones."""
+    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     weight = F.element_at(F.lit(list(weights)), (F.col("place") % len(weights) + 1).cast("int"))
     rows = frozen(ranked(totals, "source").withColumn("weight", weight.cast("double")), "sources")
     budget = rows.agg(F.sum("source_size")).first()[0] or 0
@@ -64,7 +63,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
         if after <= level:
             break
         level = after
-    return rows.select("source", "source_size", "source_blocks", F.least(F.col("weight") * level, cap * F.col("source_size")).cast("double").alias("target"))
+    return rows.select("source", "source_size", F.least(F.col("weight") * level, cap * F.col("source_size")).cast("double").alias("target"))
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
@@ -104,7 +103,8 @@ def mix(sizes: DataFrame, goal: DataFrame, seed: int = 7, block_words: int = BLO
     """
     spark = sizes.sparkSession
     quota = F.round("target").cast("long")
-    plan = goal.where("source_size > 0").select(
+    blocks_of = sizes.groupBy(F.col("source").alias("c")).agg(F.sum(F.ceil(F.col("size") / block_words)).cast("long").alias("source_blocks"))
+    plan = goal.where("source_size > 0").join(blocks_of, F.col("source").eqNullSafe(F.col("c"))).select(
         F.col("source").alias("s"), "source_blocks", F.floor(quota / F.col("source_size")).cast("int").alias("passes"), (quota % F.col("source_size")).alias("rest"),
         F.ceil(F.col("source_blocks") / bucket).cast("long").alias("buckets"))
     plan = frozen(plan, "plan")
@@ -162,13 +162,13 @@ def taken(sizes: DataFrame, goal: DataFrame, draws: DataFrame) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("shards", F.lit(0)).alias("shards"))
 
 
-def mixed_texts(docs: DataFrame, draws: DataFrame, text_col: str = "text") -> DataFrame:
-    """The columns of `docs` (with `row`), a row for every pass over a document: whole documents as they are, else the drawn words joined by spaces."""
-    drawn = draws.groupBy("row", "pass").agg(F.array_sort(F.collect_list(F.struct("start", "take"))).alias("parts"), F.sum("take").alias("words"))
+def mixed_texts(docs: DataFrame, draws: DataFrame, row_col: str, text_col: str = "text") -> DataFrame:
+    """`docs`, a row for every pass over a document: whole documents as they are, else the drawn words joined by spaces; `row_col` is the row that was drawn."""
+    drawn = draws.groupBy(F.col("row").alias("_row"), F.col("pass").alias("_pass")).agg(F.array_sort(F.collect_list(F.struct("start", "take"))).alias("_parts"), F.sum("take").alias("_words"))
     words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice("ws", (p["start"] + 1).cast("int"), p["take"].cast("int")))), " ")
-    rows = docs.withColumn("ws", words).join(drawn, "row")
-    return rows.withColumn(text_col, F.when(F.size("ws") == F.col("words"), F.col(text_col)).otherwise(cut)).drop("ws", "parts", "words", "pass")
+    cut = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice("_all", (p["start"] + 1).cast("int"), p["take"].cast("int")))), " ")
+    rows = docs.withColumn("_all", words).join(drawn, F.col(row_col) == F.col("_row"))
+    return rows.withColumn(text_col, F.when(F.size("_all") == F.col("_words"), F.col(text_col)).otherwise(cut)).select(*docs.columns)
 
 
 def share_of(weights: tuple[int, ...], sizes: list[int], share: float = SHARE, cap: float = CAP) -> list[Fraction]:

@@ -123,11 +123,11 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rate = F.coalesce(F.col("y").cast("double"), 1 / (1 + F.exp(-F.col("_own"))))
     evidence = frozen(evidence, "evidence")
     paths = frozen(evidence.join(known, "i", "left").groupBy("h", "p").agg(F.count("*").cast("double").alias("n"), F.sum(rate).alias("good")), "paths")
-    sites = posteriors(paths)
+    sites = posteriors(paths).withColumnsRenamed({"h": "_h", "p": "_p"})
     held = F.broadcast(sites) if sites.count() <= HELD else sites
-    joined = with_own.join(held, F.col(host_col).eqNullSafe(F.col("h")) & F.col(part_col).eqNullSafe(F.col("p")))
+    joined = with_own.join(held, F.col(host_col).eqNullSafe(F.col("_h")) & F.col(part_col).eqNullSafe(F.col("_p")))
     odds = lambda x: F.ln(x / (1 - x))
-    return joined.withColumn("_score", 1 / (1 + F.exp(-(F.col("_own") + odds(F.col("_path")) - odds(F.col("_global")))))).drop("h", "p", "_global")
+    return joined.withColumn("_score", 1 / (1 + F.exp(-(F.col("_own") + odds(F.col("_path")) - odds(F.col("_global")))))).drop("_h", "_p", "_global")
 
 
 def pull(rows: DataFrame, rate: str, prior: str) -> float:
