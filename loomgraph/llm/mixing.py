@@ -27,7 +27,7 @@ WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2
 BLOCK_WORDS = 256
 #: Blocks of a bucket of the permutation, draws of a shard, children of a node.
-BUCKET, SHARD, FAN = 100_000, 100_000, 16
+BUCKET, SHARD, FAN = 4_000, 20_000, 16
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
