@@ -28,7 +28,7 @@ SELECT d.doc_id AS id,
  CASE WHEN d.n_chars % 16 < 3 THEN 0 WHEN d.n_chars % 16 < 10 THEN 1 WHEN d.n_chars % 16 < 13 THEN 2
   WHEN d.n_chars % 16 < 15 THEN 3 END AS layer,
  d.text AS content,
- CASE WHEN d.doc_id % 7 = 0 THEN NULL ELSE substr(d.text, 1, 100) END AS summary,
+ CASE WHEN d.doc_id % 7 = 0 THEN NULL WHEN d.doc_id % 37 = 1 THEN substr(d.text, 1, 400) ELSE substr(d.text, 1, 100) END AS summary,
  WORDS(d.text, 3) AS key_concepts,
  ARR(d.lang, d.source) AS domains,
  ARR(CASE d.doc_id % 4 WHEN 0 THEN 'developer' WHEN 1 THEN 'writer' WHEN 2 THEN 'researcher' ELSE 'other' END) AS facets,
@@ -54,16 +54,18 @@ SELECT d.doc_id AS id,
  CASE d.doc_id % 5 WHEN 0 THEN 'validated' WHEN 1 THEN 'flagged' WHEN 2 THEN 'outdated' ELSE 'provisional' END AS epistemic_status,
  CASE WHEN d.doc_id % 19 = 0 THEN NULL ELSE SHA256(d.text) END AS content_hash,
  CASE d.doc_id % 3 WHEN 0 THEN '{}' WHEN 1 THEN 'failed' ELSE '{"E1": 1}' END AS enrichment_status,
+ CASE WHEN d.n_chars % 5 = 0 THEN NULL ELSE TS '2024-02-01 00:00:00' + (d.doc_id % 50) * INTERVAL 1 DAY END AS enriched_at,
  CASE WHEN d.doc_id % 6 = 0 THEN NULL ELSE '{"when_needed": "x"}' END AS retrieval_hints,
  TS '2024-01-01 00:00:00' + (d.doc_id % 120) * INTERVAL 1 DAY AS created_at,
  CASE WHEN d.doc_id % 13 = 0 THEN NULL ELSE TS '2024-01-01 00:00:00' + (d.doc_id % 120 + d.doc_id % 9) * INTERVAL 1 DAY END AS updated_at,
  CASE WHEN d.doc_id % 3 = 0 THEN NULL ELSE TS '2024-01-01 00:00:00' + (d.doc_id % 120 + d.doc_id % 41) * INTERVAL 1 DAY END AS last_accessed_at
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
 """,
-    # ids ending in 9 are never an endpoint, so orphans exist; a fifth of the edges ends in seven hubs
+    # ids ending in 19, 39, ... are never an endpoint, so orphans exist; ids ending in 9, 29, ... have one edge or none; a fifth of the edges ends in seven hubs
     "edges": r"""
 SELECT o.o_orderkey AS id,
- IDIV(o.o_orderkey % o.m, 9) * 10 + (o.o_orderkey % o.m) % 9 AS source_id,
+ CASE WHEN o.o_orderkey % 16 = 1 AND IDIV(o.o_orderkey, 16) * 20 + 9 < o.m THEN IDIV(o.o_orderkey, 16) * 20 + 9
+  ELSE IDIV(o.o_orderkey % o.m, 9) * 10 + (o.o_orderkey % o.m) % 9 END AS source_id,
  CASE WHEN o.o_orderkey % 5 = 0 THEN o.o_custkey % 7
   ELSE IDIV((o.o_custkey * 31 + 7) % o.m, 9) * 10 + ((o.o_custkey * 31 + 7) % o.m) % 9 END AS target_id,
  CASE (o.o_orderkey + o.o_custkey) % 14 WHEN 0 THEN 'supports' WHEN 1 THEN 'contradicts' WHEN 2 THEN 'led_to'

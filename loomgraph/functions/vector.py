@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.scale import top_per_group
+from loomgraph.session import cut_lineage
 
 HIT_SCHEMA = "qid bigint, id bigint, distance double"
-BLOCK_ROWS = 4096
+BLOCK_ROWS, CELLS = 4096, 64
 
 
 @dataclass
@@ -98,21 +98,105 @@ def search(corpus: DataFrame, queries: list[VectorQuery], k: int) -> DataFrame:
     return top_per_group(hits, ["qid"], [F.col("distance"), F.col("id")], k, "rank")
 
 
+def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Unit rows and which of them are zero."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0), norm[:, 0] == 0
+
+
+def _away(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Euclidean distances of unit rows to unit centers."""
+    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * x @ centers.T))
+
+
 def neighbours(batch: DataFrame, corpus: DataFrame, k: int, by_type: list[str] | None = None) -> DataFrame:
-    """k nearest corpus rows of every row of a batch of new vectors, without the row itself.
+    """k nearest corpus rows of every row of a batch of new vectors, without the row itself; exact.
 
-    A batch of any size works: it is cut into hash blocks of at most about
-    ``BLOCK_ROWS`` vectors, and only one block at a time is held by the driver
-    and shipped to the tasks. ``by_type`` searches each listed type apart and
-    returns it in ``hint``.
+    Both sides stay in Spark. The corpus is dealt to the cells of ``CELLS`` sampled vectors and, within a cell, to chunks of
+    ``BLOCK_ROWS``. A new vector first meets its own cell; its k-th distance there, by the triangle inequality, rules out
+    every cell whose radius cannot reach it, and only the others are visited. The driver sees a row per cell. ``by_type``
+    searches each listed type apart and returns it in ``hint``. Rows of another length than the batch's take no part.
     """
-    usable = batch.where(F.col("embedding").isNotNull())
-    blocks = max(1, math.ceil(usable.count() / BLOCK_ROWS))
-    out = None
-    for b in range(blocks):
-        block = usable.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", "embedding").collect()
-        for hint in by_type or [""]:
-            queries = [VectorQuery(r["id"], list(r["embedding"]), type=hint, exclude_id=r["id"]) for r in block]
-            part = search(corpus, queries, k).withColumn("hint", F.lit(hint))
-            out = part if out is None else out.unionAll(part)
-    return out
+    spark, hints = batch.sparkSession, by_type or [""]
+    asked = batch.where("embedding is not null").select(F.col("id").alias("qid"), "embedding")
+    first = asked.first()
+    out = "qid bigint, id bigint, distance double, hint string"
+    if first is None:
+        return spark.createDataFrame([], out + ", rank int")
+    dim = len(first["embedding"])
+    asked = asked.where(F.size("embedding") == dim)
+    rows = corpus.where("embedding is not null").where(F.size("embedding") == dim).select("id", F.coalesce("type", F.lit("")).alias("type"), "embedding")
+    sample = rows.select("embedding").orderBy(F.xxhash64("id")).limit(CELLS).toArrow().column("embedding").combine_chunks()
+    if not len(sample):
+        return spark.createDataFrame([], out + ", rank int")
+    centers, zero = _matrix(sample)
+    centers = np.unique(centers[~zero], axis=0) if (~zero).any() else np.eye(1, dim)
+    n = len(centers)  # cell n holds zero rows, which are at distance 1 from everything
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, none = _matrix(b.column("embedding"))
+            away = _away(x, centers)
+            cell = np.where(none, n, away.argmin(1))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array(np.where(none, 0.0, away.min(1)))], [*b.schema.names, "cell", "away"])
+
+    kind = dict(rows.dtypes)["embedding"]
+    index = cut_lineage(rows.mapInArrow(dealt, f"id bigint, type string, embedding {kind}, cell int, away double"))
+    radius, chunks = np.full(n + 1, -1.0), np.zeros(n + 1, np.int64)
+    for r in index.groupBy("cell").agg(F.max("away").alias("far"), F.count("*").alias("rows")).collect():
+        radius[r["cell"]], chunks[r["cell"]] = r["far"], -(-r["rows"] // BLOCK_ROWS)
+    many = F.element_at(F.lit(np.maximum(chunks, 1).tolist()), F.col("cell") + 1)
+    index = index.withColumn("chunk", F.pmod(F.xxhash64("id"), many))
+
+    def met(cells_of):
+        """Requests beside every chunk of the cells that `cells_of(x, batch)` marks."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x, none = _matrix(b.column("embedding"))
+                at, cell = np.nonzero(cells_of(x, b) & (chunks > 0) & ~none[:, None])
+                again = chunks[cell]
+                chunk = np.arange(again.sum()) - np.repeat(np.cumsum(again) - again, again)
+                at, cell = np.repeat(at, again), np.repeat(cell, again)
+                taken = b.select(["qid", "embedding"]).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell, pa.int32()), pa.array(chunk, pa.int64())], ["qid", "embedding", "cell", "chunk"])
+        return run
+
+    def best(q: pa.Table, c: pa.Table) -> pa.Table:
+        found: dict[str, list] = {"qid": [], "id": [], "distance": [], "hint": []}
+        if len(q) and len(c):
+            qx, cx = _matrix(q["embedding"].combine_chunks())[0], _matrix(c["embedding"].combine_chunks())[0]
+            q_id, c_id, types = q["qid"].to_numpy(), c["id"].to_numpy(), np.array(c["type"].to_pylist(), dtype=object)
+            for hint in hints:
+                able = np.flatnonzero(types == hint) if hint else np.arange(len(c_id))
+                for a in range(0, len(q_id), 512):
+                    distance = np.round(1.0 - qx[a : a + 512] @ cx[able].T, 9)
+                    distance[q_id[a : a + 512, None] == c_id[None, able]] = np.inf
+                    keep = min(k, len(able))
+                    border = np.partition(distance, keep - 1, axis=1)[:, keep - 1 : keep] if keep else np.zeros((len(distance), 1))
+                    at, col = np.nonzero((distance <= border) & np.isfinite(distance))
+                    found["qid"].append(q_id[a + at])
+                    found["id"].append(c_id[able[col]])
+                    found["distance"].append(distance[at, col])
+                    found["hint"].append(np.full(len(at), hint, dtype=object))
+        flat = {name: np.concatenate(v) if v else [] for name, v in found.items()}
+        return pa.table({"qid": pa.array(flat["qid"], pa.int64()), "id": pa.array(flat["id"], pa.int64()), "distance": pa.array(flat["distance"], pa.float64()), "hint": pa.array(flat["hint"], pa.string())})
+
+    def searched(requests: DataFrame) -> DataFrame:
+        hits = requests.groupBy("cell", "chunk").cogroup(index.groupBy("cell", "chunk")).applyInArrow(best, out)
+        return top_per_group(hits, ["qid", "hint"], [F.col("distance"), F.col("id")], k, "rank")
+
+    own = lambda x, b: np.arange(n + 1)[None] == _away(x, centers).argmin(1)[:, None]
+    near = cut_lineage(searched(asked.mapInArrow(met(own), f"qid bigint, embedding {kind}, cell int, chunk bigint")))
+    full = near.groupBy("qid", "hint").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
+    reach = full.groupBy("qid").agg(F.when((F.count("*") == len(hints)) & (F.min("n") == k), F.max("far")).alias("reach"))
+
+    def others(x: np.ndarray, b: pa.RecordBatch) -> np.ndarray:
+        far = np.nan_to_num(b.column("reach").to_numpy(zero_copy_only=False).astype(float), nan=4.0)
+        away = _away(x, centers)
+        open_ = away - radius[None, :n] <= np.sqrt(2 * np.maximum(far, 0.0) + 2e-9)[:, None] + 1e-6
+        open_[np.arange(len(x)), away.argmin(1)] = False
+        return np.concatenate([open_, np.ones((len(x), 1), bool)], axis=1)
+
+    rest = asked.join(reach, "qid", "left").select("qid", "embedding", "reach").mapInArrow(met(others), f"qid bigint, embedding {kind}, cell int, chunk bigint")
+    return top_per_group(near.drop("rank").unionByName(searched(rest).drop("rank")), ["qid", "hint"], [F.col("distance"), F.col("id")], k, "rank")

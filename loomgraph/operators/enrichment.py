@@ -69,10 +69,10 @@ def apply_answers(nodes: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def pending(nodes: DataFrame) -> DataFrame:
-    """Open work per phase: never enriched, no embedding text, layer unchecked, secondary types missing."""
+    """Open work per phase: never enriched (no time of it), no embedding text, layer unchecked, secondary types missing."""
     status = F.coalesce("enrichment_status", F.lit("{}"))
     done = lambda task: F.contains(status, F.lit(f'"{task}"'))
-    kinds = {"new": status.isin("{}", "pending"), "retry": status == "failed",
+    kinds = {"new": F.col("enriched_at").isNull(), "retry": status == "failed",
              "embedding_text": F.col("summary").isNotNull() & (F.size("key_concepts") > 0) & ~done("E7"),
              "layer_check": F.col("layer").isNotNull() & ~done("E12"), "secondary_types": ~done("E6")}
     marks = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in kinds.items()]))
@@ -82,7 +82,7 @@ def pending(nodes: DataFrame) -> DataFrame:
 def hint_batches(nodes: DataFrame, size: int = 20) -> DataFrame:
     """Nodes without retrieval hints in id order, cut into batches."""
     rows = G.active(nodes).where("retrieval_hints IS NULL").select("id")
-    return numbered(rows, "id", 1 << 20, "pos").select("id", F.floor((F.col("pos") - 1) / size).cast("bigint").alias("batch"))
+    return numbered(rows, "id", "pos").select("id", F.floor((F.col("pos") - 1) / size).cast("bigint").alias("batch"))
 
 
 def refine_relations(edges: DataFrame, answers: DataFrame) -> DataFrame:

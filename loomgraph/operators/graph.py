@@ -10,6 +10,10 @@ from loomgraph.operators.scale import best_row, held, top_per_group
 from loomgraph.session import cut_lineage
 
 
+#: Rows of a request's lists up to which they are kept as local relations.
+HELD = 100_000
+
+
 def active(df: DataFrame) -> DataFrame:
     return df.where("status = 'active'")
 
@@ -41,12 +45,11 @@ def live_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def edges_at(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """Active edges that end in one of a short list of ids (results or seeds of the driver's own requests).
+    """Active edges that end in one of a list of ids (results or seeds of requests).
 
-    The list is broadcast, so the edge table is scanned once and only the few
-    edges found are joined any further.
+    A list of a checked size becomes a local relation, which Spark sends to the edges; a longer one is joined.
     """
-    few = F.broadcast(ids.select("id", F.lit(True).alias("_hit")))
+    few = held(ids.select("id").distinct(), HELD).withColumn("_hit", F.lit(True))
     act = active(edges)
     s = act.join(few.withColumnRenamed("id", "source_id").withColumnRenamed("_hit", "_s"), "source_id", "left")
     both = s.join(few.withColumnRenamed("id", "target_id").withColumnRenamed("_hit", "_t"), "target_id", "left")
@@ -114,7 +117,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, depth: int = O.GRAPH_MAX_HOPS)
     """
     pool = endpoints(reasoning_edges(edges)).select("nid", "nbr")
     seen = seeds.select("qid", "id").distinct()
-    frontier = F.broadcast(seen)  # seeds are a handful per request; later frontiers are left to AQE
+    frontier = seen
     for _ in range(depth):
         step = (frontier.join(pool, frontier["id"] == pool["nid"])
                 .select("qid", F.col("nbr").alias("id")).distinct())
@@ -126,8 +129,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, depth: int = O.GRAPH_MAX_HOPS)
 def best_edge_class(edges: DataFrame, seeds: DataFrame, found: DataFrame) -> DataFrame:
     """Strongest class among edges that join a found node to a seed directly; '' where there is none."""
     pool = endpoints(active(edges), "relation")
-    few = F.broadcast(seeds)  # at most six per request
-    direct = (pool.join(few, few["id"] == pool["nid"])
+    direct = (pool.join(seeds, seeds["id"] == pool["nid"])
               .select("qid", F.col("nbr").alias("id"), O.edge_class(F.col("relation")).alias("edge_class")))
     best = best_row(direct, ["qid", "id"], O.lookup(O.EDGE_CLASS_RANK, F.col("edge_class"), 0), ["edge_class"])
     return (found.join(best, ["qid", "id"], "left")
@@ -149,23 +151,22 @@ def build_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def ucb_traverse(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = O.GRAPH_MAX_HOPS,
-                 width: int = O.TRAVERSAL_WIDTH, apply_penalty: bool = False, graph: DataFrame | None = None,
-                 max_rows: int = 100_000) -> DataFrame:
+                 width: int = O.TRAVERSAL_WIDTH, apply_penalty: bool = False, graph: DataFrame | None = None) -> DataFrame:
     """Upper-confidence traversal: per hop the ``width`` best unvisited neighbours of each query.
 
     ``seeds`` has (qid, id, c). Parallel edges of one direction collapse to the
-    latest; an outgoing edge is preferred to an incoming one. The frontier is
-    at most ``width`` rows per query (``max_rows`` in all, which is checked),
-    so it is broadcast to the adjacency and only the edges it touches are shuffled.
+    latest; an outgoing edge is preferred to an incoming one. The frontier has
+    at most ``width`` rows per query. While it is short it is sent to the
+    adjacency, so that only the edges it touches are shuffled; the frontier of a
+    large batch is a checkpoint and joined by id.
     """
     graph = build_graph(nodes, edges) if graph is None else graph
-    known = visits_of(nodes).join(F.broadcast(seeds.select("id").distinct()), "id", "left_semi")
-    frontier = held(seeds.join(F.broadcast(held(known, max_rows)), "id", "left")
-                    .select("qid", "c", "id", F.coalesce("visits", F.lit(1)).alias("n_i")), max_rows)
+    known = held(visits_of(nodes).join(seeds.select("id").distinct(), "id", "left_semi"), HELD)
+    frontier = held(seeds.join(known, "id", "left").select("qid", "c", "id", F.coalesce("visits", F.lit(1)).alias("n_i")), HELD)
     seen, out = frontier.select("qid", "id"), None
     for _ in range(depth):
-        hop = (graph.join(F.broadcast(frontier.withColumnRenamed("id", "nid")), "nid")
-               .withColumnRenamed("nbr", "id").join(F.broadcast(seen), ["qid", "id"], "left_anti"))
+        hop = (graph.join(frontier.withColumnRenamed("id", "nid"), "nid")
+               .withColumnRenamed("nbr", "id").join(seen, ["qid", "id"], "left_anti"))
         hop = best_row(hop, ["qid", "c", "nid", "n_i", "id", "visits"], F.struct("out", "edge_id"),
                        ["relation", "strength", "generation_method"])
         weight = F.coalesce("strength", F.lit(0.1)) * O.family_weight(F.col("relation"))
@@ -176,7 +177,7 @@ def ucb_traverse(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: in
                .withColumn("edge_class", O.edge_class(F.col("relation")))
                .withColumn("class_rank", O.lookup(O.EDGE_CLASS_RANK, F.col("edge_class"), 0)))
         hop = best_row(hop, ["qid", "c", "id", "visits"], F.struct("score", "class_rank"), ["score", "edge_class"])
-        picked = held(top_per_group(hop, ["qid"], [F.desc("score"), F.desc("id"), F.desc("edge_class")], width), max_rows)
+        picked = held(top_per_group(hop, ["qid"], [F.desc("score"), F.desc("id"), F.desc("edge_class")], width), HELD)
         found = picked.select("qid", "id", "edge_class")
         out = found if out is None else out.unionAll(found)
         seen = seen.unionAll(found.select("qid", "id"))
@@ -191,20 +192,26 @@ def explore(edges: DataFrame, seeds: DataFrame, depth: int = O.GRAPH_MAX_HOPS, f
     return reachable(edges.where(strong | (F.rand(seed) < chance)) if chance else edges.where(strong), seeds, depth)
 
 
-def shortest_paths(edges: DataFrame, source: int, max_depth: int = 6) -> DataFrame:
-    """Breadth-first tree from one node: hop count and smallest-id parent of every node reached."""
-    pool = endpoints(active(edges)).select("nid", "nbr")
+def shortest_paths(edges: DataFrame, source: int, target: int | None = None) -> DataFrame:
+    """Breadth-first tree from one node: hop count and smallest-id parent of every node reached.
+
+    Ends when a hop finds nothing new or, where a ``target`` is asked for, has found it. The adjacency is written once.
+    """
+    pool = cut_lineage(endpoints(active(edges)).select("nid", "nbr").distinct())
     seen = edges.sparkSession.createDataFrame([(source, 0, None)], "id bigint, hop int, parent bigint")
     frontier = seen
-    for hop in range(1, max_depth + 1):
+    hop = 0
+    while True:
+        hop += 1
         step = (frontier.join(pool, frontier["id"] == pool["nid"])
                 .groupBy(F.col("nbr").alias("id")).agg(F.min("nid").alias("parent")))
         frontier = cut_lineage(step.join(seen, "id", "left_anti")
                                .select("id", F.lit(hop).alias("hop"), "parent"))
         if frontier.isEmpty():
-            break
+            return seen
         seen = seen.unionAll(frontier)
-    return seen
+        if target is not None and not frontier.where(F.col("id") == target).isEmpty():
+            return seen
 
 
 def path_labels(edges: DataFrame, tree: DataFrame) -> DataFrame:
@@ -216,12 +223,13 @@ def path_labels(edges: DataFrame, tree: DataFrame) -> DataFrame:
     return best_row(hit, ["id", "hop", "parent"], F.struct(~F.col("out"), F.col("edge_id")), ["label"], largest=False)
 
 
-def components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """Connected components of an undirected pair list (a, b): (id, component = smallest id).
 
     Alternates the large-star and small-star steps, which halve path lengths
     per round and never hand one task a whole neighbourhood: only minima are
-    aggregated, with map-side combine.
+    aggregated, with map-side combine. It ends at the fixed point, after
+    however many rounds.
     """
     def ends(e: DataFrame) -> DataFrame:
         return e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(
@@ -241,7 +249,7 @@ def components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     cur = cut_lineage(pairs.where("a <> b").select("a", "b").distinct())
     mark = None
-    for _ in range(max_rounds):
+    while True:
         cur = cut_lineage(small_star(large_star(cur)).where("a <> b"))
         state = cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == state:

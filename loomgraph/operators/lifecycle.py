@@ -99,7 +99,7 @@ def hebbian_update(nodes: DataFrame, edges: DataFrame, results: DataFrame, as_of
     equals applying the requests one after another. ``results`` is the short
     answer of the driver's own requests and is broadcast; edges are scanned once.
     """
-    asked = F.broadcast(results.select("qid", "id").distinct())
+    asked = results.select("qid", "id").distinct()
     pool = G.live_edges(nodes, G.edges_at(G.reasoning_edges(edges), results.select("id").distinct()))
     src = pool.join(asked.withColumnRenamed("id", "source_id"), "source_id").select("qid", "id", F.lit(1).alias("s"), F.lit(0).alias("t"))
     tgt = pool.join(asked.withColumnRenamed("id", "target_id"), "target_id").select("qid", "id", F.lit(0).alias("s"), F.lit(1).alias("t"))
@@ -123,7 +123,7 @@ def hebbian_update(nodes: DataFrame, edges: DataFrame, results: DataFrame, as_of
 
 def visit_update(nodes: DataFrame, results: DataFrame, as_of: str) -> DataFrame:
     hits = results.groupBy("id").agg(F.count("*").alias("hits"))
-    return nodes.join(F.broadcast(hits), "id").select(
+    return nodes.join(hits, "id").select(
         "id", (F.coalesce("visit_count", F.lit(0)) + F.col("hits")).alias("visit_count"),
         (F.coalesce("observation_count", F.lit(0)) + F.col("hits")).alias("observation_count"),
         now(as_of).alias("last_accessed_at"))
@@ -131,7 +131,7 @@ def visit_update(nodes: DataFrame, results: DataFrame, as_of: str) -> DataFrame:
 
 def edge_contribution(edges: DataFrame, seeds: DataFrame, top: DataFrame) -> DataFrame:
     """+1 on active edges between a seed and one of the first five results of the same request."""
-    s, r = F.broadcast(seeds.select("qid", "id")), F.broadcast(top.select("qid", "id"))
+    s, r = seeds.select("qid", "id"), top.select("qid", "id")
     fwd = G.active(edges).join(s.withColumnRenamed("id", "source_id"), "source_id").join(r.withColumnRenamed("id", "target_id"), ["qid", "target_id"])
     back = G.active(edges).join(s.withColumnRenamed("id", "target_id"), "target_id").join(r.withColumnRenamed("id", "source_id"), ["qid", "source_id"])
     hit = fwd.select("qid", "id").unionAll(back.select("qid", "id")).distinct().groupBy("id").agg(F.count("*").alias("hits"))
@@ -180,7 +180,7 @@ def edge_pruning(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         F.col("kept_source"), "archive").otherwise("delete").alias("decision"))
 
 
-def edge_pruning_applied(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def edge_pruning_applied(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The same decisions taken in id order, each deletion lowering the degrees the later ones see.
 
     A deletion can only be stopped at a node all of whose edges are to be
@@ -201,9 +201,7 @@ def edge_pruning_applied(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
     seen_at = cut_lineage(at.where("NOT loop").select("id", "n").join(risky, "id", "left_semi").join(last, "n"))
     kept = edges.sparkSession.createDataFrame([], "id bigint, kept boolean")
     open_ = cut_lineage(risky)
-    for _ in range(max_rounds):
-        if open_.isEmpty():
-            break
+    while not open_.isEmpty():  # the smallest open edge never waits, so every round settles one
         state = seen_at.join(kept, "id", "left")
         # per tight node: is an earlier edge still open, was an earlier one kept
         per_node = state.where("id < last_id").groupBy("n", "last_id").agg(
@@ -446,7 +444,7 @@ def summary_medians(nodes: DataFrame, sample: int = 100, least: int = O.SUMMARY_
 
 
 def summary_anomalies(nodes: DataFrame) -> DataFrame:
-    med = F.broadcast(summary_medians(nodes))  # one row per node type
+    med = summary_medians(nodes)
     rows = nodes.where("coalesce(summary, '') <> ''").select("id", "type", F.length("summary").alias("len"))
     return rows.join(med, "type").where(F.col("len") > F.col("median_len") * O.SUMMARY_LENGTH_MULTIPLIER).select(
         "id", "type", "len", "median_len")

@@ -145,8 +145,7 @@ def similar_pairs(nodes: DataFrame, threshold: float = 0.15) -> DataFrame:
     rare = Window.partitionBy("sig").orderBy("freq", "token")  # one concept set is short
     prefix = (tokens.join(tokens.groupBy("token").agg(F.count("*").alias("freq")), "token")
               .withColumn("pos", F.row_number().over(rare))
-              .where(F.col("pos") <= F.col("len") - F.ceil(F.col("len") * floor) + 1)
-              .where(F.ceil(F.col("len") * floor) < F.col("len")))
+              .where(F.col("pos") <= F.col("len") - F.ceil(F.col("len") * floor) + 1))
     left = prefix.select("token", F.col("sig").alias("sa"))
     right = prefix.select("token", F.col("sig").alias("sb"))
     cand = left.join(right, "token").where("sa < sb").select("sa", "sb").distinct()

@@ -264,7 +264,9 @@ def stale_policies(rules: DataFrame, traits: DataFrame, as_of: str, days: int) -
 
 
 def daily_counts(nodes: DataFrame, as_of: str, days: int = 7) -> DataFrame:
-    return (nodes.where(~older_than(as_of, F.col("created_at"), days)).groupBy(F.to_date("created_at").cast("string").alias("day"))
+    """Active nodes per day, younger than ``days``."""
+    young = F.col("created_at") > F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {days} DAY")
+    return (G.active(nodes).where(young).groupBy(F.to_date("created_at").cast("string").alias("day"))
             .agg(F.count("*").alias("n")))
 
 

@@ -91,26 +91,29 @@ def shared_item_counts(log: DataFrame, node: str, group: str, min_shared: int) -
 
 
 def held(df: DataFrame, most: int) -> DataFrame:
-    """A small result kept as a local relation, so later steps do not compute it again.
+    """A result that later steps shall not compute again: up to ``most`` rows as a local relation, else in a checkpoint.
 
-    Only for frames whose row count is bounded by request parameters (top-k of
-    the driver's own queries); the bound is checked.
+    Spark knows the size of either and joins accordingly; a batch of any size works.
     """
     rows = df.limit(most + 1).toArrow()
     if rows.num_rows > most:
-        raise ValueError(f"more than {most} rows in a frame declared bounded")
+        return cut_lineage(df)
     return df.sparkSession.createDataFrame(rows, df.schema)
 
 
-def numbered(df: DataFrame, key: str, width: int, out: str) -> DataFrame:
-    """1-based position in the order of a numeric key, without one task sorting all rows.
+def numbered(df: DataFrame, key: str, out: str) -> DataFrame:
+    """1-based position in the order of a key, without one task sorting all rows.
 
-    Rows are ranked inside ranges of ``width`` key values; the ranges' sizes,
-    one row each, give the offset of every range.
+    Spark samples the key's ranges, so sparse and dense ids are dealt alike. Rows are ranked inside their range; the sizes of
+    the ranges, one figure for each shuffle partition, give the offsets.
     """
-    b = df.withColumn("_b", F.floor(F.col(key) / width))
-    inner = b.withColumn("_pos", F.row_number().over(Window.partitionBy("_b").orderBy(key)))
-    size = b.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = size.withColumn("_off", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(df.repartitionByRange(parts, key).withColumn("_b", F.spark_partition_id()))
+    offsets, total = [], 0
+    for b, n in sorted(ranged.groupBy("_b").count().collect()):
+        offsets.append((b, total))
+        total += n
+    before = spark.createDataFrame(offsets, "_b int, _off bigint")
+    inner = ranged.withColumn("_pos", F.row_number().over(Window.partitionBy("_b").orderBy(key)))
     return inner.join(before, "_b").withColumn(out, F.col("_off") + F.col("_pos")).drop("_b", "_pos", "_off")

@@ -36,15 +36,15 @@ def complete(tasks: DataFrame, deps: DataFrame, done: DataFrame) -> DataFrame:
     return done.select("id", F.lit("done").alias("new_status")).unionAll(freed)
 
 
-def dependents(deps: DataFrame, start: DataFrame, hops_per_round: int = 4, max_rounds: int = 64) -> DataFrame:
+def dependents(deps: DataFrame, start: DataFrame, hops_per_round: int = 4) -> DataFrame:
     """Every task that waits, directly or not, for a start task (root, id), by breadth-first joins.
 
     A round walks a few hops before it is written and compared with what is
-    known, so a deep chain costs a quarter of the rounds.
+    known, so a deep chain costs a quarter of the rounds. It ends when a round finds nothing new.
     """
     seen = cut_lineage(start.select("root", "id"))
     frontier = seen
-    for _ in range(max_rounds):
+    while True:
         hop, found = frontier, None
         for i in range(hops_per_round):
             hop = hop.join(deps, hop["id"] == deps["blocked_by"]).select("root", F.col("task_id").alias("id"))

@@ -104,16 +104,11 @@ def coverage(traits: DataFrame) -> DataFrame:
 def apply_review(traits: DataFrame, decisions: DataFrame) -> DataFrame:
     """Traits changed by review marks (mark x or r, id prefix); archived traits stay as they are.
 
-    Prefixes come in a few lengths, so each length is one equi-join on the prefix.
+    A trait's own prefixes meet the marks by one equi-join, so marks of any length, or none at all, are one plan.
     """
-    lengths = [r[0] for r in decisions.select(F.length("prefix")).distinct().collect()]
-    live = traits.where("status <> 'archived'")
-    out = None
-    for n in lengths:
-        part = decisions.where(F.length("prefix") == n)
-        hit = live.withColumn("prefix", F.substring("id", 1, n)).join(part, "prefix").select("id", "mark")
-        out = hit if out is None else out.unionAll(hit)
-    last = out.groupBy("id").agg(F.max("mark").alias("mark"))
+    own = F.explode(F.transform(F.sequence(F.lit(0), F.length("id")), lambda n: F.substring("id", F.lit(1), n)))
+    hits = traits.where("status <> 'archived'").select("id", own.alias("prefix")).join(decisions.select("prefix", "mark"), "prefix")
+    last = hits.groupBy("id").agg(F.max("mark").alias("mark"))
     return last.select("id", F.when(F.col("mark") == "x", "verified").otherwise("archived").alias("status"),
                        F.when(F.col("mark") == "x", "approved").otherwise("rejected").alias("approval"))
 
@@ -130,7 +125,7 @@ def identity_traits(nodes: DataFrame) -> DataFrame:
 
 
 def origin(traits: DataFrame) -> DataFrame:
-    return traits.select(F.col("id").alias("trait_id"), F.get_json_object("metadata", "$.migrated_from_node_id").cast("bigint").alias("target_id"))
+    return traits.select(F.col("id").alias("trait_id"), F.get_json_object("metadata", "$.migrated_from_node_id").try_cast("bigint").alias("target_id"))
 
 
 def evidence_from_edges(nodes: DataFrame, edges: DataFrame, traits: DataFrame) -> DataFrame:

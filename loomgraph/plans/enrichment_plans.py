@@ -13,7 +13,7 @@ from loomgraph.plans.sqlparts import quoted
 
 
 @query("lc26_pending_work", "LC26 LT1", "nodes", """WITH a AS (SELECT * FROM nodes WHERE status = 'active')
-SELECT 'new' AS phase, id FROM a WHERE enrichment_status = '{}' UNION ALL SELECT 'retry', id FROM a WHERE enrichment_status = 'failed'
+SELECT 'new' AS phase, id FROM a WHERE enriched_at IS NULL UNION ALL SELECT 'retry', id FROM a WHERE enrichment_status = 'failed'
 UNION ALL SELECT 'embedding_text', id FROM a WHERE summary IS NOT NULL AND len(key_concepts) > 0 UNION ALL SELECT 'layer_check', id FROM a WHERE layer IS NOT NULL UNION ALL SELECT 'secondary_types', id FROM a""")
 def lc26(t):
     return N.pending(t.nodes)

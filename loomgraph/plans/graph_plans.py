@@ -24,8 +24,9 @@ def gr05(t):
 
 
 @query("gr06_shortest_paths", "GR6", "nodes edges", f"""WITH RECURSIVE act AS (SELECT * FROM edges WHERE status = 'active'), {ends('act')},
-walk(id, hop) AS (SELECT CAST(20 AS BIGINT), 0 UNION SELECT e.nbr, w.hop + 1 FROM walk w JOIN ends e ON e.nid = w.id WHERE w.hop < 6),
-dist AS (SELECT id, min(hop) AS hop FROM walk GROUP BY id),
+walk(id, hop) USING KEY (id) AS (SELECT CAST(20 AS BIGINT), 0 UNION SELECT e.nbr, min(w.hop) + 1 FROM walk w JOIN ends e ON e.nid = w.id
+ WHERE NOT EXISTS (SELECT 1 FROM recurring.walk r WHERE r.id = e.nbr) GROUP BY e.nbr),
+dist AS (SELECT id, hop FROM walk),
 tree AS (SELECT d.id, d.hop, min(p.id) AS parent FROM dist d JOIN ends e ON e.nbr = d.id JOIN dist p ON p.id = e.nid AND p.hop = d.hop - 1 GROUP BY d.id, d.hop)
 SELECT t.id, t.hop, t.parent, arg_min(CASE WHEN e.outw THEN e.relation ELSE '<-' || e.relation END, (NOT e.outw, e.edge_id)) AS label
 FROM tree t JOIN ends e ON e.nid = t.parent AND e.nbr = t.id GROUP BY 1, 2, 3""")
@@ -64,13 +65,21 @@ def gr11(t):
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 
-@query("gr12_single_edge_nodes", "GR12 JN8 AG4", "nodes edges", f"""WITH act AS (SELECT * FROM edges WHERE status = 'active' AND relation = 'contradicts'), {ends('act')}
+@query("gr12_single_edge_nodes", "GR12 JN8 AG4", "nodes edges", f"""WITH act AS (SELECT * FROM edges WHERE status = 'active'), {ends('act')}
 SELECT n.id FROM nodes n JOIN ends e ON e.nid = n.id WHERE n.status = 'active' GROUP BY n.id HAVING count(*) = 1""")
 def gr12(t):
-    return G.single_edge_nodes(t.nodes, t.edges.where("relation = 'contradicts'")).select("id")
-
-
-@query("gr13_dense_clusters", "GR13 LT9", "nodes edges")
+    return G.single_edge_nodes(t.nodes, t.edges).select("id")
+
+
+@query("gr13_dense_clusters", "GR13 LT9", "nodes edges", f"""WITH RECURSIVE deg AS (SELECT id, count(*) AS degree FROM ({ENDPTS}) GROUP BY id),
+seeds AS (SELECT *, row_number() OVER (ORDER BY degree DESC, id) AS pos FROM deg ORDER BY degree DESC, id LIMIT 50), {ends('edges')},
+near AS (SELECT nid, nbr, row_number() OVER (PARTITION BY nid ORDER BY nbr) AS k FROM (SELECT DISTINCT nid, nbr FROM ends JOIN seeds ON seeds.id = nid)),
+cand AS (SELECT s.pos, s.id AS seed, s.degree, list(n.nbr ORDER BY n.nbr) AS members, count(a.id) + (SELECT count(*) FROM nodes x WHERE x.id = s.id AND x.status = 'active') AS alive
+ FROM seeds s JOIN near n ON n.nid = s.id AND n.k <= 14 LEFT JOIN nodes a ON a.id = n.nbr AND a.status = 'active' GROUP BY s.pos, s.id, s.degree),
+walk AS (SELECT CAST(0 AS BIGINT) AS pos, CAST([] AS BIGINT[]) AS taken, false AS ok UNION ALL
+ SELECT pos, CASE WHEN good THEN list_concat(taken, list_append(members, seed)) ELSE taken END, good FROM (
+  SELECT c.pos, c.members, c.seed, w.taken, NOT list_contains(w.taken, c.seed) AND len(c.members) >= 9 AND c.alive >= 10 AS good FROM walk w JOIN cand c ON c.pos = w.pos + 1))
+SELECT c.seed, c.degree, len(c.members) AS neighbours, array_to_string(c.members, ',') AS members FROM walk w JOIN cand c ON c.pos = w.pos WHERE w.ok""")
 def gr13(t):
     return G.dense_clusters(t.nodes, t.edges).select("seed", "degree", F.size("members").alias("neighbours"),
                                                      F.array_join("members", ",").alias("members"))

@@ -75,7 +75,13 @@ def lc08(t):
     return L.edge_pruning(t.nodes, t.edges)
 
 
-@query("lc08_edge_pruning_applied", "LC8", "nodes edges")
+@query("lc08_edge_pruning_applied", "LC8", "nodes edges", f"""WITH RECURSIVE {PRUNE}, todo AS (SELECT w.id, w.source_id, w.target_id, s.deg AS sd, t.deg AS td, n.tier = 0 OR coalesce(n.layer, 0) >= 2 AS old,
+ row_number() OVER (ORDER BY w.id) AS pos FROM weak w JOIN d s ON s.id = w.source_id JOIN d t ON t.id = w.target_id LEFT JOIN nodes n ON n.id = w.source_id),
+walk AS (SELECT CAST(0 AS BIGINT) AS pos, CAST([] AS BIGINT[]) AS gone, CAST(NULL AS BIGINT) AS id, '' AS decision UNION ALL
+ SELECT pos, CASE WHEN decision = 'delete' THEN list_concat(gone, [source_id, target_id]) ELSE gone END, id, decision FROM (
+  SELECT t.pos, w.gone, t.id, t.source_id, t.target_id, CASE WHEN t.sd - len(list_filter(w.gone, lambda x: x = t.source_id)) <= 1 OR t.td - len(list_filter(w.gone, lambda x: x = t.target_id)) <= 1
+   THEN 'guarded' WHEN coalesce(t.old, false) THEN 'archive' ELSE 'delete' END AS decision FROM walk w JOIN todo t ON t.pos = w.pos + 1))
+SELECT id, decision FROM walk WHERE pos > 0""")
 def lc08_applied(t):
     return L.edge_pruning_applied(t.nodes, t.edges)
 
@@ -204,12 +210,21 @@ def lc22(t):
     return L.semantic_drift(t.embeddings, t.embeddings.selectExpr("id - 1 AS id", "embedding"))
 
 
-@query("lc23_summary_anomalies", "LC23 AG10 WN9", "nodes", """WITH s AS (SELECT type, length(summary) AS len, row_number() OVER (PARTITION BY type ORDER BY coalesce(updated_at, created_at) DESC, id DESC) AS k FROM nodes WHERE status = 'active' AND coalesce(summary, '') <> '')
-SELECT type, count(*) AS sample_size, median(CAST(len AS DOUBLE)) AS median_len FROM s WHERE k <= 100 GROUP BY type HAVING count(*) >= 10""")
-def lc23(t):
+MEDIANS = """WITH s AS (SELECT type, length(summary) AS len, row_number() OVER (PARTITION BY type ORDER BY coalesce(updated_at, created_at) DESC, id DESC) AS k FROM nodes WHERE status = 'active' AND coalesce(summary, '') <> '')
+SELECT type, count(*) AS sample_size, median(CAST(len AS DOUBLE)) AS median_len FROM s WHERE k <= 100 GROUP BY type HAVING count(*) >= 10"""
+
+
+@query("lc23_summary_medians", "AG10 WN9", "nodes", MEDIANS)
+def lc23_medians(t):
     return L.summary_medians(t.nodes)
 
 
+@query("lc23_summary_anomalies", "LC23", "nodes", f"""SELECT n.id, n.type, length(n.summary) AS len, m.median_len FROM nodes n JOIN ({MEDIANS}) m ON m.type = n.type
+WHERE n.summary <> '' AND length(n.summary) > m.median_len * {O.SUMMARY_LENGTH_MULTIPLIER}""")
+def lc23(t):
+    return L.summary_anomalies(t.nodes)
+
+
 @query("mx10_status_counters", "MX10 AG3", "nodes", """SELECT count(*) FILTER (status = 'active') AS active, count(*) FILTER (status = 'pruning_candidate') AS pruning_candidate, count(*) FILTER (status = 'archived') AS archived FROM nodes""")
 def mx10(t):
     return t.nodes.agg(*[F.count(F.when(F.col("status") == s, 1)).alias(s) for s in ("active", "pruning_candidate", "archived")])

@@ -172,7 +172,7 @@ def rp03_stale(t):
     return Q.stale_policies(rules, t.traits, AS_OF, 30)
 
 
-@query("rp04_daily_counts", "RP4 AG15", "nodes", f"SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, count(*) AS n FROM nodes WHERE created_at >= {NOW} - INTERVAL 7 DAY GROUP BY 1")
+@query("rp04_daily_counts", "RP4 AG15", "nodes", f"SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, count(*) AS n FROM nodes WHERE status = 'active' AND created_at > {NOW} - INTERVAL 7 DAY GROUP BY 1")
 def rp04(t):
     return Q.daily_counts(t.nodes, AS_OF)
 

@@ -93,7 +93,7 @@ def ret05(t):
        "SELECT qid, id, 'Decision' AS hint, round(1.0 / (18 + rank), 9) AS part FROM d UNION ALL SELECT qid, id, 'Failure', round(0.8 / (18 + rank), 9) FROM f")
 def ret06(t):
     out = None
-    for hint in T.type_hints("결정 실패 도구"[:5]):
+    for hint in T.type_hints("결정 실패 도구"):
         hits = search(corpus(t), [VectorQuery(q.qid, q.vector, hint) for q in requests(t)], K * 2)
         part = R.contributions(hits, hint, O.TYPE_CHANNEL_WEIGHTS[hint]).select(
             "qid", "id", F.col("source").alias("hint"), F.round("part", 9).alias("part"))
@@ -208,7 +208,20 @@ def ret15(t):
     return out.select("qid", "rank", "id", "type", "project", F.array_join("sources", ",").alias("sources"), "score")
 
 
-@query("ret22_diverse_results", "RET22 RET30", "nodes edges")
+def diverse_sql(k: int) -> str:
+    most = max(1, int(k * 0.6))
+    return f"""{SCORED}, marked AS (SELECT *, rank <= {k} AS top, count(*) OVER (PARTITION BY qid) > {k} AS more, count(*) FILTER (rank <= {k}) OVER (PARTITION BY qid, type) AS same FROM final),
+crowd AS (SELECT DISTINCT qid, type AS crowded, same - {most} AS surplus FROM marked WHERE more AND same > {most}),
+staged AS (SELECT m.*, c.crowded, c.surplus, row_number() OVER (PARTITION BY m.qid, m.top, m.type IS NOT DISTINCT FROM c.crowded ORDER BY CASE WHEN m.top THEN -m.rank ELSE m.rank END) AS nth
+ FROM marked m LEFT JOIN crowd c ON c.qid = m.qid),
+diverse AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY qid ORDER BY score DESC, top DESC, rank) AS rank FROM staged
+ WHERE CASE WHEN top THEN crowded IS NULL OR type <> crowded OR nth > surplus ELSE crowded IS NOT NULL AND type <> crowded AND nth <= surplus END)"""
+
+
+@query("ret22_diverse_results", "RET22 RET30", "nodes edges", f"""WITH {diverse_sql(K)}
+SELECT qid, rank, id, type, substr(content, 1, 200) AS content, project, tags, round(score, 3) AS score, created_at, coalesce(layer, 1) AS layer,
+ round(coalesce(nullif(confidence, 0), 0.5), 2) AS confidence, coalesce(source, '') AS source, round(coalesce(quality_score, 0), 2) AS quality,
+ coalesce(node_role, '') AS node_role, coalesce(epistemic_status, 'provisional') AS epistemic_status FROM diverse WHERE rank <= {K}""")
 def ret22(t):
     out = R.hybrid_search(t.nodes, t.edges, t.embeddings, requests(t), AS_OF)
     return R.format_results(out)
@@ -271,11 +284,18 @@ def ret29(t):
     return R.causal_chains(t.nodes, t.edges, _ranked(t))
 
 
-@query("ret31_recall_log_rows", "RET31 RET32 ST5", "nodes edges", f"""WITH {TOP},
+@query("ret31_recall_log_rows", "RET31", "nodes edges", f"""WITH {TOP}
+SELECT 'batch' AS query, id AS node_id, rank, score, 'auto' AS mode, 'r1' AS recall_id, '[' || array_to_string(list_transform(string_split(f.sources, ','), lambda s: '"' || s || '"'), ',') || ']' AS sources
+FROM res JOIN (SELECT qid, id, sources FROM fused) f USING (qid, id)""")
+def ret31_log(t):
+    return R.recall_log_rows(_ranked(t), "batch", "auto", "r1")
+
+
+@query("ret32_retrieval_log_row", "RET32", "nodes edges", f"""WITH {TOP},
 kinds AS (SELECT qid, '{{' || string_agg('"' || type || '":' || n, ',' ORDER BY type) || '}}' AS slot_distribution FROM (SELECT qid, type, count(*) AS n FROM res GROUP BY ALL) GROUP BY qid)
 SELECT r.qid, '[' || string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) || ']' AS returned_ids, CAST(count(DISTINCT nullif(project, '')) > 1 AS INTEGER) AS cross_domain,
  any_value(k.slot_distribution) AS slot_distribution, 'batch' AS query, 0 AS feedback_linked FROM res r JOIN kinds k ON k.qid = r.qid GROUP BY r.qid""")
-def ret31(t):
+def ret32(t):
     return R.retrieval_log_row(_ranked(t), "batch")
 
 

@@ -40,14 +40,13 @@ def src07(t):
     return markdown.same_file_edges(t.base("conversations").selectExpr("conv_id AS doc", "conv_id * 1000 + turn AS id"))
 
 
-@query("src08_catalog_sync", "SRC8 LC24 SO4", "edges", f"""WITH d AS (SELECT DISTINCT unnest([{quoted(O.SCHEMA_RELATIONS)}]) AS name), s AS (SELECT relation AS name, CASE WHEN count(*) < 1100 AND relation < 'd' THEN 'deprecated' ELSE 'active' END AS status FROM edges GROUP BY relation)
+@query("src08_catalog_sync", "SRC8 LC24 SO4", "edges", f"""WITH d AS (SELECT DISTINCT unnest([{quoted(O.SCHEMA_RELATIONS)}]) AS name), s AS (SELECT relation AS name, CASE WHEN relation < 'd' THEN 'deprecated' ELSE 'active' END AS status FROM edges GROUP BY relation)
 SELECT coalesce(d.name, s.name) AS name, CASE WHEN s.name IS NULL THEN 'insert' WHEN d.name IS NULL AND s.status = 'active' THEN 'deprecate' WHEN d.name IS NULL THEN 'none' WHEN s.status = 'deprecated' THEN 'reactivate' ELSE 'none' END AS action
 FROM d FULL JOIN s ON s.name = d.name""")
 def src08(t):
     declared = t.spark.createDataFrame([(r, "") for r in O.SCHEMA_RELATIONS], "name string, description string")
-    retired = (F.count("*") < 1100) & (F.col("relation") < "d")
-    stored = t.edges.groupBy("relation").agg(F.when(retired, "deprecated").otherwise("active").alias("status")).select(
-        F.col("relation").alias("name"), F.lit("").alias("description"), "status")
+    stored = t.edges.select("relation").distinct().select(
+        F.col("relation").alias("name"), F.lit("").alias("description"), F.when(F.col("relation") < "d", "deprecated").otherwise("active").alias("status"))
     return sync_catalog(declared, stored, reactivate=True)
 
 
@@ -115,13 +114,13 @@ def flt17(t):
     return B.validate_types(t.nodes.select("id", seen.alias("type")), catalog.type_defs(t.spark, {"Workflow": "Pattern"}))
 
 
-@query("jn20_project_isolated", "JN20 TK5", "nodes edges", """WITH a AS (SELECT * FROM edges WHERE status = 'active' AND relation = 'led_to'), x AS (SELECT source_id AS i, target_id AS j FROM a UNION ALL SELECT target_id, source_id FROM a)
+@query("jn20_project_isolated", "JN20 TK5", "nodes edges", """WITH a AS (SELECT * FROM edges WHERE status = 'active'), x AS (SELECT source_id AS i, target_id AS j FROM a UNION ALL SELECT target_id, source_id FROM a)
 SELECT id, type, visit_count FROM nodes n WHERE status = 'active' AND type IN ('Principle', 'Pattern', 'Insight', 'Decision', 'Failure', 'Goal', 'Identity', 'Signal') AND project <> ''
  AND NOT EXISTS (SELECT 1 FROM x JOIN nodes m ON m.id = x.j WHERE x.i = n.id AND m.project <> '' AND m.project <> n.project)
 ORDER BY type IN ('Principle', 'Pattern', 'Insight') DESC, visit_count DESC NULLS LAST, id LIMIT 200""")
 def jn20(t):
     kinds = ["Principle", "Pattern", "Insight", "Decision", "Failure", "Goal", "Identity", "Signal"]
-    return B.project_isolated(t.nodes, t.edges.where("relation = 'led_to'"), kinds, kinds[:3]).select("id", "type", "visit_count")
+    return B.project_isolated(t.nodes, t.edges, kinds, kinds[:3]).select("id", "type", "visit_count")
 
 
 @query("wn03_previous_session", "WN3 MX5", "sessions", "SELECT id, session_id, lag(id) OVER (PARTITION BY project ORDER BY started_at, id) AS previous_id FROM sessions")

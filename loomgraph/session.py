@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ def build_session(app: str = "loomgraph", cpus: int | None = None, shuffle: int
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("LOOMGRAPH_DRIVER_MEMORY", "12g"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -31,11 +33,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     Reliable checkpoint into the folder the cluster names in
     ``spark.checkpoint.dir``: the step survives the loss of any executor.
-    Only where that setting is absent (tests) a scratch folder is chosen.
+    Where that setting is absent, a local session (tests) gets a scratch folder;
+    a cluster must name one, since its executors do not see the driver's.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomgraph-ckpt-"))
     return df.checkpoint(eager=True)

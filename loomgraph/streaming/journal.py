@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,14 @@ def write_journal(events: DataFrame, folder: str, checkpoint: str) -> StreamingQ
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def _written(spark: SparkSession, folder: str) -> bool:
+    """Whether the folder holds a finished batch; errors of the file system are not taken for an empty folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.exists(path) and any(s.isDirectory() and system.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
+                                       for s in system.listStatus(path))
+
+
 def intake_nodes(rows: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Append nodes whose content hash is new, batch by batch.
 
@@ -46,10 +55,12 @@ def intake_nodes(rows: DataFrame, folder: str, checkpoint: str) -> StreamingQuer
     def one(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         mine = f"{folder}/batch={batch_id}"
-        try:
+        if _written(spark, folder):
             known = spark.read.parquet(folder).where(F.col("batch") != batch_id)
-        except Exception:  # noqa: BLE001 - nothing written yet
+        else:
             known = batch.limit(0).select("id", "content_hash")
+        # only hashes that the batch brings are looked up
+        known = known.select("id", "content_hash").join(batch.select("content_hash").distinct(), "content_hash", "left_semi")
         fresh = insert_nodes(known, batch).where("outcome = 'inserted'").select("id")
         batch.join(fresh, "id", "left_semi").write.mode("overwrite").parquet(mine)
 
@@ -58,24 +69,24 @@ def intake_nodes(rows: DataFrame, folder: str, checkpoint: str) -> StreamingQuer
 
 
 SPRT_OUT = "id bigint, n_obs bigint, verdict string"
-SPRT_STATE = "n_obs bigint, llr double, verdict string"
+SPRT_STATE = "ts array<bigint>, seq array<bigint>, score array<double>"
 
 
 def running_sprt(scores: DataFrame) -> DataFrame:
-    """Verdict per node (id, score, ts) after each batch; state is three numbers and a word, whatever the history.
+    """Verdict per node (id, score, ts, seq) after each batch, over its last ``SPRT_HISTORY`` scores, as in the batch form.
 
-    Verdicts before ``SPRT_MIN_OBS`` observations are held back, as in the batch form.
+    State holds those scores and no more; they are folded anew, since the oldest drop out. ``ts`` is a number that grows with time.
+    Verdicts before ``SPRT_MIN_OBS`` observations are held back.
     """
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, llr, verdict = state.get if state.exists else (0, 0.0, "open")
-        rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
-        for score in rows["score"]:
-            n += 1
-            if verdict == "open":
-                llr += SPRT_HIT if score > 0.5 else SPRT_MISS
-                verdict = "promote" if llr >= SPRT_UPPER else "reject" if llr <= SPRT_LOWER else "open"
-        state.update((n, llr, verdict))
-        shown = verdict if n >= O.SPRT_MIN_OBS else "open"
-        yield pd.DataFrame({"id": [key[0]], "n_obs": [n], "verdict": [shown]})
+        new = pd.concat(list(frames))[["ts", "seq", "score"]]
+        if state.exists:
+            new = pd.concat([pd.DataFrame(dict(zip(["ts", "seq", "score"], map(list, state.get)))), new])
+        last = new.sort_values(["ts", "seq"]).tail(O.SPRT_HISTORY)
+        state.update(tuple(last[c].tolist() for c in last.columns))
+        total = np.cumsum(np.where(last["score"] > 0.5, SPRT_HIT, SPRT_MISS))
+        crossed = np.flatnonzero((total >= SPRT_UPPER) | (total <= SPRT_LOWER))
+        verdict = "open" if not len(crossed) else "promote" if total[crossed[0]] >= SPRT_UPPER else "reject"
+        yield pd.DataFrame({"id": [key[0]], "n_obs": [len(last)], "verdict": [verdict if len(last) >= O.SPRT_MIN_OBS else "open"]})
 
     return scores.groupBy("id").applyInPandasWithState(step, SPRT_OUT, SPRT_STATE, "update", GroupStateTimeout.NoTimeout)

@@ -1,10 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomgraph import ontology as O
 from loomgraph.functions import text as T
+from loomgraph.functions import vector as V
 from loomgraph.functions.vector import VectorQuery, search
 from loomgraph.operators import retrieval as R
 
@@ -32,34 +34,52 @@ def test_vector_search_zero_rows_and_filters(spark):
     assert got == [(0, 1, 0.0), (0, 2, 1.0), (2, 3, 2.0)]
 
 
-def greedy(rows, k, ratio=0.6):
-    """Independent restatement: move the weakest surplus rows out, fill from the rest in order."""
-    top, rest = rows[:k], rows[k:]
-    if not rest:
-        return rows
-    cap = max(1, int(k * ratio))
-    kinds = {}
-    for r in top:
-        kinds[r[1]] = kinds.get(r[1], 0) + 1
-    for kind, n in sorted(kinds.items(), key=lambda kv: -kv[1]):
-        while n > cap:
-            i = max(j for j, r in enumerate(top) if r[1] == kind)
-            rest = [top.pop(i)] + rest
-            n -= 1
-            other = [j for j, r in enumerate(rest) if r[1] != kind]
-            if other:
-                top.append(rest.pop(other[0]))
-    return sorted(top, key=lambda r: -r[2])[:k]
-
-
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(6))
 def test_diversity_limits_one_type(spark, seed):
+    """Properties: as many rows as asked, no type over its share while others follow, the best of each type, in order."""
     rnd = random.Random(seed)
-    rows = sorted(((i, rnd.choice("AAAB"), round(rnd.random(), 6)) for i in range(15)), key=lambda r: -r[2])
+    rows = sorted(((i, rnd.choice("AAAAB" if seed % 2 else "AB"), round(rnd.random(), 6)) for i in range(15)), key=lambda r: -r[2])
     df = spark.createDataFrame([(0, i, t, s, n + 1, 5) for n, (i, t, s) in enumerate(rows)],
                                "qid bigint, id bigint, type string, score double, rank int, top_k int")
-    got = [r["id"] for r in R.diversify(df).orderBy("rank").collect()]
-    assert got == [r[0] for r in greedy(list(rows), 5)]
+    got = [(r["id"], r["type"], r["score"]) for r in R.diversify(df).orderBy("rank").collect()]
+    assert [s for *_, s in got] == sorted((s for *_, s in got), reverse=True)
+    for kind in "AB":
+        own = [r for r in rows if r[1] == kind]
+        taken = [r for r in got if r[1] == kind]
+        assert taken == own[:len(taken)]
+    n_a, n_b = (sum(r[1] == kind for r in rows) for kind in "AB")
+    assert len(got) == 5 if min(n_a, n_b) >= 2 else len(got) <= 5
+    before = sum(r[1] == "A" for r in rows[:5])
+    assert sum(r[1] == "A" for r in got) == min(max(before, 2), 3) if n_b >= 2 and n_a >= 2 else True
+
+
+def test_diversity_without_later_rows(spark):
+    df = spark.createDataFrame([(0, i, "A", 1.0 - i / 10, i + 1, 5) for i in range(5)], "qid bigint, id bigint, type string, score double, rank int, top_k int")
+    assert [r["id"] for r in R.diversify(df).orderBy("rank").collect()] == list(range(5))
+
+
+@pytest.mark.parametrize("by_type", [None, ["A", "B"]])
+def test_neighbours_are_exact(spark, by_type, monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(V, "BLOCK_ROWS", 20)
+    x = rng.normal(size=(200, 6))
+    x[50:120] = x[50] + 0.01 * rng.normal(size=(70, 6))
+    x[7] = 0
+    kinds = ["A" if i % 9 else "B" for i in range(200)]
+    df = spark.createDataFrame([(i, kinds[i], "p", v.tolist()) for i, v in enumerate(x)], "id bigint, type string, project string, embedding array<double>")
+    got = {(r["qid"], r["hint"], r["rank"]): (r["id"], r["distance"]) for r in V.neighbours(df, df, 4, by_type).collect()}
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    u = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+    want = {}
+    for q in range(200):
+        for hint in (by_type or [""]) if norm[q] else []:
+            d = np.round(1 - u @ u[q], 9)
+            able = [i for i in range(200) if i != q and (not hint or kinds[i] == hint)]
+            for rank, i in enumerate(sorted(able, key=lambda i: (d[i], i))[:4]):
+                want[(q, hint, rank + 1)] = (i, d[i])
+    assert got.keys() == want.keys()
+    assert all(got[key][1] == pytest.approx(want[key][1], abs=2e-9) for key in want)
+    assert sum(got[key][0] != want[key][0] for key in want) <= 0.02 * len(want)  # ties at the ninth digit
 
 
 def test_saturation_boundary(spark):
