@@ -82,6 +82,13 @@ def next_lines(tasks: DataFrame, project: str = "", limit: int = 10) -> DataFram
 
 # --- events ----------------------------------------------------------------
 
+def checked_events(events: DataFrame) -> DataFrame:
+    """Every event with whether its type is one of the known ones; an unknown one is refused with the list of those."""
+    ok = F.coalesce(F.col("event_type").isin(EVENT_TYPES), F.lit(False))
+    refusal = F.concat(F.lit("unknown event type, expected: "), F.lit(", ".join(EVENT_TYPES)))
+    return events.select("event_id", "event_type", ok.alias("accepted"), F.when(~ok, refusal).alias("error"))
+
+
 def first_arrivals(events: DataFrame) -> DataFrame:
     """One row per event id; a repeated message changes nothing."""
     return events.dropDuplicates(["event_id"])

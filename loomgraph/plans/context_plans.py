@@ -9,7 +9,7 @@ from loomgraph.operators import context as C
 from loomgraph.operators import tasks as K
 from loomgraph.operators import traits as R
 from loomgraph.plans.registry import query
-from loomgraph.plans.sqlparts import NOW
+from loomgraph.plans.sqlparts import NOW, quoted
 
 _A = "SELECT * FROM nodes WHERE status = 'active'"
 
@@ -137,11 +137,23 @@ def ts05(t):
 
 # --- events ----------------------------------------------------------------
 
-@query("st01_first_arrivals", "ST1 MX7", "session_events", "SELECT DISTINCT event_id, session_id, event_type, status FROM session_events")
+@query("st01_first_arrivals", "ST1", "session_events", "SELECT DISTINCT event_id, session_id, event_type, status FROM session_events")
 def st01(t):
     return K.first_arrivals(t.session_events).select("event_id", "session_id", "event_type", "status")
 
 
+@query("mx07_event_types", "MX7", "session_events", f"""WITH e AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'signal' WHEN 'click' THEN 'decision' ELSE event_type END AS event_type FROM session_events)
+SELECT event_id, event_type, event_type IN ({quoted(K.EVENT_TYPES)}) AS accepted, CASE WHEN event_type NOT IN ({quoted(K.EVENT_TYPES)}) THEN 'unknown event type, expected: {", ".join(K.EVENT_TYPES)}' END AS error FROM e""")
+def mx07(t):
+    seen = F.when(F.col("event_type") == "view", "signal").when(F.col("event_type") == "click", "decision").otherwise(F.col("event_type"))
+    return K.checked_events(t.session_events.select("event_id", seen.alias("event_type")))
+
+
+@query("cx03_project_decisions", "CX3", "nodes", """SELECT id, type, created_at FROM nodes WHERE status = 'active' AND type = 'Decision' AND (contains(lower(content), 'the') OR contains(lower(content), 'de')) ORDER BY created_at DESC, id LIMIT 5""")
+def cx03_decisions(t):
+    return C.project_decisions(t.nodes, ["The", "de"]).select("id", "type", "created_at")
+
+
 @query("st02_poll_events", "ST2 FLT1", "session_events", """SELECT DISTINCT event_id, session_id, event_type, created_at FROM session_events WHERE status = 'ACTIVE' AND session_id <> 's8' AND event_type = 'click' AND target IN ('s8', 'all', '') AND created_at >= TIMESTAMP '2024-01-15' ORDER BY created_at DESC, event_id LIMIT 50""")
 def st02(t):
     return K.poll(K.first_arrivals(t.session_events), "s8", since="2024-01-15 00:00:00", target="s8", event_type="click").select(

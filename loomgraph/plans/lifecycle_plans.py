@@ -191,12 +191,20 @@ def lc19(t):
     return L.promote(t.nodes, chosen, AS_OF).drop("history")
 
 
+@query("lc19_realized_edges", "LC19", "nodes edges recall_log", f"""WITH {PROMOTABLE}, ch AS (SELECT * FROM cand WHERE growth >= 0.5)
+SELECT e.source_id, e.target_id, 'realized_as' AS relation, CAST(1.0 AS DOUBLE) AS strength FROM edges e JOIN ch ON ch.id = e.target_id WHERE e.status = 'active' AND e.relation = 'supports'""")
+def lc19_edges(t):
+    chosen = L.promotion_candidates(t.nodes, t.edges, t.recall_log, AS_OF)
+    related = G.active(t.edges).where("relation = 'supports'").select("target_id", F.col("source_id").alias("id"))
+    return L.realized_edges(chosen, related)
+
+
 @query("lc20_tiers", "LC20", "nodes", """SELECT id, tier, CAST(CASE WHEN layer = 2 AND quality_score >= 0.8 THEN 1 WHEN layer >= 3 THEN 0 WHEN tier IN (0, 1) THEN tier ELSE 2 END AS INTEGER) AS new_tier FROM nodes WHERE status = 'active'""")
 def lc20(t):
     return L.assign_tiers(t.nodes)
 
 
-@query("lc21_flags", "LC21 MX2", "nodes feedback_events", """WITH f AS (SELECT DISTINCT CAST(substr(target_id, 2) AS BIGINT) AS id FROM feedback_events WHERE target_type = 'node' AND feedback_type = 'flag')
+@query("lc21_flags", "LC21", "nodes feedback_events", """WITH f AS (SELECT DISTINCT CAST(substr(target_id, 2) AS BIGINT) AS id FROM feedback_events WHERE target_type = 'node' AND feedback_type = 'flag')
 SELECT n.id, round(greatest(0.1, coalesce(nullif(confidence, 0), 0.5) - 0.2), 6) AS confidence, 'flagged' AS epistemic_status FROM nodes n JOIN f ON f.id = n.id WHERE n.status = 'active'""")
 def lc21(t):
     f = t.feedback_events.where("target_type = 'node' AND feedback_type = 'flag'").select(
@@ -204,6 +212,32 @@ def lc21(t):
     return L.flag_nodes(t.nodes, f)
 
 
+FLAGS = """f AS (SELECT DISTINCT CAST(substr(target_id, 2) AS BIGINT) AS id, CASE CAST(substr(target_id, 2) AS BIGINT) % 3 WHEN 0 THEN 'inaccurate' WHEN 1 THEN 'outdated' ELSE 'irrelevant' END AS flag
+ FROM feedback_events WHERE target_type = 'node')"""
+
+
+def _flags(t):
+    node = F.substring("target_id", 2, 20).cast("bigint")
+    kind = F.when(F.col("id") % 3 == 0, "inaccurate").when(F.col("id") % 3 == 1, "outdated").otherwise("irrelevant")
+    return t.feedback_events.where("target_type = 'node'").select(node.alias("id")).distinct().withColumn("flag", kind)
+
+
+@query("lc21_flag_kinds", "LC21", "nodes feedback_events", f"""WITH {FLAGS}
+SELECT n.id, round(greatest(0.1, coalesce(nullif(confidence, 0), 0.5) - CASE flag WHEN 'inaccurate' THEN 0.2 WHEN 'outdated' THEN 0.15 ELSE 0.1 END), 6) AS confidence,
+ CASE flag WHEN 'inaccurate' THEN 'flagged' ELSE flag END AS epistemic_status FROM nodes n JOIN f ON f.id = n.id WHERE n.status = 'active'""")
+def lc21_kinds(t):
+    return L.flag_nodes(t.nodes, _flags(t))
+
+
+@query("lc21_flag_corrections", "LC21", "nodes feedback_events", f"""WITH {FLAGS}
+SELECT n.id AS contradicts_id, '[Correction] Node #' || n.id || ' flagged as ' || flag || ': checked' AS content, n.project, 'Correction' AS type, CAST(0.8 AS DOUBLE) AS confidence,
+ CAST(0.9 AS DOUBLE) AS edge_strength, 'node' AS target_type, flag AS feedback_type FROM nodes n JOIN f ON f.id = n.id WHERE n.status = 'active'""")
+def lc21_corrections(t):
+    node, feedback = L.flag_corrections(t.nodes, _flags(t).withColumn("reason", F.lit("checked")))
+    told = feedback.select(F.col("target_id").alias("contradicts_id"), "target_type", "feedback_type")
+    return node.select("contradicts_id", "content", "project", "type", "confidence", "edge_strength").join(told, "contradicts_id")
+
+
 @query("lc22_semantic_drift", "LC22", "", """SELECT a.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) < 0.5 AS drifted
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
 def lc22(t):

@@ -87,13 +87,15 @@ def ret05(t):
     return R.two_letter_assist(t.nodes, qs, R.text_search(t.nodes, qs, K * 4), K * 4)
 
 
-@query("ret06_typed_vector_channel", "RET6", "nodes",
-       f"WITH {vec_sql('d', 10, 's.t = n.type').replace('embeddings e JOIN', '(VALUES (chr(68)||chr(101)||chr(99)||chr(105)||chr(115)||chr(105)||chr(111)||chr(110))) s(t), embeddings e JOIN')}, "
-       f"{vec_sql('f', 10, chr(110) + '.type = ' + chr(39) + 'Failure' + chr(39))} "
-       "SELECT qid, id, 'Decision' AS hint, round(1.0 / (18 + rank), 9) AS part FROM d UNION ALL SELECT qid, id, 'Failure', round(0.8 / (18 + rank), 9) FROM f")
+HINTED = "결정 실패 도구"  # three types are named, two of them count
+HINTS = T.type_hints(HINTED)
+
+
+@query("ret06_typed_vector_channel", "RET6", "nodes", "WITH " + ", ".join(vec_sql(f"h{i}", 10, f"n.type = '{h}'") for i, h in enumerate(HINTS)) + " " + " UNION ALL ".join(
+    f"SELECT qid, id, '{h}' AS hint, round(CAST({O.TYPE_CHANNEL_WEIGHTS[h]} AS DOUBLE) / (18 + rank), 9) AS part FROM h{i}" for i, h in enumerate(HINTS)))
 def ret06(t):
     out = None
-    for hint in T.type_hints("결정 실패 도구"):
+    for hint in T.type_hints(HINTED):
         hits = search(corpus(t), [VectorQuery(q.qid, q.vector, hint) for q in requests(t)], K * 2)
         part = R.contributions(hits, hint, O.TYPE_CHANNEL_WEIGHTS[hint]).select(
             "qid", "id", F.col("source").alias("hint"), F.round("part", 9).alias("part"))
@@ -357,7 +359,7 @@ def ret36(t):
         F.col("qid").alias("id"), F.col("id").alias("failure_id"), F.round(1 - F.col("distance"), 6).alias("similarity"))
 
 
-@query("ret37_classify", "RET37 MX4 FLT19", "nodes", """SELECT id, CASE WHEN type = 'Correction' THEN NULL WHEN type IN ('Observation', 'Narrative', 'Question') THEN 0
+@query("ret37_classify", "RET37", "nodes", """SELECT id, CASE WHEN type = 'Correction' THEN NULL WHEN type IN ('Observation', 'Narrative', 'Question') THEN 0
  WHEN type IN ('Pattern', 'Insight', 'Framework') THEN 2 WHEN type IN ('Principle', 'Identity') THEN 3 ELSE 1 END AS default_layer,
  CASE WHEN type IN ('Principle', 'Identity') THEN 0 ELSE 2 END AS start_tier FROM nodes""")
 def ret37(t):
@@ -365,6 +367,16 @@ def ret37(t):
     return t.nodes.select("id", layer.alias("default_layer"), tier.alias("start_tier"))
 
 
+@query("ret37_suggest_type", "FLT19 MX4", "nodes", "WITH x AS (SELECT id, lower(content || CASE id % 997 "
+       + " ".join(f"WHEN {i} THEN ' {words[0]}'" for i, words in enumerate(O.SUGGEST_KEYWORDS.values())) + " ELSE '' END) AS c FROM nodes) SELECT id, CASE "
+       + " ".join("WHEN " + " OR ".join(f"contains(c, '{w}')" for w in words) + f" THEN '{kind}'" for kind, words in O.SUGGEST_KEYWORDS.items())
+       + " ELSE 'Unclassified' END AS suggested FROM x")
+def ret37_suggest(t):
+    # the invented prose holds few keywords, so a row of each kind gets the first one of its kind
+    added = F.concat(*[F.when(F.col("id") % 997 == i, f" {words[0]}").otherwise("") for i, words in enumerate(O.SUGGEST_KEYWORDS.values())])
+    return t.nodes.select("id", R.suggest_type(F.concat("content", added)).alias("suggested"))
+
+
 SCENARIOS = {0: "english_query", 1: "two_word_query", 2: "mixed_length_query"}
 
 

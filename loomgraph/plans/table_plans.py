@@ -58,7 +58,7 @@ def snk01(t):
     return B.insert_nodes(t.nodes.where(core), t.nodes.where(~core))
 
 
-@query("snk02_insert_edges", "SNK2 MX2", "edges", f"""SELECT id, relation AS asked, CASE relation WHEN 'realizes' THEN 'expressed_as' WHEN 'influences' THEN 'correlated_with' ELSE relation END AS stored, relation IN ('realizes', 'influences') AS corrected FROM edges""")
+@query("snk02_insert_edges", "SNK2", "edges", f"""SELECT id, relation AS asked, CASE relation WHEN 'realizes' THEN 'expressed_as' WHEN 'influences' THEN 'correlated_with' ELSE relation END AS stored, relation IN ('realizes', 'influences') AS corrected FROM edges""")
 def snk02(t):
     return B.insert_edges(t.edges)
 
