@@ -129,6 +129,24 @@ def visit_update(nodes: DataFrame, results: DataFrame, as_of: str) -> DataFrame:
         now(as_of).alias("last_accessed_at"))
 
 
+def activation_rows(results: DataFrame, query: str, session: str, as_of: str) -> DataFrame:
+    """Journal rows of one recall (qid, id, rank, score, type, layer): a summary, and a row for each of the first ten nodes."""
+    asked = F.lit(query[:200])
+    score = F.round("score", 4)
+    top = results.where("rank <= 10")
+    first = F.sort_array(F.collect_list(F.struct("rank", "id", score.alias("s"))))
+    sums = top.groupBy("qid").agg(first.alias("first")).join(results.groupBy("qid").agg(F.count("*").alias("n")), "qid")
+    recall = sums.select(
+        "qid", F.lit("recall").alias("action_type"), F.lit("claude").alias("actor"), F.lit(None).cast("bigint").alias("target_id"),
+        F.to_json(F.struct(asked.alias("query"), F.col("n").alias("result_count"), F.transform("first", lambda x: x["id"]).alias("top_ids"))).alias("params"),
+        F.to_json(F.struct(F.col("n").alias("count"), F.transform(F.slice("first", 1, 5), lambda x: x["s"]).alias("top_scores"))).alias("result"))
+    node = F.to_json(F.struct(asked.alias("context_query"), score.alias("activation_score"), F.col("rank").alias("activation_rank"), F.lit("hybrid").alias("channel"),
+                              F.coalesce("type", F.lit("")).alias("node_type"), F.col("layer").alias("node_layer")), {"ignoreNullFields": "false"})
+    each = top.select("qid", F.lit("node_activated").alias("action_type"), F.lit("system").alias("actor"), F.col("id").alias("target_id"),
+                      node.alias("params"), F.lit(None).cast("string").alias("result"))
+    return recall.unionAll(each).withColumn("session_id", F.lit(session)).withColumn("created_at", now(as_of))
+
+
 def edge_contribution(edges: DataFrame, seeds: DataFrame, top: DataFrame) -> DataFrame:
     """+1 on active edges between a seed and one of the first five results of the same request."""
     s, r = seeds.select("qid", "id"), top.select("qid", "id")

@@ -70,6 +70,27 @@ def guard_edges(proposed: DataFrame, nodes: DataFrame, edges: DataFrame) -> Data
             .join(known, ["source_id", "target_id", "relation"], "left_anti"))
 
 
+def correction_rows(edges: DataFrame, as_of: str, by: str = "system") -> DataFrame:
+    """Audit rows of the relations that were stored under another name than asked for."""
+    return insert_edges(edges).where("corrected").select(
+        F.lit(0).cast("bigint").alias("node_id"), F.col("id").alias("edge_id"), F.lit("relation").alias("field"), F.col("asked").alias("old_value"),
+        F.col("stored").alias("new_value"), F.lit("canonical relation").alias("reason"), F.lit(by).alias("corrected_by"),
+        F.lit(as_of).cast("timestamp_ntz").alias("created_at"))
+
+
+def count_up(counters: DataFrame, happened: DataFrame) -> DataFrame:
+    """Text counters (key, value) after one more for every row of ``happened`` (key): the leading digits count, anything else is 0."""
+    more = happened.groupBy("key").agg(F.count("*").alias("n"))
+    held = F.coalesce(F.regexp_extract(F.coalesce("value", F.lit("")), r"^\s*([+-]?\d+)", 1).try_cast("bigint"), F.lit(0))
+    return counters.join(more, "key", "full_outer").select(
+        "key", F.when(F.col("n").isNull(), F.col("value")).otherwise((held + F.col("n")).cast("string")).alias("value"))
+
+
+def replace_day(snapshots: DataFrame, fresh: DataFrame, day: str = "snapshot_date") -> DataFrame:
+    """Snapshots with the days of ``fresh`` taken from there, as one overwrite of those partitions would leave them."""
+    return snapshots.join(fresh.select(day).distinct(), day, "left_anti").unionByName(fresh)
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str] | None = None) -> DataFrame:
     """New snapshot: rows of ``new`` replace those of ``old`` with the same key, but for the ``keep`` columns."""
     keep = keep or []

@@ -9,7 +9,7 @@ from loomgraph.fixtures import AS_OF
 from loomgraph.operators import graph as G
 from loomgraph.operators import lifecycle as L
 from loomgraph.plans.registry import query
-from loomgraph.plans.retrieval_plans import SCORED, _ranked
+from loomgraph.plans.retrieval_plans import SCORED, TOP, _ranked
 from loomgraph.plans.sqlparts import LIVE, NOW, ends, quoted
 
 TOP5 = f"{SCORED}, res AS (SELECT qid, id, rank FROM final WHERE rank <= 5)"
@@ -47,7 +47,7 @@ def lc04(t):
     return L.visit_update(t.nodes, _ranked(t, 5), AS_OF).drop("last_accessed_at")
 
 
-@query("lc06_edge_contribution", "LC6 LC5", "nodes edges", f"""WITH {TOP5}, hit AS (SELECT DISTINCT s.qid, e.id FROM edges e JOIN seeds s ON s.id IN (e.source_id, e.target_id)
+@query("lc06_edge_contribution", "LC6", "nodes edges", f"""WITH {TOP5}, hit AS (SELECT DISTINCT s.qid, e.id FROM edges e JOIN seeds s ON s.id IN (e.source_id, e.target_id)
  JOIN res r ON r.qid = s.qid AND ((s.id = e.source_id AND r.id = e.target_id) OR (s.id = e.target_id AND r.id = e.source_id)) WHERE e.status = 'active')
 SELECT e.id, coalesce(e.frequency, 0) + h.c AS frequency FROM edges e JOIN (SELECT id, count(*) AS c FROM hit GROUP BY id) h ON h.id = e.id""")
 def lc06(t):
@@ -56,6 +56,15 @@ def lc06(t):
     return L.edge_contribution(t.edges, seeds, _ranked(t, 5))
 
 
+@query("lc05_activation_rows", "LC5", "nodes edges", f"""WITH {TOP}, t AS (SELECT r.*, n.layer, CAST(round(r.score, 4) AS VARCHAR) AS s FROM res r JOIN nodes n ON n.id = r.id)
+SELECT qid, 'recall' AS action_type, 'claude' AS actor, CAST(NULL AS BIGINT) AS target_id, '{{"query":"batch","result_count":' || count(*) || ',"top_ids":[' || string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) FILTER (rank <= 10) || ']}}' AS params,
+ '{{"count":' || count(*) || ',"top_scores":[' || string_agg(s, ',' ORDER BY rank) FILTER (rank <= 5) || ']}}' AS result FROM t GROUP BY qid
+UNION ALL SELECT qid, 'node_activated', 'system', id, '{{"context_query":"batch","activation_score":' || s || ',"activation_rank":' || rank || ',"channel":"hybrid","node_type":"' || type || '","node_layer":' || coalesce(CAST(layer AS VARCHAR), 'null') || '}}', NULL FROM t WHERE rank <= 10""")
+def lc05(t):
+    ranked = _ranked(t).select("qid", "id", "rank", "score", "type", "layer")
+    return L.activation_rows(ranked, "batch", "s1", AS_OF).drop("session_id", "created_at")
+
+
 @query("lc07_edge_decay", "LC7", "edges", f"""WITH b AS (SELECT id, coalesce(strength, 0) AS s, strength, {_age('coalesce(last_activated, created_at)')} AS d FROM edges WHERE status <> 'deleted'),
 r AS (SELECT *, s * pow(CAST(0.999 AS DOUBLE), d) AS raw FROM b),
 o AS (SELECT *, CASE WHEN d = 0 THEN 'unchanged' WHEN raw < 0.05 AND s <= 0.05 THEN 'at_floor' WHEN raw < 0.05 THEN 'floored' WHEN abs(raw - s) < 0.000000001 THEN 'unchanged' ELSE 'decayed' END AS outcome FROM r)

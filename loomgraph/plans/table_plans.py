@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomgraph import ontology as O
+from loomgraph.fixtures import AS_OF
 from loomgraph.functions import text as X
 from loomgraph.operators import graph as G
 from loomgraph.operators import tables as B
@@ -63,7 +64,33 @@ def snk02(t):
     return B.insert_edges(t.edges)
 
 
-@query("snk03_upsert_counters", "SNK3 SNK5 MX3", "recall_log", """WITH old AS (SELECT query AS key, count(*) AS value FROM recall_log WHERE ts < TIMESTAMP '2024-01-20' AND query <> 'error' GROUP BY 1), new AS (SELECT query AS key, count(*) AS value FROM recall_log WHERE ts >= TIMESTAMP '2024-01-20' AND query <> 'view' GROUP BY 1)
+@query("mx02_correction_rows", "MX2", "edges", f"""SELECT CAST(0 AS BIGINT) AS node_id, id AS edge_id, 'relation' AS field, relation AS old_value, CASE relation WHEN 'realizes' THEN 'expressed_as' ELSE 'correlated_with' END AS new_value,
+ 'canonical relation' AS reason, 'system' AS corrected_by, TIMESTAMP '{AS_OF}' AS created_at FROM edges WHERE relation IN ('realizes', 'influences')""")
+def mx02(t):
+    return B.correction_rows(t.edges, AS_OF)
+
+
+@query("snk05_count_up", "SNK5 2.10-Cast", "recall_log", r"""WITH old AS (SELECT query AS key, CASE query WHEN 'view' THEN 'n/a' WHEN 'click' THEN ' 12x' ELSE CAST(count(*) AS VARCHAR) END AS value FROM recall_log WHERE query <> 'error' GROUP BY query),
+new AS (SELECT query AS key, count(*) AS n FROM recall_log WHERE query <> 'signup' GROUP BY query)
+SELECT coalesce(o.key, n.key) AS key, CASE WHEN n.n IS NULL THEN o.value ELSE CAST(coalesce(TRY_CAST(regexp_extract(coalesce(o.value, ''), '^\s*([+-]?\d+)', 1) AS BIGINT), 0) + n.n AS VARCHAR) END AS value FROM old o FULL JOIN new n ON n.key = o.key""".replace("\\\\", "\\"))
+def snk05(t):
+    log = t.recall_log.select(F.col("query").alias("key"))
+    value = F.when(F.col("key") == "view", "n/a").when(F.col("key") == "click", " 12x").otherwise(F.col("n").cast("string"))
+    old = log.where("key <> 'error'").groupBy("key").agg(F.count("*").alias("n")).select("key", value.alias("value"))
+    return B.count_up(old, log.where("key <> 'signup'"))
+
+
+@query("gr10_hub_snapshot", "GR10", "nodes edges", """WITH s AS (SELECT n.id AS node_id, count(e.id) AS ihs_score FROM nodes n LEFT JOIN edges e ON e.target_id = n.id WHERE n.status = 'active' GROUP BY n.id ORDER BY 2 DESC, 1 LIMIT 20)
+SELECT node_id, ihs_score - 1 AS ihs_score, '2024-04-30' AS snapshot_date FROM s UNION ALL SELECT node_id, ihs_score, '2024-05-01' FROM s""")
+def gr10(t):
+    from loomgraph.operators.graph import in_degree
+    top = in_degree(t.nodes, t.edges, 20).select(F.col("id").alias("node_id"), "ihs_score")
+    day = lambda score, d: top.select("node_id", score.alias("ihs_score"), F.lit(d).alias("snapshot_date"))
+    held = day(F.col("ihs_score") - 1, "2024-04-30").unionAll(day(F.col("ihs_score") + 7, "2024-05-01"))
+    return B.replace_day(held, day(F.col("ihs_score"), "2024-05-01"))
+
+
+@query("snk03_upsert_counters", "SNK3 MX3", "recall_log", """WITH old AS (SELECT query AS key, count(*) AS value FROM recall_log WHERE ts < TIMESTAMP '2024-01-20' AND query <> 'error' GROUP BY 1), new AS (SELECT query AS key, count(*) AS value FROM recall_log WHERE ts >= TIMESTAMP '2024-01-20' AND query <> 'view' GROUP BY 1)
 SELECT coalesce(n.key, o.key) AS key, coalesce(n.value, o.value) AS value FROM old o FULL JOIN new n ON n.key = o.key""")
 def snk03(t):
     late = F.col("ts") >= F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
