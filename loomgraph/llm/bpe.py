@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from loomgraph.llm.common import partitions
+from loomgraph.llm.common import partitions, pieces, slices
 
 #: Bytes of text, or pre-tokens, that a task handles at a time.
 SLICE = 2_000_000
@@ -120,9 +120,9 @@ def pretokens(texts: pa.Array, pattern, words: dict[str, int]) -> tuple[np.ndarr
     follows up to the next one). Where a space has white space on both sides, a match can cross the cut; such neighbouring
     chunks make their text go through the pattern as a whole.
     """
-    pieces = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), " ")
-    ends = pieces.offsets.to_numpy().astype(np.int64)
-    coded = pieces.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+    chunked = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), " ")
+    ends = chunked.offsets.to_numpy().astype(np.int64)
+    coded = chunked.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
     ends -= ends[0]
     codes, chunks = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
     blank = np.array([[not c or c[0].isspace(), not c or c[-1].isspace()] for c in chunks], bool).reshape(-1, 2)
@@ -155,17 +155,6 @@ def pretokens(texts: pa.Array, pattern, words: dict[str, int]) -> tuple[np.ndarr
     return stream.astype(np.uint32), counts
 
 
-def slices(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Neighbouring rows, (first, end), of at most `most` in sum, or one row."""
-    out, start, total = [], 0, 0
-    for i, size in enumerate(sizes.tolist()):
-        if total and total + size > most:
-            out.append((start, i))
-            start, total = i, 0
-        total += size
-    return [*out, (start, len(sizes))]
-
-
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """(doc_id long, ids array<int>, ids_bytes, decoded binary), one row per row of `docs`.
 
@@ -183,11 +172,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             if not batch.num_rows:
                 continue
             texts, known = batch.column("text"), {}
-            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-            pieces = [pretokens(texts.slice(a, b - a), compiled, known) for a, b in slices(sizes, SLICE)]
-            stream, counts = (np.concatenate(x) for x in zip(*pieces, strict=True))
+            stream, counts = (np.concatenate(x) for x in zip(*(pretokens(part, compiled, known) for part in pieces(texts, SLICE)), strict=True))
             words = [w.encode() for w in known]
-            del known, pieces
+            del known
             block = f"{part}-{at}"
             keys = pa.table({"key": batch.column("key")})
             sink = pa.BufferOutputStream()

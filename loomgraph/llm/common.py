@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +43,32 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def slices(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Neighbouring rows, (first, end), of at most `most` in sum, or one row."""
+    out, start, total = [], 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if total and total + size > most:
+            out.append((start, i))
+            start, total = i, 0
+        total += size
+    return [*out, (start, len(sizes))]
+
+
+def pieces(texts: pa.Array, most: int = 6_000_000) -> Iterator[pa.Array]:
+    """A column of texts a few megabytes at a time, in order. Freed memory goes back to the system, as idle workers keep what they hold."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    for a, b in slices(sizes, most):
+        yield texts.take(pa.array(np.arange(a, b)))  # a copy: some string kernels misread slices
+
+
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Words of every text: (code of each word, first word of each text and the end, the distinct words by code).
 
     A word is a run of bytes other than space and \\x09-\\x0D. A null text has no words. `lower` folds A-Z only.
     """
+    if texts.offset:  # lower-casing misreads slices
+        texts = texts.take(pa.array(np.arange(len(texts))))
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if lower:
         texts = pc.ascii_lower(texts)

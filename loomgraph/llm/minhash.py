@@ -6,9 +6,9 @@ into a parity bitmap of 512 bits (odd sketch): the population count of two bitma
 pairs that cannot reach the threshold (six standard deviations) go before any text is read. What is left is compared set by set.
 
 No bucket emits its pairs. Each bucket proposes its members to its most central one, the member whose buckets are
-fullest: of a group of near copies, that is the original. Once that has been decided, only members outside the bucket's
-largest component meet the members of other components, through the bitmap test inside the join; so nothing is lost where the
-central member is not similar to all.
+fullest: of a group of near copies, that is the original. Once that has been decided, members outside of the bucket's largest
+component meet the members of other components block by block, by bitmaps and then by full sets, and a block emits a forest of
+links; so nothing is lost where the central member is not similar to all, and no pairs are written.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import components, frozen, gram_hashes, hashes, mixed, split_words
+from loomgraph.llm.common import components, frozen, gram_hashes, hashes, mixed, partitions, pieces, split_words
 
 SIZE, BANDS, ROWS, BITS = 5, 36, 4, 512
 #: Links have 100 * intersection >= PERCENT * union.
@@ -29,6 +29,8 @@ PERCENT = 75
 #: Most differing bits of a pair that is compared in full: 144 samples at a similarity of 0.52 differ in about as many.
 NEAR_BITS = 107
 _RNG = np.random.default_rng(20240229)
+#: Ids (8 bytes each) up to which they are sent to the texts.
+HELD = 1_000_000
 FACTORS = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 
@@ -74,11 +76,11 @@ def sketched(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(batch.column("text"))
-            lows = [minhashes(s) if len(s) else None for s in sets]
+            found = [(len(s), hashlib.sha256(s.tobytes()).digest()[:16] if len(s) else None, minhashes(s) if len(s) else None) for part in pieces(batch.column("text")) for s in shingle_sets(part)]
+            counts, own, lows = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([hashlib.sha256(s.tobytes()).digest()[:16] if len(s) else None for s in sets], pa.binary()),
+                batch.column("doc_id"), pa.array(counts, pa.int64()),
+                pa.array(own, pa.binary()),
                 pa.array([None if x is None else bands(x) for x in lows], pa.list_(pa.int64())),
                 pa.array([None if x is None else odd_sketch(x) for x in lows], pa.list_(pa.int64())),
             ], ["doc_id", "n_shingles", "digest", "keys", "bits"])
@@ -92,25 +94,145 @@ def able(bits_a: Column, bits_b: Column, size_a: Column, size_b: Column) -> Colu
     return (100 * F.least(size_a, size_b) >= PERCENT * F.greatest(size_a, size_b)) & (differ <= NEAR_BITS)
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The (doc_id, text) rows of `ids`, written once. While there are few ids (8 bytes each) they go to the texts, else both are joined by id."""
+    ids = frozen(ids.distinct(), "ids")
+    return frozen(docs.join(F.broadcast(ids) if ids.count() <= HELD else ids, "doc_id", "left_semi"), "texts")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those (a, b) whose full sets reach the threshold. Texts meet their pairs by two equi-joins, of which Spark splits hot keys."""
-    needed = frozen(docs.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    needed = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     full = pairs.join(needed.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(needed.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left = batch.column("ta").dictionary_encode()  # a central document stands beside many others
-            sets_a, sets_b, keep = shingle_sets(left.dictionary), shingle_sets(batch.column("tb")), []
-            for i, j in enumerate(left.indices.to_pylist()):
-                x, y = sets_a[j], sets_b[i]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both))
+            keep, at = [], 0
+            for part in pieces(batch.column("tb")):
+                left = batch.column("ta").slice(at, len(part)).dictionary_encode()  # a central document stands beside many others
+                sets_a, sets_b = shingle_sets(left.dictionary), shingle_sets(part)
+                for j, y in zip(left.indices.to_pylist(), sets_b, strict=True):
+                    both = len(np.intersect1d(sets_a[j], y, assume_unique=True))
+                    keep.append(both > 0 and 100 * both >= PERCENT * (len(sets_a[j]) + len(y) - both))
+                at += len(part)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return full.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+# ---- what the central members leave open
+
+def blockwise(rows: DataFrame, decide, schema: str, most: int) -> DataFrame:
+    """`decide(left, right)` for the outsiders beside all members of every group, block by block.
+
+    rows: (group, doc_id, root, outside, ...). A group of more than `most` rows is dealt to blocks by hash, and every block of
+    outsiders meets every block of members in a task of its own. `decide` takes and returns Arrow tables and emits no pairs but
+    a forest, at most a row per row.
+    """
+    parts = 4 * partitions(rows.sparkSession)
+    sizes = rows.groupBy("group").agg(F.ceil(F.count("*") / most).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "group").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = dealt.where("outside").withColumn("i", F.col("own")).withColumn("j", every)
+    right = dealt.toDF(*dealt.columns).withColumn("j", F.col("own")).withColumn("i", every)
+    part = F.pmod(F.xxhash64("group", "i", "j"), F.lit(parts))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = []
+        if len(a) and len(b):
+            names = ["group", "i", "j"]
+            a, b = (t.sort_by([(n, "ascending") for n in names]).combine_chunks() for t in (a, b))
+            keys_a, keys_b = (list(zip(*(t[n].to_pylist() for n in names), strict=True)) for t in (a, b))
+            at, ends = 0, {}
+            for n, key in enumerate(keys_b):
+                ends.setdefault(key, [n, n])[1] = n + 1
+            while at < len(keys_a):
+                end = at
+                while end < len(keys_a) and keys_a[end] == keys_a[at]:
+                    end += 1
+                if keys_a[at] in ends:
+                    lo, hi = ends[keys_a[at]]
+                    out.append(decide(a.slice(at, end - at), b.slice(lo, hi - lo)))
+                at = end
+        return pa.concat_tables(out) if out else decide(a.slice(0, 0), b.slice(0, 0))
+
+    return left.withColumn("part", part).groupBy("part").cogroup(right.withColumn("part", part).groupBy("part")).applyInArrow(run, schema)
+
+
+def _numbers(table: pa.Table, name: str) -> np.ndarray:
+    return table[name].to_numpy(zero_copy_only=False)
+
+
+def sifted_blocks(a: pa.Table, b: pa.Table) -> pa.Table:
+    """Outsiders and members with a counterpart in another component that sizes and bitmaps allow."""
+    hit_a, hit_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    if len(a) and len(b):
+        x, y = (np.stack(t["bits"].to_pylist()).astype(np.int64).view(np.uint64) for t in (a, b))
+        n_x, n_y, r_x, r_y = _numbers(a, "n_shingles"), _numbers(b, "n_shingles"), _numbers(a, "root"), _numbers(b, "root")
+        for i in range(len(a)):
+            able_ = (r_y != r_x[i]) & (100 * np.minimum(n_x[i], n_y) >= PERCENT * np.maximum(n_x[i], n_y))
+            at = np.flatnonzero(able_)
+            at = at[np.bitwise_count(x[i] ^ y[at]).sum(axis=1) <= NEAR_BITS]
+            hit_a[i] |= len(at) > 0
+            hit_b[at] = True
+    names = ["group", "doc_id", "root", "outside"]
+    return pa.concat_tables([a.select(names).filter(pa.array(hit_a)), b.select(names).filter(pa.array(hit_b))])
+
+
+def linked_blocks(a: pa.Table, b: pa.Table) -> pa.Table:
+    """A forest of the links between components, by full sets: an outsider's shingles count the members that hold them."""
+    found: list[tuple[int, int]] = []
+    if len(a) and len(b):
+        sets_b = [np.frombuffer(s, np.uint64) for s in b["shingles"].to_pylist()]
+        sizes = np.array(list(map(len, sets_b)))
+        values, member = np.concatenate(sets_b), np.repeat(np.arange(len(b)), sizes)
+        order = np.argsort(values, kind="stable")
+        values, member = values[order], member[order]
+        id_a, id_b, r_a, r_b = a["doc_id"].to_pylist(), b["doc_id"].to_pylist(), a["root"].to_pylist(), b["root"].to_pylist()
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for i, raw in enumerate(a["shingles"].to_pylist()):
+            own = np.frombuffer(raw, np.uint64)
+            lo, hi = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+            n = hi - lo
+            spread = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            both = np.bincount(member[spread], minlength=len(b))
+            for m in np.flatnonzero((both > 0) & (100 * both >= PERCENT * (len(own) + sizes - both))).tolist():
+                p, q = root(r_a[i]), root(r_b[m])
+                if p != q:
+                    parent[p] = q
+                    found.append((id_a[i], id_b[m]))
+    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+
+def remaining_links(crowded: DataFrame, roots: DataFrame, marks: DataFrame, docs: DataFrame, most: int) -> DataFrame:
+    """(a, b): links between members of one bucket that lie in different components.
+
+    Buckets with the same largest component are one group: the members of that component, and the outsiders of all these buckets.
+    """
+    placed = crowded.where("c > 2").join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    placed = frozen(placed, "placed")
+    sums = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    main = sums.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.root").alias("group"))
+    rows = placed.join(main, "key").select("group", "doc_id", "root", (F.col("root") != F.col("group")).alias("outside")).distinct()
+    near = blockwise(frozen(rows.join(marks, "doc_id"), "mixed"), sifted_blocks, "group long, doc_id long, root long, outside boolean", most)
+    near = frozen(near.distinct(), "near")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for part in pieces(batch.column("text")) for s in shingle_sets(part)], pa.binary())], ["doc_id", "shingles"])
+
+    full = texts_of(docs, near.select("doc_id")).mapInArrow(sets, "doc_id long, shingles binary")
+    return blockwise(near.join(full, "doc_id"), linked_blocks, "a long, b long", most)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 2_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of `docs`.
 
     Documents without words are linked with nothing. Rows that repeat an id are one node, linked by any of their texts; a row
@@ -138,21 +260,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = frozen(confirmed(frozen(sifted(star), "sifted"), rows), "links")
     roots = components(links)
 
-    # members outside of their bucket's largest component
-    placed = frozen(crowded.where("c > 2").join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root")), "placed")
-    sums = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
-    main = sums.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.root").alias("main"))
-    mixed_ = frozen(placed.join(main, "key").join(marks, "doc_id"), "mixed")
-    left = mixed_.where("root <> main").select("key", *(F.col(c).alias("l_" + c) for c in ("doc_id", "root", "n_shingles", "bits")))
-    meets = (F.col("l_root") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("l_doc_id") < F.col("doc_id")))
-    later = left.join(mixed_, "key").where(meets & able(F.col("l_bits"), F.col("bits"), F.col("l_n_shingles"), F.col("n_shingles")))
-    later = later.select(F.least("l_doc_id", "doc_id").alias("a"), F.greatest("l_doc_id", "doc_id").alias("b")).distinct()
-    asked = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    later = frozen(later.join(asked, ["a", "b"], "left_anti"), "later")
-    if not later.isEmpty():
-        more = frozen(confirmed(later, rows), "links")
-        if not more.isEmpty():
-            roots = components(links.union(more))
+    more = frozen(remaining_links(crowded, roots, marks, rows, block), "links")
+    if not more.isEmpty():
+        roots = components(links.union(more))
 
     known = sketches.select("doc_id", "n_shingles", "digest").join(classes.where("n > 1").select("digest", "rep"), "digest", "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
     joined = known.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("root", "rep"))

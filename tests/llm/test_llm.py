@@ -58,6 +58,16 @@ def test_sql(spark, name):
     assert rows_of(got.columns, got.collect()) == rows_of([c[0] for c in cur.description], cur.fetchall())
 
 
+@pytest.mark.parametrize("lower", [False, True])
+def test_words_of_slices_and_pieces(lower):
+    texts = ["a B c", None, "", " d  E ", "F\tg\nh", "é\u00a0É x"] * 3
+    fold = lambda t: (t or "").encode().lower().split() if lower else (t or "").encode().split()
+    whole = pa.array(texts)
+    for part, want in [(whole, texts), (whole.slice(4), texts[4:]), *zip(common.pieces(whole, 8), [texts[a:b] for a, b in common.slices(np.array([len((t or "").encode()) for t in texts]), 8)], strict=True)]:
+        codes, ends, found = common.split_words(part, lower=lower)
+        assert [[found[c] for c in codes[a:b]] for a, b in zip(ends[:-1], ends[1:], strict=True)] == [fold(t) for t in want]
+
+
 # ---- 1
 
 def test_bpe_against_the_library(spark):
@@ -276,8 +286,27 @@ def test_near_duplicates(spark):
             own[at] = f"x{rng.integers(1000)}"
         rows.append((i, " ".join(own)))
     rows += [(60 + i, " ".join(words(100 + i, 80))) for i in range(10)]
-    got = minhash.near_duplicates(documents(spark, [t for _, t in rows], ids=[i for i, _ in rows])).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute_near(rows)
+    docs = documents(spark, [t for _, t in rows], ids=[i for i, _ in rows])
+    for block in (2_000, 5):
+        got = minhash.near_duplicates(docs, block=block).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute_near(rows)
+
+
+def test_near_copies_far_from_their_original(spark):
+    """Outsiders of a large group: similar to each other, not to the central document."""
+    base, rng, rows = words(1, 150), np.random.default_rng(5), []
+    for i in range(60):
+        own = list(base)
+        for at in rng.choice(150, int(rng.integers(1, 4)) if i < 30 else 7, replace=False):
+            own[at] = f"y{rng.integers(40)}"
+        rows.append((i, " ".join(own)))
+        if i >= 50:
+            rows.append((100 + i, " ".join([*own[:-1], "end"])))
+    want = brute_near(rows)
+    for block in (2_000, 11):
+        got = minhash.near_duplicates(documents(spark, [t for _, t in rows], ids=[i for i, _ in rows]), block=block).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want
+    assert len({c for _, c, _ in want.values()}) > 3
 
 
 def test_near_duplicates_odd_ids(spark):
