@@ -72,7 +72,7 @@ def mx02(t):
 
 @query("snk05_count_up", "SNK5 2.10-Cast", "recall_log", r"""WITH old AS (SELECT query AS key, CASE query WHEN 'view' THEN 'n/a' WHEN 'click' THEN ' 12x' ELSE CAST(count(*) AS VARCHAR) END AS value FROM recall_log WHERE query <> 'error' GROUP BY query),
 new AS (SELECT query AS key, count(*) AS n FROM recall_log WHERE query <> 'signup' GROUP BY query)
-SELECT coalesce(o.key, n.key) AS key, CASE WHEN n.n IS NULL THEN o.value ELSE CAST(coalesce(TRY_CAST(regexp_extract(coalesce(o.value, ''), '^\s*([+-]?\d+)', 1) AS BIGINT), 0) + n.n AS VARCHAR) END AS value FROM old o FULL JOIN new n ON n.key = o.key""".replace("\\\\", "\\"))
+SELECT coalesce(o.key, n.key) AS key, CASE WHEN n.n IS NULL THEN o.value ELSE CAST(coalesce(TRY_CAST(regexp_extract(coalesce(o.value, ''), '^\s*([+-]?\d+)', 1) AS BIGINT), 0) + n.n AS VARCHAR) END AS value FROM old o FULL JOIN new n ON n.key = o.key""")
 def snk05(t):
     log = t.recall_log.select(F.col("query").alias("key"))
     value = F.when(F.col("key") == "view", "n/a").when(F.col("key") == "click", " 12x").otherwise(F.col("n").cast("string"))
