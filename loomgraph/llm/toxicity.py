@@ -6,7 +6,8 @@ pools their states, and a logistic unit scores the window. A document's score is
 start every 16 words, so that any two words up to 16 apart share one, and none is left out.
 
 Training takes a bounded sample (`SAMPLE_TOXIC`, `SAMPLE_CLEAN` labelled documents of at most `SAMPLE_WORDS` words), first with
-all windows under their document's label, then with the worst windows of toxic documents only. Only texts and labels
+any window under its document's label (documents alike, so that short ones, whose label is nearer, count more), then with the
+worst windows of toxic documents only. Only texts and labels
 are read: neither language, source nor id enters a score.
 """
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import WORD, mixed, split_words
+from loomgraph.llm.common import WORD, mixed, pieces, split_words
 
 WINDOW, STRIDE = 32, 16
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_WORDS = 1_000, 2_000, 512
@@ -154,14 +155,17 @@ class Network:
 
     # -- texts
 
-    def texts(self, texts: pa.Array, chunk: int = 8_192) -> np.ndarray:
-        """Logit of every text's worst window."""
+    def texts(self, texts: pa.Array, chunk: int = 4_096) -> np.ndarray:
+        """Logit of every text's worst window, a few megabytes of text at a time."""
+        return np.concatenate([self._texts(part, chunk) for part in pieces(texts)])
+
+    def _texts(self, texts: pa.Array, chunk: int) -> np.ndarray:
         codes, ends, words = split_words(texts, lower=True)
         text, first, size = windows_of(ends)
         words = words or [b""]
         gates = {d: [] for d in "fb"}
-        for at in range(0, len(words), 100_000):
-            x, _ = self.inputs(words[at : at + 100_000])
+        for at in range(0, len(words), 20_000):
+            x, _ = self.inputs(words[at : at + 20_000])
             for d in "fb":
                 gates[d].append(x @ self.p["W" + d] + self.p["c" + d])
         gates = {d: np.concatenate(g) for d, g in gates.items()}
@@ -217,7 +221,10 @@ def train(texts: list[str], label: np.ndarray, seed: int = 5) -> Network | None:
         return np.concatenate(out)
 
     toxic = label[text] > 0.5
-    learn((np.flatnonzero(toxic), np.flatnonzero(~toxic)), STEPS, 0.02)
+    # a window for every document and round, so that a draw of windows is a draw of documents
+    many = np.bincount(text)
+    nth = np.floor(rng.random((16, len(many))) * many).astype(np.int64) + np.cumsum(many) - many
+    learn((nth[:, label > 0.5].ravel(), nth[:, label <= 0.5].ravel()), 2 * STEPS, 0.02)
     for rate in (0.01, 0.005):
         logits = all_logits()
         top = np.full(len(texts), -np.inf, np.float32)
