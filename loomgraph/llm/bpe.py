@@ -156,7 +156,7 @@ def pretokens(texts: pa.Array, pattern, words: dict[str, int]) -> tuple[np.ndarr
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
-    """(doc_id long, ids array<int>, ids_bytes, decoded binary), one row per row of `docs`.
+    """(doc_id long, ids array<int>), one row per row of `docs`.
 
     A null text counts as empty: no ids, empty bytes. Repeated rows and ids stay, null ids too. Other columns are not read,
     whatever their names. Order of rows within an id is not defined; every row is encoded on its own.
