@@ -2,7 +2,9 @@
 
 Unit vectors are cut into two halves, each quantised by its own codebook; a cell is a pair of centroids. A request walks cells in
 the order of their summed distance, with a heap over both sorted centroid lists, until the cells it met hold enough
-entries; those are reranked by cosine in double precision.
+entries; those are reranked by cosine in double precision. How many are enough is measured: `PROBES` requests are answered
+by a full scan, and so many entries are visited as `AIM` of their true neighbours would have taken. Clustered vectors need few;
+vectors without structure need a large share of all, and then a search costs requests times rows, in blocks.
 
 Equal vectors are one entry that carries its smallest ids, as many as an answer can name, so that copies neither crowd a cell
 nor an answer; equal requests are walked once. Cells of very many entries are split into chunks that different tasks
@@ -27,7 +29,11 @@ SAMPLE = 20_000
 #: Most centroids of a half: cell counts, the only figures of the whole index that the driver sees, are at most its square.
 MOST = 256
 #: Entries that a request visits at least, and entries of a chunk.
-VISIT, CHUNK = 2_500, 4_096
+VISIT, CHUNK = 1_000, 4_096
+#: Factor of the cell in a chunk's key.
+WIDE = 1 << 20
+#: Requests that set the number of visits, and the share of true neighbours aimed at.
+PROBES, AIM = 128, 0.97
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -120,41 +126,60 @@ def search(vectors: DataFrame, asked: str = "vec_id % 50 = 0", k: int = 5, id_co
     for r in index.groupBy("cell").count().collect():  # at most MOST * MOST rows
         counts[r["cell"]] = r["count"]
     parts = partitions(spark)
+    visit = max(visit, enough(index, requests, books, counts, k))
 
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = unit(matrix(batch.column("v")))
             first, second = distances(x[:, :half], books[0]), distances(x[:, half:], books[1])
-            met = [walk(first[q], second[q], counts, visit) for q in range(len(x))]
-            at = np.repeat(np.arange(len(x)), [len(m) for m in met])
-            cells = np.array([c for m in met for c in m], np.int64)
-            chunks = -(-counts[cells] // CHUNK)
-            at, chunk = np.repeat(at, chunks), np.concatenate([np.arange(c) for c in chunks]) if len(chunks) else np.zeros(0, int)
-            cells = np.repeat(cells, chunks)
-            taken = batch.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([taken.column("e"), taken.column("v"), pa.array(cells, pa.int64()), pa.array(chunk, pa.int64()), pa.array((cells * 31 + chunk) % parts, pa.int64())], ["q", "v", "cell", "chunk", "part"])
+            for q in range(len(x)):  # a row for every part that holds one of its cells, not one for every cell
+                cells = np.array(walk(first[q], second[q], counts, visit), np.int64)
+                chunks = -(-counts[cells] // CHUNK)
+                key = np.repeat(cells, chunks) * WIDE + np.arange(chunks.sum()) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+                part = (key // WIDE * 31 + key % WIDE) % parts
+                order = np.argsort(part, kind="stable")
+                own, starts = np.unique(part[order], return_index=True)
+                taken = batch.take(pa.array(np.full(len(own), q)))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(key)), pa.int32()), pa.array(key[order]))
+                yield pa.RecordBatch.from_arrays([taken.column("e"), taken.column("v"), lists, pa.array(own, pa.int64())], ["q", "v", "keys", "part"])
 
     chunk_of = F.pmod(F.xxhash64("e"), F.element_at(F.lit((np.maximum(-(-counts // CHUNK), 1)).tolist()), F.col("cell").cast("int") + 1))
     own = index.withColumn("chunk", chunk_of).withColumn("part", (F.col("cell") * 31 + F.col("chunk")) % parts)
-    asks = requests.select("e", "v").dropDuplicates(["e"]).mapInArrow(walked, f"q long, v {kind}, cell long, chunk long, part long")
+    asks = requests.select("e", "v").dropDuplicates(["e"]).mapInArrow(walked, f"q long, v {kind}, keys array<long>, part long")
 
     def reranked(asking: pa.Table, entry: pa.Table) -> pa.Table:
         """All chunks of a part: per request the best k + 1 entries of each chunk."""
         out_q, out_score, out_ids = [], [], []
         if len(asking) and len(entry):
-            q, e = (t.take(pa.array(np.lexsort((t["chunk"].to_numpy(), t["cell"].to_numpy())))).combine_chunks() for t in (asking, entry))
-            q_key, e_key = (t["cell"].to_numpy() * (1 << 20) + t["chunk"].to_numpy() for t in (q, e))
+            q = asking.combine_chunks()
+            e = entry.take(pa.array(np.lexsort((entry["chunk"].to_numpy(), entry["cell"].to_numpy())))).combine_chunks()
+            e_key = e["cell"].to_numpy() * WIDE + e["chunk"].to_numpy()
+            lists = q["keys"].combine_chunks()
+            q_key, q_row = lists.flatten().to_numpy(), np.repeat(np.arange(len(q)), np.diff(lists.offsets.to_numpy()))
+            order = np.argsort(q_key, kind="stable")
+            q_key, q_row = q_key[order], q_row[order]
             qx, ex = unit(matrix(q["v"].combine_chunks())), unit(matrix(e["v"].combine_chunks()))
             e_id = e["e"].to_numpy()
             for key in np.intersect1d(q_key, e_key):
                 (a, b), (c, d) = (np.searchsorted(k_, [key, key + 1]) for k_ in (q_key, e_key))
-                scores = qx[a:b] @ ex[c:d].T
-                for i in range(b - a):
-                    best = np.lexsort((e_id[c:d], -scores[i]))[: k + 1] if d - c <= 64 else _best(scores[i], e_id[c:d], k + 1)
-                    out_q.append(np.full(len(best), a + i))
-                    out_ids.append(c + best)
-                    out_score.append(scores[i][best])
-            rows, ids = np.concatenate(out_q), np.concatenate(out_ids)
+                scores = qx[q_row[a:b]] @ ex[c:d].T
+                if d - c > k + 1:  # what ties with the last place stays
+                    border = np.partition(scores, d - c - k - 1, axis=1)[:, d - c - k - 1 : d - c - k]
+                    at, col = np.nonzero(scores >= border - 1e-12)
+                else:
+                    at, col = np.nonzero(np.ones_like(scores, bool))
+                out_q.append(q_row[a:b][at])
+                out_ids.append(c + col)
+                out_score.append(scores[at, col])
+            rows, ids, near = (np.concatenate(x) if x else np.zeros(0, int) for x in (out_q, out_ids, out_score))
+            # of all chunks of the part, the best of each request
+            order = np.lexsort((e_id[ids], -near, rows))
+            rows, ids, near = rows[order], ids[order], near[order]
+            first = np.searchsorted(rows, np.arange(len(q)))
+            place = np.arange(len(rows)) - first[rows]
+            last = near[np.minimum(first + k, len(near) - 1)] if len(near) else near
+            keep = (place <= k) | (near >= last[rows] - 1e-12) if len(rows) else np.zeros(0, bool)
+            rows, ids = rows[keep], ids[keep]
             exact = _cosine(matrix(q["v"].combine_chunks())[rows], matrix(e["v"].combine_chunks())[ids])
             return pa.table({"q": q["q"].take(pa.array(rows)), "e": e["e"].take(pa.array(ids)), "ids": e["ids"].take(pa.array(ids)), "score": pa.array(exact)})
         return pa.table({"q": pa.array([], pa.int64()), "e": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "score": pa.array([], pa.float64())})
@@ -167,10 +192,31 @@ def search(vectors: DataFrame, asked: str = "vec_id % 50 = 0", k: int = 5, id_co
     return answers.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    border = np.partition(scores, len(scores) - k)[len(scores) - k]
-    able = np.flatnonzero(scores >= border - 1e-12)
-    return able[np.lexsort((ids[able], -scores[able]))[:k]]
+def enough(index: DataFrame, requests: DataFrame, books: list[np.ndarray], counts: np.ndarray, k: int) -> int:
+    """Entries that `AIM` of the true neighbours of at most `PROBES` requests take, cells by growing summed distance."""
+    probes = requests.select("e", "v").dropDuplicates(["e"]).orderBy(F.xxhash64("e")).limit(PROBES).toArrow()
+    if not len(probes):
+        return 0
+    ids, x, half = probes["e"].to_numpy(), unit(matrix(probes["v"].combine_chunks())), books[0].shape[1]
+
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = x @ unit(matrix(batch.column("v"))).T
+            scores[ids[:, None] == batch.column("e").to_numpy()[None]] = -np.inf
+            keep = min(k, scores.shape[1])
+            best = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
+            at = np.repeat(np.arange(len(ids)), keep)
+            found = batch.take(pa.array(best.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(at), found.column("e"), found.column("cell"), pa.array(scores[at, best.ravel()])], ["p", "e", "cell", "score"])
+
+    near = index.mapInArrow(scanned, "p long, e long, cell long, score double").where("score >= -1")
+    near = near.withColumn("at", F.row_number().over(Window.partitionBy("p").orderBy(F.desc("score"), "e"))).where(F.col("at") <= k)
+    first, second = distances(x[:, :half], books[0]), distances(x[:, half:], books[1])
+    need = []
+    for r in near.select("p", "cell").collect():  # at most PROBES * k rows
+        sums = (first[r["p"]][:, None] + second[r["p"]][None]).ravel()
+        need.append(int(counts[sums <= sums[r["cell"]]].sum()))
+    return int(np.ceil(np.quantile(need, AIM))) if need else 0
 
 
 def _cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
