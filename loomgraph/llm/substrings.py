@@ -3,9 +3,12 @@
 Content decides the shard. Of every window of 13 words the smallest of its 4-word grams (by hash) is the anchor; neighbouring
 windows with the same anchor form one segment, and equal windows have equal anchors, so they meet in one shard. Steps:
 
-1. Blocks of documents send their distinct anchors, packed and dealt by hash, to buckets. A bucket tells which anchors occur in
-   more than one document. An anchor goes once a block, not once a document, however frequent it is.
-2. Documents meet their repeated anchors and cut the segments around them; all other text can hold no repeated window.
+0. Rows with the very text of a smaller document are set aside: all their windows repeat.
+1. A window has nine words besides its anchor, so five of them stand on one side: the window repeats only if the anchor with the
+   five words before it, or with the five after it, does. Blocks of documents send these 9-word keys, packed and dealt by hash,
+   to buckets, which tell the keys of more than one document. A key goes once a block, not once a document, however
+   frequent it is.
+2. Documents meet their repeated keys and cut the segments around them; all other text can hold no repeated window.
 3. Equal segments are one, with the smallest document id. A shard builds the index of its segments and streams them
    through it: the matching statistic of a window's last word, cut at 13, comes from backward search; where it reaches 13,
    the interval of the suffix array gives the smallest document that holds the window.
@@ -27,9 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import frozen, gram_hashes, hashes, partitions, split_words
+from loomgraph.llm.common import frozen, gram_hashes, hashes, partitions, pieces, split_words
 
 WINDOW, GRAM = 13, 4
+#: Words on one side of an anchor that a window has at least.
+SIDE = (WINDOW - GRAM + 1) // 2
+#: Rows (80 bytes at most) up to which ids are sent to the texts; beyond, both are joined by id.
+HELD = 500_000
 
 
 def anchors(word_hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -42,19 +49,36 @@ def anchors(word_hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM) ->
     return grams[at], at
 
 
+def keys_of(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every anchor the key with the words before it and the one with the words after it, 56 bits each; 0 where the text ends first."""
+    grams = gram_hashes(h, GRAM + SIDE) >> np.uint64(8)
+    before, after = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    fits = at >= SIDE
+    before[fits] = grams[at[fits] - SIDE]
+    fits = at < len(grams)
+    after[fits] = grams[at[fits]]
+    return before, after
+
+
+def distinct_keys(h: np.ndarray) -> np.ndarray:
+    at = np.unique(anchors(h)[1])
+    found = np.unique(np.concatenate(keys_of(h, at)))
+    return found[found > 0]
+
+
 def _each(codes: np.ndarray, ends: np.ndarray, words: list[bytes]) -> Iterator[np.ndarray]:
     own = hashes(words)[codes] if len(codes) else np.zeros(0, np.uint64)
     for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
         yield own[a:b]
 
 
-# ---- step 1: which anchors occur in more than one document
+# ---- step 1: which keys occur in more than one document
 
 PACKED = "target string, kind int, n int, pack binary"
 
 
-def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, found array<long>): the anchors of a document that other documents have too; several rows a document."""
+def repeated_keys(docs: DataFrame, buckets: int) -> DataFrame:
+    """(doc_id, found array<long>): the keys of a document that other documents have too; several rows a document."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -62,7 +86,7 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             if not len(ids):
                 continue
-            found = [np.unique(anchors(h)[0]) for h in _each(*split_words(batch.column("text")))]
+            found = [distinct_keys(h) for part in pieces(batch.column("text")) for h in _each(*split_words(part))]
             who, what = np.repeat(ids, [len(f) for f in found]), np.concatenate(found)
             order = np.lexsort((who, what))
             who, what = who[order], what[order]
@@ -87,7 +111,7 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
                 targets.append(f"b{b}")
                 kinds.append(1)
                 sizes.append(int(here.sum()))
-                packs.append(zstandard.compress(own[here].view(np.uint8).reshape(-1, 8).T.tobytes() + one[here].view(np.uint8).reshape(-1, 8).T.tobytes() + several[here].tobytes(), 1))
+                packs.append(zstandard.compress(own[here].view(np.uint8).reshape(-1, 8)[:, :7].T.tobytes() + one[here].view(np.uint8).reshape(-1, 8).T.tobytes() + several[here].tobytes(), 1))
             yield pa.RecordBatch.from_arrays([pa.array(targets, pa.string()), pa.array(kinds, pa.int32()), pa.array(sizes, pa.int32()), pa.array(packs, pa.binary())], ["target", "kind", "n", "pack"])
 
     def told(table: pa.Table) -> pa.Table:
@@ -98,8 +122,10 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
                 pair = raw.view(np.int64)
                 who, what = who + [pair[:n]], what + [pair[n:].view(np.uint64)]
             else:
-                whole = np.ascontiguousarray(raw[: 16 * n].reshape(2, 8, n).transpose(0, 2, 1))
-                what, who, several = what + [whole[0].reshape(-1).view(np.uint64)], who + [whole[1].reshape(-1).view(np.int64)], several + [raw[16 * n :].astype(bool)]
+                key = np.zeros((n, 8), np.uint8)
+                key[:, :7] = raw[: 7 * n].reshape(7, n).T
+                one = np.ascontiguousarray(raw[7 * n : 15 * n].reshape(8, n).T)
+                what, who, several = what + [key.reshape(-1).view(np.uint64)], who + [one.reshape(-1).view(np.int64)], several + [raw[15 * n :].astype(bool)]
         who, what = np.concatenate(who), np.concatenate(what)
         if several:  # a bucket: anchors of several blocks with different documents, and those repeated within a block elsewhere
             marked = np.concatenate(several)
@@ -125,7 +151,7 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
 # ---- step 2: segments
 
 def segments(hits: DataFrame) -> DataFrame:
-    """(doc_id, start, anchor, digest, words) of every run of windows around a repeated anchor; hits: (doc_id, text, found)."""
+    """(doc_id, start, anchor, digest, words) of every run of windows around an anchor with a repeated key; hits: (doc_id, text, found)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +166,8 @@ def segments(hits: DataFrame) -> DataFrame:
                 first[1:] = at[1:] != at[:-1]
                 starts = np.flatnonzero(first)
                 stops = np.append(starts[1:], len(at))
-                keep = np.isin(smallest[starts].view(np.int64), found[i].values.to_numpy())
+                known = found[i].values.to_numpy().view(np.uint64)
+                keep = np.logical_or(*(np.isin(k, known) for k in keys_of(h, at[starts])))
                 own = codes[ends[i] : ends[i + 1]].tolist()
                 for s, e, a in zip(starts[keep].tolist(), stops[keep].tolist(), smallest[starts][keep].view(np.int64).tolist(), strict=True):
                     text = b" ".join([words[c] for c in own[s : e + WINDOW - 1]])
@@ -267,6 +294,15 @@ def searched(distinct: DataFrame) -> DataFrame:
 
 # ---- step 4
 
+def few(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= HELD else ids
+
+
+def met(rows: DataFrame, figures: DataFrame) -> DataFrame:
+    """Rows beside their figures (by doc_id). While the ids are few, they go to the texts first, so that other texts are not shuffled."""
+    return rows.join(few(figures.select("doc_id")), "doc_id", "left_semi").join(figures, "doc_id")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, spans array<array<int>>, kept_text), one row per row of `docs`.
 
@@ -276,27 +312,35 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     shards = shards or partitions(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("sha"))
     named = rows.where("doc_id is not null")
-    found = repeated_anchors(named, shards).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
-    own = segments(named.join(found, "doc_id"))
-    own = frozen(own, "segments")
+    first = named.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = frozen(named.select("doc_id", "sha").join(first, "sha").where("doc_id > first").select("doc_id", "sha").distinct(), "copies")
+    held = F.broadcast(copies) if copies.count() <= HELD else copies
+    single = named.join(held, ["doc_id", "sha"], "left_anti").select("doc_id", "text")
+    found = frozen(repeated_keys(single, shards).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found")), "found")
+    own = frozen(segments(met(single, found)), "segments")
     distinct = own.groupBy("digest").agg(F.min("doc_id").alias("holder"), F.min("anchor").alias("anchor"), F.first("words").alias("words"))
     answers = searched(distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))))
     hits = own.select("doc_id", "start", "digest").join(answers, "digest").where(F.exists("holders", lambda h: h < F.col("doc_id")))
     at = F.filter(F.transform("holders", lambda h, i: F.when(h < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull())
-    gone = hits.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(at)))).alias("gone"))
-    joined = rows.join(gone, "doc_id", "left")
+    gone = frozen(hits.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(at)))).alias("gone")), "gone")
+    marked = rows.join(held.withColumn("copy", F.lit(True)), ["doc_id", "sha"], "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"))
+    whole = marked.join(few(gone.select("doc_id")), "doc_id", "left_anti").withColumn("gone", F.lit(None).cast("array<int>"))
+    joined = met(marked, gone).unionByName(whole)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes, ends, words = split_words(batch.column("text"))
             n_words, n_removed, spans, texts = [], [], [], []
-            for i, gone in enumerate(batch.column("gone")):
+            for i, (gone, copy) in enumerate(zip(batch.column("gone"), batch.column("copy"), strict=True)):
                 own = codes[ends[i] : ends[i + 1]]
                 stay = np.ones(len(own), bool)
                 runs: list[list[int]] = []
-                if gone.is_valid:
+                if copy.as_py() and len(own) >= WINDOW:
+                    stay[:], runs = False, [[0, len(own)]]
+                elif gone.is_valid and not copy.as_py():
                     edge = np.zeros(len(own) + 1, np.int64)
                     first = gone.values.to_numpy()
                     np.add.at(edge, first, 1)
@@ -312,7 +356,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(texts, pa.binary()).cast(pa.string()),
             ], ["doc_id", "n_words", "n_removed", "spans", "kept_text"])
 
-    return joined.select("doc_id", "text", "gone").mapInArrow(kept, "doc_id long, n_words long, n_removed long, spans array<array<int>>, kept_text string")
+    return joined.select("doc_id", "text", "gone", "copy").mapInArrow(kept, "doc_id long, n_words long, n_removed long, spans array<array<int>>, kept_text string")
 
 
 SQL = r"""
