@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from loomgraph.llm.common import frozen, split_words
+from loomgraph.llm.common import frozen, pieces, split_words
 
 #: Most labelled documents that the classifier is fitted on; most paths whose posteriors are sent to all tasks.
 SAMPLE, HELD = 20_000, 100_000
@@ -29,6 +29,10 @@ SURE = 12.0
 
 def figures(texts: pa.Array) -> np.ndarray:
     """FEATURES plain figures of every text; a null text counts as empty."""
+    return np.concatenate([_figures(part) for part in pieces(texts)])
+
+
+def _figures(texts: pa.Array) -> np.ndarray:
     codes, ends, words = split_words(texts)
     sizes = np.diff(ends)
     out = np.zeros((len(sizes), FEATURES))
