@@ -167,7 +167,7 @@ def mixed_texts(docs: DataFrame, draws: DataFrame, row_col: str, text_col: str =
     drawn = draws.groupBy(F.col("row").alias("_row"), F.col("pass").alias("_pass")).agg(F.array_sort(F.collect_list(F.struct("start", "take"))).alias("_parts"), F.sum("take").alias("_words"))
     words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
     cut = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice("_all", (p["start"] + 1).cast("int"), p["take"].cast("int")))), " ")
-    rows = docs.withColumn("_all", words).join(drawn, F.col(row_col) == F.col("_row"))
+    rows = docs.join(drawn, F.col(row_col) == F.col("_row")).withColumn("_all", words)  # texts are shuffled, not their words
     return rows.withColumn(text_col, F.when(F.size("_all") == F.col("_words"), F.col(text_col)).otherwise(cut)).select(*docs.columns)
 
 
