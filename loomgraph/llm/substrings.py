@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import frozen, gram_hashes, hashes, partitions, pieces, split_words
+from loomgraph.llm.common import frozen, gram_hashes, hashes, mixed, partitions, pieces, split_words
 
 WINDOW, GRAM = 13, 4
 #: Words on one side of an anchor that a window has at least.
@@ -78,7 +78,11 @@ PACKED = "target string, kind int, n int, pack binary"
 
 
 def repeated_keys(docs: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, found array<long>): the keys of a document that other documents have too; several rows a document."""
+    """(doc_id, found array<long>): the keys of a document that other documents have too, a row for each document that has any.
+
+    What a bucket has told goes on packed by document hash, since a row for each document and bucket would grow faster than
+    the documents do.
+    """
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -138,14 +142,31 @@ def repeated_keys(docs: DataFrame, buckets: int) -> DataFrame:
             # what is marked has been told within its block already
             keep = many[group] & ~marked
             who, what = who[keep], what[keep]
-        order = np.argsort(who, kind="stable")
+        to = mixed(who.view(np.uint64)) % np.uint64(buckets)
+        order = np.lexsort((what, who, to))
+        who, what, to = who[order], what[order], to[order]
+        parts, starts = np.unique(to, return_index=True)
+        ends = np.append(starts[1:], len(to))[: len(starts)]
+        packs = [zstandard.compress(who[a:b].view(np.uint8).reshape(-1, 8).T.tobytes() + what[a:b].view(np.uint8).reshape(-1, 8).T.tobytes(), 1) for a, b in zip(starts, ends, strict=True)]
+        return pa.table({"part": pa.array(parts.astype(np.int64), pa.int64()), "n": pa.array(ends - starts, pa.int32()), "pack": pa.array(packs, pa.binary())})
+
+    def merged(table: pa.Table) -> pa.Table:
+        who, what = [], []
+        for n, pack in zip(table.column("n").to_pylist(), table.column("pack").to_pylist(), strict=True):
+            whole = np.ascontiguousarray(np.frombuffer(zstandard.decompress(pack), np.uint8).reshape(2, 8, n).transpose(0, 2, 1))
+            who.append(whole[0].reshape(-1).view(np.int64))
+            what.append(whole[1].reshape(-1).view(np.uint64))
+        who, what = np.concatenate(who), np.concatenate(what)
+        order = np.lexsort((what, who))
         who, what = who[order], what[order]
-        first = np.ones(len(who), bool)
-        first[1:] = who[1:] != who[:-1]
-        starts = np.flatnonzero(first)
+        again = np.zeros(len(who), bool)
+        again[1:] = (who[1:] == who[:-1]) & (what[1:] == what[:-1])
+        who, what = who[~again], what[~again]
+        starts = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
         return pa.table({"doc_id": pa.array(who[starts], pa.int64()), "found": pa.ListArray.from_arrays(pa.array(np.append(starts, len(who)), pa.int32()), pa.array(what.view(np.int64)))})
 
-    return docs.mapInArrow(blocks, PACKED).groupBy("target").applyInArrow(told, "doc_id long, found array<long>")
+    packed = docs.mapInArrow(blocks, PACKED).groupBy("target").applyInArrow(told, "part long, n int, pack binary")
+    return packed.groupBy("part").applyInArrow(merged, "doc_id long, found array<long>")
 
 
 # ---- step 2: segments
@@ -319,7 +340,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = frozen(named.select("doc_id", "sha").join(first, "sha").where("doc_id > first").select("doc_id", "sha").distinct(), "copies")
     held = F.broadcast(copies) if copies.count() <= HELD else copies
     single = named.join(held, ["doc_id", "sha"], "left_anti").select("doc_id", "text")
-    found = frozen(repeated_keys(single, shards).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found")), "found")
+    found = frozen(repeated_keys(single, shards), "found")
     own = frozen(segments(met(single, found)), "segments")
     distinct = own.groupBy("digest").agg(F.min("doc_id").alias("holder"), F.min("anchor").alias("anchor"), F.first("words").alias("words"))
     answers = searched(distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))))
