@@ -20,22 +20,37 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
-    dropped = exact_dedup.dedup(docs).where("not kept").select("doc_id")
-    return without(docs, dropped)
+    """One row of each text, that of the largest id."""
+    rows = numbered(docs)
+    dropped = exact_dedup.dedup(rows, row_col="_row").where("not kept").select("_row")
+    return without(rows, dropped).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies."""
-    dropped = minhash.near_duplicates(docs).where("not kept").select("doc_id")
-    return without(docs, dropped)
+    """One row of each component of near copies, that of the smallest id. A row is a node of its own, whatever its id."""
+    rows = numbered(docs)
+    others = frozen(minhash.near_duplicates(rows, id_col="_row").where("not kept").select(F.col("doc_id").alias("_row"), "component_id"), "others")
+    members = others.union(others.select("component_id", "component_id").distinct())
+    ids = rows.select("_row", "doc_id").join(few(members.select("_row")), "_row", "left_semi")
+    first = members.join(ids, "_row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")).select("first._row")
+    return without(rows, members.select("_row").join(first, "_row", "left_anti")).select(*docs.columns)
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Ids are sent to the documents while they are few (8 bytes each); else Spark joins both by id. Rows without an id stay."""
-    dropped = frozen(dropped.where("doc_id is not null").distinct(), "dropped")
-    few = dropped.count() <= 1_000_000
-    return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(*docs.columns)
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with `_row`, which tells them apart: the id, if no row is without one and none repeats; else a number, written once."""
+    ids = docs.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count("*").alias("n"))
+    if ids.where("id is null or n > 1").isEmpty():
+        return docs.withColumn("_row", F.col("doc_id").cast("long"))
+    return frozen(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """Row numbers are sent to the documents while they are few (8 bytes each); else Spark joins both by number."""
+    return F.broadcast(rows) if rows.count() <= 1_000_000 else rows
+
+
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    return rows.join(few(frozen(dropped, "dropped")), "_row", "left_anti")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,17 +57,21 @@ def latest(spark: SparkSession, out_path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(out_path).groupBy("digest").agg(F.max("n").alias("n"), F.max("keeper").alias("keeper"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256, row_col: str | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row per row of `docs`, dropped ones too.
 
+    `row_col` names a column of numbers that tell rows apart, which is then returned as well.
+
     Texts are equal when their bytes are; null counts as empty. The row with the largest doc_id stays (a null id is smaller
     than any); of rows that repeat an id, one. Texts that share a digest but not their bytes (`digest` is a parameter, for
     tests) are told apart by their bytes. An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     inbox = shared_path(spark, "arrivals")
-    rows.select("doc_id", digest(F.col("text")).cast("string").alias("digest"), sha256(F.col("text")).alias("text_sha256"), F.monotonically_increasing_id().alias("locator")).write.parquet(inbox)
+    locator = F.col(row_col).cast("long") if row_col else F.monotonically_increasing_id()
+    docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(text).cast("string").alias("digest"), sha256(text).alias("text_sha256"), locator.alias("locator")).write.parquet(inbox)
     schema = "doc_id long, digest string, text_sha256 string, locator long"
     out = shared_path(spark, "keepers")
     keeper_state(spark.readStream.schema(schema).parquet(inbox), shared_path(spark, "state"), out)
@@ -90,7 +94,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", diges
         known = known.join(odd, "digest", "left_anti").select("doc_id", "text_sha256", "locator", "n", "keeper").union(fixed)
     return known.select(
         "doc_id", keeper["doc_id"].alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        (keeper["locator"] == F.col("locator")).alias("kept"), "text_sha256",
+        (keeper["locator"] == F.col("locator")).alias("kept"), "text_sha256", *([F.col("locator").alias(row_col)] if row_col else []),
     )
 
 

@@ -536,3 +536,29 @@ def test_pipeline(spark):
     assert all(abs(got[s] - float(w)) <= 1 for s, w in zip(sorted(per), want, strict=True))
     before, after = kept["tokens"]
     assert collections.Counter((r["doc_id"], tuple(r["ids"])) for r in after) == collections.Counter((r["doc_id"], tuple(LIBRARY.encode_ordinary(r["text"]))) for r in before)
+
+
+def test_exact_stage_odd_ids(spark):
+    """Repeated rows, one id with several texts, rows without an id: one row of each text stays."""
+    rows = [(7, "x"), (7, "x"), (3, "x"), (None, "x"), (5, "T1"), (5, "T2"), (9, "T1"), (None, "n"), (None, "n"), (8, None), (8, "")]
+    docs = documents(spark, [t for _, t in rows], ids=[i for i, _ in rows])
+    after = corpus_pipeline.without_copies(spark, docs, SMALL)
+    assert after.columns == docs.columns
+    assert sorted(((r.doc_id, r.text or "") for r in after.collect()), key=repr) == sorted([(7, "x"), (9, "T1"), (5, "T2"), (None, "n"), (8, "")], key=repr)
+
+
+def test_near_stage_odd_ids(spark):
+    """One id with several texts loses only those that a near copy stands for; rows without an id are judged as well."""
+    a, b, c, d = (" ".join(words(200 + i, 60)) for i in range(4))
+    rows = [(5, a), (5, b), (9, a + " end"), (None, b + " end"), (None, c), (None, c), (2, d), (2, d + " end"), (1, d[:20]), (1, "lone"), (None, ""), (3, None)]
+    docs = documents(spark, [t for _, t in rows], ids=[i for i, _ in rows])
+    after = corpus_pipeline.without_near_copies(spark, docs, SMALL)
+    assert after.columns == docs.columns
+    got = sorted((r.doc_id or 0, (r.text or "").removesuffix(" end")) for r in after.collect())
+    assert got == sorted([(5, a), (5, b), (0, c), (2, d), (1, d[:20]), (1, "lone"), (0, ""), (3, "")])
+
+
+def test_copies_of_unique_ids_need_no_numbers(spark):
+    docs = documents(spark, ["x", "y", "x"], ids=[4, 2, 9])
+    assert sorted((r._row, r.doc_id) for r in corpus_pipeline.numbered(docs).collect()) == [(2, 2), (4, 4), (9, 9)]
+    assert sorted(r.doc_id for r in corpus_pipeline.without_copies(spark, docs, SMALL).collect()) == [2, 9]
