@@ -172,12 +172,12 @@ def repeated_keys(docs: DataFrame, buckets: int) -> DataFrame:
 # ---- step 2: segments
 
 def segments(hits: DataFrame) -> DataFrame:
-    """(doc_id, start, anchor, digest, words) of every run of windows around an anchor with a repeated key; hits: (doc_id, text, found)."""
+    """(doc_id, own, start, anchor, digest, words) of every run of windows around an anchor with a repeated key; hits: (doc_id, own, text, found)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes, ends, words = split_words(batch.column("text"))
-            found, ids = batch.column("found"), batch.column("doc_id").to_pylist()
+            found, ids, texts = batch.column("found"), batch.column("doc_id").to_pylist(), batch.column("own").to_pylist()
             rows: list[tuple] = []
             for i, h in enumerate(_each(codes, ends, words)):
                 smallest, at = anchors(h)
@@ -192,7 +192,7 @@ def segments(hits: DataFrame) -> DataFrame:
                 own = codes[ends[i] : ends[i + 1]].tolist()
                 for s, e, a in zip(starts[keep].tolist(), stops[keep].tolist(), smallest[starts][keep].view(np.int64).tolist(), strict=True):
                     text = b" ".join([words[c] for c in own[s : e + WINDOW - 1]])
-                    rows.append((ids[i], s, a, hashlib.blake2b(text, digest_size=16).digest(), text))
+                    rows.append((ids[i], texts[i], s, a, hashlib.blake2b(text, digest_size=16).digest(), text))
                 if len(rows) > 50_000:
                     yield _batch(rows)
                     rows = []
@@ -200,10 +200,10 @@ def segments(hits: DataFrame) -> DataFrame:
                 yield _batch(rows)
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "start", "anchor", "digest", "words"])
+        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "own", "start", "anchor", "digest", "words"])
 
-    return hits.select("doc_id", "text", "found").mapInArrow(cut, "doc_id long, start int, anchor long, digest binary, words binary")
+    return hits.select("doc_id", "own", "text", "found").mapInArrow(cut, "doc_id long, own binary, start int, anchor long, digest binary, words binary")
 
 
 # ---- step 3: the index of a shard
@@ -319,37 +319,39 @@ def few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= HELD else ids
 
 
-def met(rows: DataFrame, figures: DataFrame) -> DataFrame:
-    """Rows beside their figures (by doc_id). While the ids are few, they go to the texts first, so that other texts are not shuffled."""
-    return rows.join(few(figures.select("doc_id")), "doc_id", "left_semi").join(figures, "doc_id")
+def met(rows: DataFrame, figures: DataFrame, by: list[str]) -> DataFrame:
+    """Rows beside their figures. While the ids are few, they go to the texts first, so that other texts are not shuffled."""
+    return rows.join(few(figures.select(by)), by, "left_semi").join(figures, by)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, spans array<array<int>>, kept_text), one row per row of `docs`.
 
     Spans are [first, end) runs of removed words. A null text has no words; a text of fewer than 13 words stays whole. A row
-    without an id neither removes nor is removed from. Repeated rows stay and are judged alike. An empty table gives an
+    without an id neither removes nor is removed from. Repeated rows stay and are judged alike; of an id with several texts each
+    is judged on its own words. An empty table gives an
     empty result; other columns are not read.
     """
     spark = docs.sparkSession
     shards = shards or partitions(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("sha"))
+    rows = rows.withColumn("own", F.unhex(F.substring("sha", 1, 32)))  # tells the texts of one id apart
     named = rows.where("doc_id is not null")
     first = named.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     copies = frozen(named.select("doc_id", "sha").join(first, "sha").where("doc_id > first").select("doc_id", "sha").distinct(), "copies")
     held = F.broadcast(copies) if copies.count() <= HELD else copies
-    single = named.join(held, ["doc_id", "sha"], "left_anti").select("doc_id", "text")
-    found = frozen(repeated_keys(single, shards), "found")
-    own = frozen(segments(met(single, found)), "segments")
+    single = named.join(held, ["doc_id", "sha"], "left_anti").select("doc_id", "own", "text")
+    found = frozen(repeated_keys(single.select("doc_id", "text"), shards), "found")
+    own = frozen(segments(met(single, found, ["doc_id"])), "segments")
     distinct = own.groupBy("digest").agg(F.min("doc_id").alias("holder"), F.min("anchor").alias("anchor"), F.first("words").alias("words"))
     answers = searched(distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))))
-    hits = own.select("doc_id", "start", "digest").join(answers, "digest").where(F.exists("holders", lambda h: h < F.col("doc_id")))
+    hits = own.select("doc_id", "own", "start", "digest").join(answers, "digest").where(F.exists("holders", lambda h: h < F.col("doc_id")))
     at = F.filter(F.transform("holders", lambda h, i: F.when(h < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull())
-    gone = frozen(hits.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(at)))).alias("gone")), "gone")
-    marked = rows.join(held.withColumn("copy", F.lit(True)), ["doc_id", "sha"], "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"))
-    whole = marked.join(few(gone.select("doc_id")), "doc_id", "left_anti").withColumn("gone", F.lit(None).cast("array<int>"))
-    joined = met(marked, gone).unionByName(whole)
+    gone = frozen(hits.groupBy("doc_id", "own").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(at)))).alias("gone")), "gone")
+    marked = rows.join(held.withColumn("copy", F.lit(True)), ["doc_id", "sha"], "left").select("doc_id", "own", "text", F.coalesce("copy", F.lit(False)).alias("copy"))
+    whole = marked.join(few(gone.select("doc_id", "own")), ["doc_id", "own"], "left_anti").withColumn("gone", F.lit(None).cast("array<int>"))
+    joined = met(marked, gone, ["doc_id", "own"]).unionByName(whole)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

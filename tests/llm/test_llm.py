@@ -422,6 +422,16 @@ def test_substrings_odd_ids(spark):
     assert substrings.remove_repeats(documents(spark, ["x"]).limit(0)).collect() == []
 
 
+def test_substrings_of_ids_with_several_texts(spark):
+    """Each text of an id is judged on its own words: a shorter one, one without words, one that is a copy."""
+    passage, other = words(7, 30), words(8, 60)
+    rows = [(2, " ".join(passage)), (5, " ".join(words(9, 50) + passage)), (5, " ".join(words(11, 15))), (5, None), (5, " ".join(passage)),
+            (5, " ".join(other)), (6, " ".join(passage[:20] + other[:25])), (6, " ".join(words(12, 40)))]
+    got = substrings.remove_repeats(documents(spark, [t for _, t in rows], ids=[i for i, _ in rows]), shards=5).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == brute_spans(rows)
+    assert sorted(r.n_removed for r in got) == [0, 0, 0, 0, 0, 30, 30, 45]
+
+
 def test_fm_index_counts_patterns():
     rng = np.random.default_rng(4)
     text = np.concatenate([[*rng.integers(1, 4, n), 0] for n in (30, 1, 200, 57)])
