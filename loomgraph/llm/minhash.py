@@ -232,6 +232,17 @@ def remaining_links(crowded: DataFrame, roots: DataFrame, marks: DataFrame, docs
     return blockwise(near.join(full, "doc_id"), linked_blocks, "a long, b long", most)
 
 
+def shared_ids(sketches: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): for every id with several texts, links from the smallest to the others of the nodes that its texts stand for."""
+    own = sketches.where("doc_id is not null").select("doc_id", "digest")
+    empty = F.coalesce("digest", F.lit(b""))
+    several = frozen(own.groupBy("doc_id").agg(F.min(empty).alias("low"), F.max(empty).alias("high")).where("low <> high").select("doc_id"), "several")
+    nodes = own.join(F.broadcast(several) if several.count() <= HELD else several, "doc_id", "left_semi").distinct().join(classes, "digest", "left")
+    nodes = frozen(nodes.select("doc_id", F.coalesce("rep", "doc_id").alias("b")), "nodes")
+    least = nodes.groupBy("doc_id").agg(F.min("b").alias("a"))
+    return nodes.join(least, "doc_id").where("a <> b").select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 2_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of `docs`.
 
@@ -257,7 +268,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         side = lambda x: marks.select(F.col("doc_id").alias(x), F.col("n_shingles").alias("n_" + x), F.col("bits").alias("s_" + x))
         return pairs.join(side("b"), "b").join(side("a"), "a").where(able(F.col("s_a"), F.col("s_b"), F.col("n_a"), F.col("n_b"))).select("a", "b")
 
-    links = frozen(confirmed(frozen(sifted(star), "sifted"), rows), "links")
+    links = frozen(confirmed(frozen(sifted(star), "sifted"), rows).union(shared_ids(sketches, classes)), "links")
     roots = components(links)
 
     more = frozen(remaining_links(crowded, roots, marks, rows, block), "links")
@@ -266,5 +277,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     known = sketches.select("doc_id", "n_shingles", "digest").join(classes.where("n > 1").select("digest", "rep"), "digest", "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
     joined = known.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("root", "rep"))
-    # an id that repeats with several texts belongs to one component
+    # shared_ids has linked the classes of an id that repeats with several texts
     return joined.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

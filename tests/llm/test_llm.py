@@ -317,6 +317,14 @@ def test_near_duplicates_odd_ids(spark):
     assert minhash.near_duplicates(documents(spark, ["x"]).limit(0)).collect() == []
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    """Rows that repeat an id are one node, which links whatever its texts are linked with."""
+    a, b, c, d = (" ".join(words(300 + i, 50)) for i in range(4))
+    rows = [(5, a), (5, b), (2, b), (9, a + " end"), (7, c), (7, None), (6, c), (8, d), (8, d), (8, d + " end")]
+    got = minhash.near_duplicates(documents(spark, [t for _, t in rows], ids=[i for i, _ in rows])).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == sorted((i, {5: 2, 9: 2, 7: 6}.get(i, i), i in (2, 6, 8)) for i, _ in rows)
+
+
 def test_odd_sketches_estimate_high_similarities():
     rng = np.random.default_rng(2)
     for share in (0.95, 0.85, 0.75):
