@@ -1,4 +1,4 @@
-"""Repeated passages by compressed FM-indexes, one per shard, with backward search over wavelet matrices.
+"""Repeated passages by FM-indexes, one per shard, with backward search over wavelet matrices.
 
 Content decides the shard. Of every window of 13 words the smallest of its 4-word grams (by hash) is the anchor; neighbouring
 windows with the same anchor form one segment, and equal windows have equal anchors, so they meet in one shard. Steps:
@@ -230,7 +230,8 @@ class FmIndex:
     """Suffix array intervals of patterns of up to `reach` symbols, by backward search over the text's BWT.
 
     Symbols are 1 and up, 0 separates texts. Suffixes are sorted by their first `reach` symbols or more, which is all that
-    patterns of that length can tell apart. The BWT is kept as a wavelet matrix.
+    patterns of that length can tell apart. The BWT is kept as a wavelet matrix. Nothing is compressed: the suffix
+    array is whole, the bit vectors are plain.
     """
 
     def __init__(self, text: np.ndarray, reach: int) -> None:
