@@ -105,7 +105,7 @@ def test_carry_previous_equals_lag(spark):
 
 def test_numbered_is_a_global_rank(spark):
     keys = random.Random(1).sample(range(10000), 300)
-    got = {r["id"]: r["pos"] for r in numbered(spark.createDataFrame([(k,) for k in keys], "id bigint"), "id", 512, "pos").collect()}
+    got = {r["id"]: r["pos"] for r in numbered(spark.createDataFrame([(k,) for k in keys], "id bigint"), "id", "pos").collect()}
     assert got == {k: i + 1 for i, k in enumerate(sorted(keys))}
 
 
