@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word, in Spark's and in DuckDB's regular expressions.
@@ -128,3 +128,21 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if after.where("old <> root").isEmpty():
             return after.select("id", "root")
         roots = after.select("id", "root")
+
+
+def prefix_sums(rows: DataFrame, key: str, order: list[Column], values: dict[str, Column], keep: list[str]) -> DataFrame:
+    """`key`, `keep` and the running sums (own row included) of the `values`, none below 0, along `order` within each key.
+
+    Rows are dealt out by ranges of key and order, so that a key with very many rows spans many tasks. Only the first key of a range
+    can have begun before it: what the ranges before hold of those few keys is added, at most two rows per range.
+    """
+    spark = rows.sparkSession
+    told = rows.withColumn("_tie", F.monotonically_increasing_id())
+    ranged = told.repartitionByRange(partitions(spark), F.col(key), *order, F.col("_tie")).withColumn("_range", F.spark_partition_id())
+    inside = Window.partitionBy("_range", key).orderBy(*order, "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = frozen(ranged.select(key, "_range", *keep, *[F.sum(v).over(inside).alias(n) for n, v in values.items()]), "prefix")
+    firsts = local.groupBy("_range").agg(F.min(key).alias(key)).select(key).distinct()
+    ahead = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = local.groupBy(key, "_range").agg(*[F.max(n).alias(n) for n in values]).join(F.broadcast(firsts), key, "left_semi")
+    carried = totals.select(key, "_range", *[F.sum(n).over(ahead).alias(f"_{n}") for n in values]).where(F.col(f"_{next(iter(values))}").isNotNull())
+    return local.join(F.broadcast(carried), [key, "_range"], "left").select(key, *keep, *[(F.col(n) + F.coalesce(f"_{n}", F.lit(0))).alias(n) for n in values])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import ann, bpe, chat, exact_dedup, minhash, mixing, quality, sharding, substrings, toxicity, url_filter
+from loomgraph.llm import ann, bpe, chat, exact_dedup, minhash, mixing, quality, sharding, spelling, substrings, toxicity, turn_trie, url_filter
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -68,8 +68,17 @@ def op11_hash_tree(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assigned(table(spark, folder, "documents"))
 
 
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+def op13_turn_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return turn_trie.trie(table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_byte_bpe, op2_url_filter, op3_exact_dedup, op4_source_mix, op5_quality, op6_near_dedup, op7_toxicity, op8_substring_dedup, op9_chat_format, op10_ann_search, op11_hash_tree,
+    op1_byte_bpe, op2_url_filter, op3_exact_dedup, op4_source_mix, op5_quality, op6_near_dedup, op7_toxicity, op8_substring_dedup, op9_chat_format, op10_ann_search, op11_hash_tree, op12_spelling, op13_turn_trie,
 )}
 #: The others learn, sketch, draw or search; tests hold them against brute force, exact round trips or held-out labels.
-SQL: dict[str, str] = {"op2_url_filter": url_filter.SQL, "op3_exact_dedup": exact_dedup.SQL, "op8_substring_dedup": substrings.SQL, "op9_chat_format": chat.SQL, "op11_hash_tree": sharding.SQL}
+SQL: dict[str, str] = {"op2_url_filter": url_filter.SQL, "op3_exact_dedup": exact_dedup.SQL, "op8_substring_dedup": substrings.SQL, "op9_chat_format": chat.SQL, "op11_hash_tree": sharding.SQL,
+                       "op12_spelling": spelling.SQL, "op13_turn_trie": turn_trie.SQL}
