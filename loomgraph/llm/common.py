@@ -39,6 +39,32 @@ def frozen(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def free(name: str, *taken: list[str]) -> str:
+    """The name, with as many underscores before it as no column has."""
+    known = {c.lower() for columns in taken for c in columns}
+    while name.lower() in known:
+        name = "_" + name
+    return name
+
+
+def numbered(docs: DataFrame, row: str = "_row", id_col: str = "doc_id") -> DataFrame:
+    """The rows with `row`, which tells them apart: the id, if no row is without one and none repeats; else a number, written once."""
+    own = F.col(id_col).cast("long")
+    ids = docs.groupBy(own.alias("id")).agg(F.count("*").alias("n"))
+    if ids.where("id is null or n > 1").isEmpty():
+        return docs.withColumn(row, own)
+    return frozen(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """Row numbers are sent to the documents while they are few (8 bytes each); else Spark joins both by number."""
+    return F.broadcast(rows) if rows.count() <= 1_000_000 else rows
+
+
+def without(rows: DataFrame, dropped: DataFrame, row: str = "_row") -> DataFrame:
+    return rows.join(few(frozen(dropped, "dropped")), row, "left_anti")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

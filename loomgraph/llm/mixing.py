@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import WORD, frozen, partitions
+from loomgraph.llm.common import WORD, free, frozen, partitions
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2
@@ -164,11 +164,12 @@ def taken(sizes: DataFrame, goal: DataFrame, draws: DataFrame) -> DataFrame:
 
 def mixed_texts(docs: DataFrame, draws: DataFrame, row_col: str, text_col: str = "text") -> DataFrame:
     """`docs`, a row for every pass over a document: whole documents as they are, else the drawn words joined by spaces; `row_col` is the row that was drawn."""
-    drawn = draws.groupBy(F.col("row").alias("_row"), F.col("pass").alias("_pass")).agg(F.array_sort(F.collect_list(F.struct("start", "take"))).alias("_parts"), F.sum("take").alias("_words"))
+    row, nth, parts, count, split = (free(f"_{n}", docs.columns) for n in ("drawn", "pass", "parts", "words", "all"))
+    drawn = draws.groupBy(F.col("row").alias(row), F.col("pass").alias(nth)).agg(F.array_sort(F.collect_list(F.struct("start", "take"))).alias(parts), F.sum("take").alias(count))
     words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice("_all", (p["start"] + 1).cast("int"), p["take"].cast("int")))), " ")
-    rows = docs.join(drawn, F.col(row_col) == F.col("_row")).withColumn("_all", words)  # texts are shuffled, not their words
-    return rows.withColumn(text_col, F.when(F.size("_all") == F.col("_words"), F.col(text_col)).otherwise(cut)).select(*docs.columns)
+    cut = F.array_join(F.flatten(F.transform(parts, lambda p: F.slice(split, (p["start"] + 1).cast("int"), p["take"].cast("int")))), " ")
+    rows = docs.join(drawn, F.col(row_col) == F.col(row)).withColumn(split, words)  # texts are shuffled, not their words
+    return rows.withColumn(text_col, F.when(F.size(split) == F.col(count), F.col(text_col)).otherwise(cut)).select(*docs.columns)
 
 
 def share_of(weights: tuple[int, ...], sizes: list[int], share: float = SHARE, cap: float = CAP) -> list[Fraction]:

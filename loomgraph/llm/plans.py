@@ -36,8 +36,8 @@ def op4_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
-    judged = quality.judged(table(spark, folder, "documents").select("doc_id", "text", "lang", "source"), table(spark, folder, "labels"))
-    return judged.select("doc_id", F.col("_own").alias("document_log_odds"), F.col("_path").alias("path_rate"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).alias("kept"))
+    found = quality.verdicts(table(spark, folder, "documents"), table(spark, folder, "labels"), "doc_id")
+    return found.select("doc_id", F.col("_own").alias("document_log_odds"), F.col("_path").alias("path_rate"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).alias("kept"))
 
 
 def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:

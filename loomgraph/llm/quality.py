@@ -2,7 +2,8 @@
 
 Documents have no address here; `source` stands for the host and (source, lang) for the path below it. A logistic classifier
 over plain text figures gives a document's own probability; it is fitted on at most `SAMPLE` labelled documents. Sites gather the
-labels of their documents, or the classifier's probability where there is none, in one grouped aggregation. A host's rate is
+labels of their documents, or the classifier's probability where there is none, in one grouped aggregation; a document's own share
+is taken out of its path again before the path speaks about it. A host's rate is
 shrunk toward the global one, a path's toward its host's; the strength of the pull is estimated from how much the rates of
 hosts (of paths about their hosts) differ beyond chance, so a sparse site keeps to its prior. The posterior log-odds are the
 document's plus those of its path less those of the whole.
@@ -14,11 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from loomgraph.llm.common import frozen, pieces, split_words
+from loomgraph.llm.common import free, frozen, numbered, pieces, split_words, without
 
 #: Most labelled documents that the classifier is fitted on; most paths whose posteriors are sent to all tasks.
 SAMPLE, HELD = 20_000, 100_000
@@ -106,32 +107,43 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Lo
     return Logistic(np.array(got.column("x").to_pylist(), float).reshape(-1, FEATURES), got.column("y").to_numpy())
 
 
-def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", part_col: str = "lang") -> DataFrame:
-    """`docs` with `_own` (the document's log-odds), `_path` (its path's posterior rate), `_score` (posterior probability), one row each.
+def verdicts(rows: DataFrame, labels: DataFrame, keep: str, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", part_col: str = "lang") -> DataFrame:
+    """(`keep`, `_own`, `_path`, `_score`), one row per row: the document's log-odds, its path's posterior rate without the document's
+    own share in it, and the posterior probability.
 
-    Null hosts and parts are sites like any other; a null text counts as empty. Labels that repeat an id count once (the lower
-    one); without labels, or with one class only, every document has the constant rate. Repeated rows stay. All columns of `docs`
-    stay as they are.
+    Texts go to Python once and do not come back: the evidence is written as a slim table, which all that follows reads.
     """
-    model = fitted(docs, labels, id_col, text_col)
-
+    model = fitted(rows, labels, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = model.log_odds(figures(batch.column(text_col).cast(pa.string())))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], [*batch.schema.names, "_own"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.log_odds(figures(batch.column("text"))))], [*batch.schema.names[:-1], "_own"])
 
-    with_own = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_own", DoubleType())]))
-    evidence = with_own.select(F.col(id_col).cast("long").alias("i"), F.col(host_col).alias("h"), F.col(part_col).alias("p"), "_own")
+    slim = rows.select(F.col(keep).alias("k"), F.col(id_col).cast("long").alias("i"), F.col(host_col).alias("h"), F.col(part_col).alias("p"), F.col(text_col).cast("string").alias("text"))
+    evidence = slim.mapInArrow(run, StructType([*slim.schema.fields[:-1], StructField("_own", DoubleType())]))
     known = labels.select(F.col("doc_id").cast("long").alias("i"), F.col("quality").alias("y")).where("i is not null and y is not null").groupBy("i").agg(F.min("y").alias("y"))
     rate = F.coalesce(F.col("y").cast("double"), 1 / (1 + F.exp(-F.col("_own"))))
-    evidence = frozen(evidence, "evidence")
-    paths = frozen(evidence.join(known, "i", "left").groupBy("h", "p").agg(F.count("*").cast("double").alias("n"), F.sum(rate).alias("good")), "paths")
-    sites = posteriors(paths).withColumnsRenamed({"h": "_h", "p": "_p"})
+    evidence = frozen(evidence.join(known, "i", "left").select("k", "h", "p", "_own", rate.alias("rate")), "evidence")
+    paths = frozen(evidence.groupBy("h", "p").agg(F.count("*").cast("double").alias("n"), F.sum("rate").alias("good")), "paths")
+    sites = posteriors(paths).drop("_path").withColumnsRenamed({"h": "hh", "p": "pp"})
     held = F.broadcast(sites) if sites.count() <= HELD else sites
-    joined = with_own.join(held, F.col(host_col).eqNullSafe(F.col("_h")) & F.col(part_col).eqNullSafe(F.col("_p")))
+    joined = evidence.join(held, F.col("h").eqNullSafe(F.col("hh")) & F.col("p").eqNullSafe(F.col("pp")))
+    path = kept_inside((F.col("_pull") * F.col("_host") + F.col("_good") - F.col("rate")) / (F.col("_pull") + F.col("_n") - 1))
     odds = lambda x: F.ln(x / (1 - x))
-    return joined.withColumn("_score", 1 / (1 + F.exp(-(F.col("_own") + odds(F.col("_path")) - odds(F.col("_global")))))).drop("_h", "_p", "_global")
+    joined = joined.withColumn("_path", path)
+    return joined.select(F.col("k").alias(keep), "_own", "_path", (1 / (1 + F.exp(-(F.col("_own") + odds(F.col("_path")) - odds(F.col("_global")))))).alias("_score"))
+
+
+def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", part_col: str = "lang") -> DataFrame:
+    """`docs` with `_own`, `_path` and `_score` of `verdicts`, one row each; columns of these names are replaced, all others stay.
+
+    Null hosts and parts are sites like any other; a null text counts as empty. Labels that repeat an id count once (the lower
+    one); without labels, or with one class only, every document has the constant rate. Repeated rows stay.
+    """
+    row = free("_row", docs.columns)
+    rows = numbered(docs, row, id_col)
+    found = verdicts(rows, labels, row, id_col, text_col, host_col, part_col)
+    return rows.drop("_own", "_path", "_score").join(found, row).drop(row)
 
 
 def pull(rows: DataFrame, rate: str, prior: str) -> float:
@@ -146,7 +158,7 @@ def pull(rows: DataFrame, rate: str, prior: str) -> float:
 
 
 def posteriors(paths: DataFrame) -> DataFrame:
-    """(h, p, _path, _global) from (h, p, n, good): beta posteriors, global to host to path."""
+    """(h, p, _path, _global, _host, _pull, _n, _good) from (h, p, n, good): beta posteriors, global to host to path, and what the path's is made of."""
     total = paths.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     n, good = total["n"] or 0.0, total["good"] or 0.0
     base = (good + 0.5) / (n + 1.0)
@@ -156,9 +168,16 @@ def posteriors(paths: DataFrame) -> DataFrame:
     rows = paths.join(hosts, F.col("h").eqNullSafe(F.col("hh"))).withColumn("rate", F.col("good") / F.col("n"))
     b = pull(rows, "rate", "host")
     path = (F.lit(b) * F.col("host") + F.col("good")) / (F.lit(b) + F.col("n"))
-    return frozen(rows.select("h", "p", F.least(F.greatest(path, F.lit(1e-6)), F.lit(1 - 1e-6)).alias("_path"), F.lit(base).alias("_global")), "sites")
+    parts = [F.col("host").alias("_host"), F.lit(b).alias("_pull"), F.col("n").alias("_n"), F.col("good").alias("_good")]
+    return frozen(rows.select("h", "p", kept_inside(path).alias("_path"), F.lit(base).alias("_global"), *parts), "sites")
+
+
+def kept_inside(rate: Column) -> Column:
+    return F.least(F.greatest(rate, F.lit(1e-6)), F.lit(1 - 1e-6))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """Documents whose posterior reaches `least`, with their own columns only."""
-    return judged(docs, labels).where(F.col("_score") >= least).select(*docs.columns)
+    """Documents whose posterior reaches `least`, with their own columns only, whatever these are called."""
+    row = free("_row", docs.columns)
+    rows = numbered(docs, row)
+    return without(rows, verdicts(rows, labels, row).where(F.col("_score") < least).select(row), row).select(*docs.columns)
