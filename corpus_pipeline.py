@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import bpe, exact_dedup, minhash, mixing, quality
-from loomgraph.llm.common import frozen
+from loomgraph.llm.common import few, free, frozen, numbered, without
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -21,44 +21,30 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each text, that of the largest id."""
-    rows = numbered(docs)
-    dropped = exact_dedup.dedup(rows, row_col="_row").where("not kept").select("_row")
-    return without(rows, dropped).select(*docs.columns)
+    row = free("_row", docs.columns)
+    rows = numbered(docs, row)
+    dropped = exact_dedup.dedup(rows, row_col=row).where("not kept").select(row)
+    return without(rows, dropped, row).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near copies, that of the smallest id. A row is a node of its own, whatever its id."""
-    rows = numbered(docs)
-    others = frozen(minhash.near_duplicates(rows, id_col="_row").where("not kept").select(F.col("doc_id").alias("_row"), "component_id"), "others")
+    row = free("_row", docs.columns)
+    rows = numbered(docs, row)
+    others = frozen(minhash.near_duplicates(rows, id_col=row).where("not kept").select(F.col("doc_id").alias("node"), "component_id"), "others")
     members = others.union(others.select("component_id", "component_id").distinct())
-    ids = rows.select("_row", "doc_id").join(few(members.select("_row")), "_row", "left_semi")
-    first = members.join(ids, "_row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")).select("first._row")
-    return without(rows, members.select("_row").join(first, "_row", "left_anti")).select(*docs.columns)
-
-
-def numbered(docs: DataFrame) -> DataFrame:
-    """The rows with `_row`, which tells them apart: the id, if no row is without one and none repeats; else a number, written once."""
-    ids = docs.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count("*").alias("n"))
-    if ids.where("id is null or n > 1").isEmpty():
-        return docs.withColumn("_row", F.col("doc_id").cast("long"))
-    return frozen(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-
-
-def few(rows: DataFrame) -> DataFrame:
-    """Row numbers are sent to the documents while they are few (8 bytes each); else Spark joins both by number."""
-    return F.broadcast(rows) if rows.count() <= 1_000_000 else rows
-
-
-def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
-    return rows.join(few(frozen(dropped, "dropped")), "_row", "left_anti")
+    ids = rows.select(F.col(row).alias("node"), "doc_id").join(few(members.select("node")), "node", "left_semi")
+    first = members.join(ids, "node").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first")).select("first.node")
+    return without(rows, members.select("node").join(first, "node", "left_anti").select(F.col("node").alias(row)), row).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture: a document once for every pass over it; the texts of partial passes are the blocks that were drawn."""
-    rows = frozen(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "numbered")
-    sizes = mixing.measured(rows, row_col="_mix_row")
+    row = free("_mix_row", docs.columns)
+    rows = frozen(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    sizes = mixing.measured(rows, row_col=row)
     draws = mixing.mix(sizes, mixing.targets(sizes))
-    texts = mixing.mixed_texts(rows, draws, "_mix_row").withColumn("n_chars", F.length("text").cast("long"))
+    texts = mixing.mixed_texts(rows, draws, row).withColumn("n_chars", F.length("text").cast("long"))
     return texts.select(*docs.columns)
 
 
