@@ -5,10 +5,13 @@ A word enters as its own embedding (words of the training sample only) and as it
 pools their states, and a logistic unit scores the window. A document's score is that of its worst window; windows of 32 words
 start every 16 words, so that any two words up to 16 apart share one, and none is left out.
 
-Training takes a bounded sample (`SAMPLE_TOXIC`, `SAMPLE_CLEAN` labelled documents of at most `SAMPLE_WORDS` words), first with
-any window under its document's label (documents alike, so that short ones, whose label is nearer, count more), then with the
-worst windows of toxic documents only. Only texts and labels
-are read: neither language, source nor id enters a score.
+Training takes a bounded sample (`SAMPLE_TOXIC`, `SAMPLE_CLEAN` labelled documents that have a text; of a long one, `STRETCHES` stretches of
+a window's length, spread over all of it), first with any window under its document's label (documents alike, so that short ones,
+whose label is nearer, count more), then with the worst windows of toxic documents only. A word's own embedding is left out at random
+(`DROP`), so that its characters must do as well, and the weights that are used are a running mean over the later steps (`MEAN`). The
+border between the classes comes from an inner fold: a network that has not seen it scores it, and missed documents cost `MISS` times
+as much as false alarms. The network in use is then trained on the whole sample. Only texts and labels are read: neither language,
+source nor id enters a score.
 """
 
 from __future__ import annotations
@@ -23,9 +26,10 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import WORD, mixed, pieces, split_words
 
 WINDOW, STRIDE = 32, 16
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_WORDS = 1_000, 2_000, 512
+SAMPLE_TOXIC, SAMPLE_CLEAN, STRETCHES = 1_000, 2_000, 32
 WORD_ROWS, GRAM_ROWS, SIZE, HIDDEN, PAY = 4_096, 16_384, 8, 8, 8
-STEPS, BATCH = 80, 160
+STEPS, BATCH = 80, 400
+DROP, MEAN, MISS, FOLD = 0.25, 0.99, 2.0, 5
 
 
 def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,9 +75,10 @@ class Network:
 
     # -- words
 
-    def inputs(self, words: list[bytes]) -> tuple[np.ndarray, tuple]:
-        """Input vectors of distinct words."""
+    def inputs(self, words: list[bytes], kept: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
+        """Input vectors of distinct words; of those not `kept`, from their characters alone."""
         p, own = self.p, np.fromiter((self.vocabulary.get(w, 0) for w in words), np.int64, len(words))
+        own = own if kept is None else np.where(kept, own, 0)
         keys, starts = grams_of(words)
         e = p["gram"][keys]
         score = e @ p["ask"]
@@ -121,9 +126,9 @@ class Network:
         pooled = (h * weight[:, :, None]).sum(0)
         return pooled @ p["out"] + p["bias"][0], (runs, h, a, weight, pooled)
 
-    def gradients(self, words: list[bytes], codes: np.ndarray, real: np.ndarray, label: np.ndarray) -> dict:
+    def gradients(self, words: list[bytes], codes: np.ndarray, real: np.ndarray, label: np.ndarray, known: np.ndarray | None = None) -> dict:
         p, grads = self.p, {k: np.zeros_like(v) for k, v in self.p.items()}
-        x, kept = self.inputs(words)
+        x, kept = self.inputs(words, known)
         logit, (runs, h, a, weight, pooled) = self.forward(x, codes, real, keep=True)
         g = ((sigmoid(logit) - label) / len(label)).astype(np.float32)
         grads["bias"][0], grads["out"] = g.sum(), g @ pooled
@@ -181,10 +186,44 @@ class Network:
         return worst
 
 
+def border(top: np.ndarray, label: np.ndarray) -> float:
+    """The score between the classes of least cost, in the middle of its gap."""
+    order = np.argsort(top, kind="stable")
+    missed = np.concatenate([[0], np.cumsum(label[order])])
+    alarms = (1 - label).sum() - np.concatenate([[0], np.cumsum(1 - label[order])])
+    cost = MISS * missed + alarms
+    best = np.flatnonzero(cost <= cost.min() + 1e-9)
+    at = int(best[len(best) // 2])
+    return float((top[order[max(at - 1, 0)]] + top[order[min(at, len(order) - 1)]]) / 2)
+
+
+def worst_of(logits: np.ndarray, text: np.ndarray, many: int) -> np.ndarray:
+    top = np.full(many, -np.inf, np.float32)
+    np.maximum.at(top, text, logits)
+    return top
+
+
 def train(texts: list[str], label: np.ndarray, seed: int = 5) -> Network | None:
-    """The network of a sample of texts; none where the sample lacks a class."""
+    """The network of a sample of texts, its border from an inner fold; none where the sample lacks a class."""
     if not len(label) or label.min() == label.max():
         return None
+    order = np.random.default_rng(seed).permutation(len(label))
+    fold = np.zeros(len(label), bool)
+    for y in (0.0, 1.0):  # every FOLD-th of either class
+        fold[order[label[order] == y][::FOLD]] = True
+    whole, shift = fitted(texts, label, np.ones(len(label), bool), seed), 0.0
+    if 0 < label[~fold].sum() < (~fold).sum():
+        inner = fitted(texts, label, ~fold, seed)
+        shift = border(inner.texts(pa.array([t for t, f in zip(texts, fold, strict=True) if f], pa.string())), label[fold])
+    else:  # a class too small to be parted
+        shift = border(whole.texts(pa.array(texts, pa.string())), label)
+    whole.shift = shift
+    return whole
+
+
+def fitted(texts: list[str], label: np.ndarray, used: np.ndarray, seed: int) -> Network:
+    """A network trained on the `used` texts alone."""
+    texts, label = [t for t, u in zip(texts, used, strict=True) if u], label[used]
     rng = np.random.default_rng(seed)
     codes, ends, words = split_words(pa.array(texts, pa.string()), lower=True)
     often = np.bincount(codes, minlength=len(words))
@@ -193,7 +232,7 @@ def train(texts: list[str], label: np.ndarray, seed: int = 5) -> Network | None:
     text, first, size = windows_of(ends)
     padded = np.append(codes, np.zeros(WINDOW, codes.dtype)).astype(np.int64)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
-    step = 0
+    step, mean = 0, None
 
     def learn(pools: tuple[np.ndarray, np.ndarray], steps: int, rate: float) -> None:
         nonlocal step
@@ -203,12 +242,14 @@ def train(texts: list[str], label: np.ndarray, seed: int = 5) -> Network | None:
             span = np.arange(WINDOW)[:, None]
             real = span < size[None, pick]
             used, inverse = np.unique(padded[first[None, pick] + span], return_inverse=True)
-            grads = net.gradients([words[w] for w in used], inverse.reshape(real.shape), real, label[text[pick]])
+            grads = net.gradients([words[w] for w in used], inverse.reshape(real.shape), real, label[text[pick]], rng.random(len(used)) >= DROP)
             for k, g in grads.items():
                 m, v = moments[k]
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 net.p[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+                if mean is not None:
+                    mean[k] += (1 - MEAN) * (net.p[k] - mean[k])
 
     def all_logits() -> np.ndarray:
         x, _ = net.inputs(words)
@@ -225,40 +266,33 @@ def train(texts: list[str], label: np.ndarray, seed: int = 5) -> Network | None:
     many = np.bincount(text)
     nth = np.floor(rng.random((16, len(many))) * many).astype(np.int64) + np.cumsum(many) - many
     learn((nth[:, label > 0.5].ravel(), nth[:, label <= 0.5].ravel()), 2 * STEPS, 0.02)
-    for rate in (0.01, 0.005):
+    mean = {k: v.copy() for k, v in net.p.items()}
+    for rate in (0.01, 0.01, 0.01, 0.005, 0.005):
         logits = all_logits()
-        top = np.full(len(texts), -np.inf, np.float32)
-        np.maximum.at(top, text, logits)
-        worst = np.flatnonzero(toxic & (logits >= top[text]))
+        worst = np.flatnonzero(toxic & (logits >= worst_of(logits, text, len(texts))[text]))
         hard = np.flatnonzero(~toxic)
         hard = np.concatenate([hard, *[np.argsort(np.where(toxic, -np.inf, logits))[-max(1, len(hard) // 20) :]] * 10])  # the worst clean windows count more
         learn((worst, hard), STEPS, rate)
-    logits = all_logits()
-    top = np.full(len(texts), -np.inf, np.float32)
-    np.maximum.at(top, text, logits)
-    # the border with the fewest errors, in the middle of its gap
-    order = np.argsort(top, kind="stable")
-    errors = np.concatenate([[0], np.cumsum(label[order])]) + (1 - label).sum() - np.concatenate([[0], np.cumsum(1 - label[order])])
-    best = np.flatnonzero(errors == errors.min())
-    at = int(best[len(best) // 2])
-    net.shift = float((top[order[max(at - 1, 0)]] + top[order[min(at, len(order) - 1)]]) / 2)
+    net.p = {k: v.astype(np.float32) for k, v in mean.items()}
     return net
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[list[str], np.ndarray]:
     """The training texts: labelled rows outside of the held-out fifth, by the order of a hash, at most the documented numbers."""
     known = labels.select(F.col("doc_id").cast("long").alias("i"), F.col("toxic").alias("y")).where(F.col("y").isNotNull() & F.col("i").isNotNull() & ~held_out(F.col("i")))
-    known = known.groupBy("i").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("i"))
-    pick = lambda y, n: known.where(F.col("y") == y).orderBy("h", "i").limit(2 * n)
-    chosen = F.broadcast(pick(1, SAMPLE_TOXIC).unionAll(pick(0, SAMPLE_CLEAN)))  # at most twice the sample
-    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("text")).join(chosen, "i")
-    rows = rows.where(F.regexp_count("text", F.lit(WORD)).between(1, SAMPLE_WORDS))
-    texts, label = [], []
-    for y, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
-        for r in rows.where(F.col("y") == y).orderBy("h", "i", "text").limit(n).select("text").collect():
-            texts.append(r["text"])
-            label.append(y)
-    return texts, np.array(label, np.float32)
+    known = known.groupBy("i").agg(F.max("y").alias("y"))
+    words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
+    # of a long text, stretches from evenly spread places
+    many, long = F.size("w"), WINDOW * STRETCHES
+    starts = F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda k: F.floor(k * (many - WINDOW) / (STRETCHES - 1)).cast("int") + 1)
+    cut = F.when(many <= long, F.col("text")).otherwise(F.array_join(F.flatten(F.transform(starts, lambda a: F.slice("w", a, WINDOW))), " "))
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
+    able = rows.where(F.col("text").rlike(WORD)).select("i", "t").join(known, "i").distinct()
+    pick = lambda y, n: able.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i", "t").limit(n)
+    chosen = pick(1, SAMPLE_TOXIC).unionAll(pick(0, SAMPLE_CLEAN))
+    found = rows.join(F.broadcast(chosen), ["i", "t"]).withColumn("w", words).select("i", "t", "y", cut.alias("text")).dropDuplicates(["i", "t"])
+    taken = found.orderBy(F.desc("y"), F.xxhash64("i"), "i", "t").select("text", "y").collect()  # at most the two numbers, each at most so many words
+    return [r["text"] for r in taken], np.array([r["y"] for r in taken], np.float32)
 
 
 def held_out(doc_id):
