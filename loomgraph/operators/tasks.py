@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.cycles import reachable_pairs
 from loomgraph.operators.tables import filtered
 from loomgraph.session import cut_lineage
 
@@ -59,9 +60,9 @@ def dependents(deps: DataFrame, start: DataFrame, hops_per_round: int = 4) -> Da
 
 def cycle_edges(deps: DataFrame, proposed: DataFrame) -> DataFrame:
     """Proposed dependencies (task_id, blocked_by) that would close a cycle: the blocker already waits for the task."""
-    start = proposed.select(F.col("task_id").alias("root"), F.col("task_id").alias("id")).distinct()
-    reach = dependents(deps, start).select(F.col("root").alias("task_id"), F.col("id").alias("blocked_by"))
-    return proposed.join(reach, ["task_id", "blocked_by"], "left_semi")
+    waits = deps.select(F.col("blocked_by").alias("u"), F.col("task_id").alias("v"))
+    closed = reachable_pairs(waits, proposed.select(F.col("task_id").alias("x"), F.col("blocked_by").alias("y")))
+    return proposed.join(closed.select(F.col("x").alias("task_id"), F.col("y").alias("blocked_by")), ["task_id", "blocked_by"], "left_semi")
 
 
 def query_tasks(tasks: DataFrame, deps: DataFrame, limit: int | None = 10, status: str = "", **equal) -> DataFrame:
