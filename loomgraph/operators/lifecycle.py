@@ -91,13 +91,13 @@ def sprt_simulation(spark: SparkSession, p_true: float, n_sim: int = 10000, max_
 
 # --- reinforcement ---------------------------------------------------------
 
-def hebbian_update(nodes: DataFrame, edges: DataFrame, results: DataFrame, as_of: str, query_text: str = "") -> DataFrame:
+def hebbian_update(nodes: DataFrame, edges: DataFrame, results: DataFrame, as_of: str, query_text: str | dict[int, str] = "") -> DataFrame:
     """Edges touched by the results of a few requests (qid, id), strengthened.
 
     Both ends in one result list: +0.015. One end: +0.005 for the first 50 such
     edges of the request. Gains are positive, so summing them before the cap
-    equals applying the requests one after another. ``results`` is the short
-    answer of the driver's own requests and is broadcast; edges are scanned once.
+    equals applying the requests one after another. With texts (one, or one per request) every request also leaves an entry in the
+    edge's context log, which keeps the last five; of a larger batch only those are gathered. Edges are scanned once.
     """
     asked = results.select("qid", "id").distinct()
     pool = G.live_edges(nodes, G.edges_at(G.reasoning_edges(edges), results.select("id").distinct()))
@@ -107,18 +107,64 @@ def hebbian_update(nodes: DataFrame, edges: DataFrame, results: DataFrame, as_of
     both = ends.where("s = 1 AND t = 1").select("qid", "id", F.lit(LEARN_BOTH).alias("gain"))
     one = top_per_group(ends.where("s + t = 1"), ["qid"], [F.col("id")], ONE_SIDED_LIMIT).select(
         "qid", "id", F.lit(LEARN_ONE).alias("gain"))
-    total = both.unionAll(one).groupBy("id").agg(F.sum("gain").alias("gain"), F.count("*").alias("hits"))
+    hits = both.unionAll(one)
+    total = hits.groupBy("id").agg(F.sum("gain").alias("gain"), F.count("*").alias("hits"))
+    description = F.col("description")
+    if query_text:
+        total = total.join(context_entries(hits, query_text, as_of), "id")
+        old = F.coalesce(F.from_json("description", CONTEXT_LOG), F.array().cast(CONTEXT_LOG))
+        added = F.concat(old, "entries")
+        description = F.to_json(F.slice(added, F.greatest(F.size(added) - CONTEXT_HISTORY + 1, F.lit(1)), CONTEXT_HISTORY)).alias("description")
     base = F.coalesce(F.nullif("strength", F.lit(0.0)), F.lit(1.0))
-    old = F.from_json("description", "array<struct<q:string,t:string>>")
-    log = F.coalesce(old, F.array().cast("array<struct<q:string,t:string>>"))
-    entry = F.array(F.struct(F.lit(query_text[:80]).alias("q"), F.lit(as_of).alias("t")))
-    added = F.concat(log, entry)
-    keep = F.slice(added, F.greatest(F.size(added) - CONTEXT_HISTORY + 1, F.lit(1)), CONTEXT_HISTORY)
     return (edges.join(total, "id")
             .select("id", F.round(F.least(base + F.col("gain"), F.lit(STRENGTH_CAP)), 6).alias("strength"),
                     (F.coalesce("frequency", F.lit(0)) + F.col("hits")).alias("frequency"),
-                    now(as_of).alias("last_activated"),
-                    (F.to_json(keep) if query_text else F.col("description")).alias("description")))
+                    now(as_of).alias("last_activated"), description))
+
+
+CONTEXT_LOG = "array<struct<q:string,t:string>>"
+
+
+def context_entries(hits: DataFrame, texts: str | dict[int, str], as_of: str) -> DataFrame:
+    """(id, entries): for every edge the log entries of its last requests (qid, id), in order."""
+    last = top_per_group(hits.select("qid", "id"), ["id"], [F.desc("qid")], CONTEXT_HISTORY)
+    if isinstance(texts, str):
+        told = last.withColumn("q", F.lit(texts))
+    else:
+        told = last.join(hits.sparkSession.createDataFrame(list(texts.items()), "qid bigint, q string"), "qid")
+    ordered = F.sort_array(F.collect_list(F.struct("qid", "q")))
+    return told.groupBy("id").agg(F.transform(ordered, lambda e: F.struct(F.substring(e["q"], 1, 80).alias("q"), F.lit(as_of).alias("t"))).alias("entries"))
+
+
+def score_update(nodes: DataFrame, histories: DataFrame, results: DataFrame, keep: int = O.SPRT_HISTORY) -> DataFrame:
+    """(id, score_history, promote) of the recalled signals: their scores, as shares of the request's best, appended to the history
+    (id, history), the last ``keep`` of which stay, and what the sequential test says of them.
+
+    Several requests are taken in the order of their numbers; of a larger batch only the last ``keep`` of a node are gathered.
+    """
+    best = results.groupBy("qid").agg(F.max("score").alias("best"))
+    signals = G.active(nodes).where("type = 'Signal'").select("id")
+    share = F.round(F.when(F.col("best") > 0, F.col("score") / F.col("best")).otherwise(0.0), 4)
+    rows = results.select("qid", "id", "score").join(best, "qid").join(signals, "id", "left_semi").select("qid", "id", share.alias("score"))
+    last = top_per_group(rows, ["id"], [F.desc("qid")], keep)
+    fresh = last.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("qid", "score"))), lambda e: e["score"]).alias("fresh"))
+    both = F.concat(F.coalesce("history", F.array().cast("array<double>")), "fresh")
+    kept = fresh.join(histories, "id", "left").select("id", F.slice(both, F.greatest(F.size(both) - keep + 1, F.lit(1)), keep).alias("history"))
+    return kept.select("id", F.to_json("history").alias("score_history"), (sprt_verdict(F.col("history")) == "promote").alias("promote"))
+
+
+def learn(nodes: DataFrame, edges: DataFrame, histories: DataFrame, results: DataFrame, texts: dict[int, str], as_of: str, session: str = "") -> dict[str, DataFrame]:
+    """Everything that a batch of recalls writes back, one delta per table: strengthened edges with their context logs, counted visits,
+    score histories with their verdicts, and the journal rows of every request.
+
+    ``results`` (qid, id, rank, score, type, layer) is short and should be held, as every delta reads it.
+    """
+    journal = None
+    for qid, text in texts.items():
+        own = activation_rows(results.where(F.col("qid") == qid), text, session, as_of)
+        journal = own if journal is None else journal.unionByName(own)
+    return {"edges": hebbian_update(nodes, edges, results, as_of, texts), "visits": visit_update(nodes, results, as_of),
+            "histories": score_update(nodes, histories, results), "journal": journal}
 
 
 def visit_update(nodes: DataFrame, results: DataFrame, as_of: str) -> DataFrame:

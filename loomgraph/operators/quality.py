@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph import ontology as O
 from loomgraph.operators import graph as G
 from loomgraph.operators.lifecycle import older_than
+from loomgraph.operators.scale import weighted_percentiles
 
 CHECK_COLS = ["name", "category", "score", "threshold", "status"]
 
@@ -193,19 +194,16 @@ def health_snapshot(nodes: DataFrame, edges: DataFrame, as_of: str) -> DataFrame
 
 
 def spread_by_type(nodes: DataFrame, column: str) -> DataFrame:
-    """Count, mean, extremes and interpolated percentiles per type.
-
-    Equal values are counted first, so the percentile sees one row per
-    distinct value of a type however many nodes the type has.
-    """
+    """Count, mean, extremes and interpolated percentiles per type; equal values are counted first."""
     v = F.coalesce(F.col(column).cast("double"), F.lit(0.0))
     folded = G.active(nodes).groupBy(F.coalesce("type", F.lit("NULL")).alias("type"), v.alias("v")).agg(F.count("*").alias("w"))
+    at = weighted_percentiles(folded, "type", "v", "w", [0.5, 0.9]).groupBy("type").agg(
+        *[F.round(F.max(F.when(F.col("p") == p, F.col("at"))), 6).alias(name) for p, name in ((0.5, "p50"), (0.9, "p90"))])
     return folded.groupBy("type").agg(
         F.sum("w").alias("n"), F.round(F.sum(F.col("v") * F.col("w")) / F.sum("w"), 6).alias("mean"),
         F.min("v").alias("least"), F.max("v").alias("most"),
-        F.round(F.percentile("v", F.lit(0.5), F.col("w")), 6).alias("p50"),
-        F.round(F.percentile("v", F.lit(0.9), F.col("w")), 6).alias("p90"),
-        F.coalesce(F.sum(F.when(F.col("v") == 0, F.col("w"))), F.lit(0)).alias("zeros"))
+        F.coalesce(F.sum(F.when(F.col("v") == 0, F.col("w"))), F.lit(0)).alias("zeros")).join(at, "type").select(
+        "type", "n", "mean", "least", "most", "p50", "p90", "zeros")
 
 
 def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -343,9 +341,11 @@ def memory_audit(nodes: DataFrame) -> DataFrame:
     a = G.active(nodes)
     folded = a.select(F.posexplode(F.array(F.col("quality_score"), F.length("content").cast("double"))).alias("p", "v")).where(
         "v IS NOT NULL").groupBy("p", "v").agg(F.count("*").alias("w"))
-    return folded.groupBy(F.when(F.col("p") == 0, "quality").otherwise("content_length").alias("measure")).agg(
-        F.min("v").alias("least"), F.max("v").alias("most"), F.round(F.sum(F.col("v") * F.col("w")) / F.sum("w"), 6).alias("mean"),
-        F.percentile("v", F.lit(0.5), F.col("w")).alias("median"))
+    measure = F.when(F.col("p") == 0, "quality").otherwise("content_length")
+    folded = folded.select(measure.alias("measure"), "v", "w")
+    middle = weighted_percentiles(folded, "measure", "v", "w", [0.5]).select("measure", F.col("at").alias("median"))
+    return folded.groupBy("measure").agg(
+        F.min("v").alias("least"), F.max("v").alias("most"), F.round(F.sum(F.col("v") * F.col("w")) / F.sum("w"), 6).alias("mean")).join(middle, "measure")
 
 
 def safety_net(nodes: DataFrame, as_of: str, hours: int = 2) -> DataFrame:

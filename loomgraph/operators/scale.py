@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 from loomgraph.session import cut_lineage
 
@@ -58,26 +62,68 @@ def carry_previous(df: DataFrame, key: str, bucket: Column, order: list[str], va
             .drop("_b", "_lag", "_pos", "_carry"))
 
 
+#: Largest group whose pairs are proposed outright, nodes of a block, cells of a node's sketch.
+LIGHT, BLOCK, CELLS = 32, 1_000, 64
+
+
+def shared_item_candidates(prefix: DataFrame, live: DataFrame, min_shared: int) -> DataFrame:
+    """Distinct pairs ``a < b`` of (n, g, size) rows that meet in a group and may share ``min_shared`` groups of ``live``.
+
+    Groups of up to ``LIGHT`` nodes propose their pairs: at most half as many as that for each row. In larger ones nodes are compared block
+    by block inside the tasks, and only pairs whose upper bound reaches the threshold come out: a node's groups are counted
+    in ``CELLS`` cells by hash, and two nodes share no more than the sum of the smaller counts.
+    """
+    near = prefix.where(F.col("size") <= LIGHT)
+    pairs = near.select("g", F.col("n").alias("a")).join(near.select("g", F.col("n").alias("b")), "g").where("a < b").select("a", "b")
+    wide = prefix.where(F.col("size") > LIGHT)
+    own = wide.select("n").distinct()
+    cells = live.join(own, "n", "left_semi").groupBy("n", F.pmod(F.xxhash64("g"), F.lit(CELLS)).alias("c")).agg(F.count("*").alias("m"))
+    filled = cells.groupBy("n").agg(F.map_from_entries(F.collect_list(F.struct("c", "m"))).alias("m"))  # at most CELLS entries
+    sketch = filled.select("n", F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda c: F.least(F.coalesce(F.try_element_at("m", c.cast("bigint")), F.lit(0)), F.lit(30_000)).cast("short")).alias("sketch"))
+    many = F.ceil(F.col("size") / BLOCK)
+    rows = wide.join(sketch, "n").withColumn("own", F.pmod(F.xxhash64("n"), many)).withColumn("other", F.explode(F.sequence(F.lit(0), many - 1)))
+    rows = rows.select("g", "n", "sketch", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") <= F.col("other")).alias("low"))
+
+    def bounded(table: pa.Table) -> pa.Table:
+        ids = table.column("n").to_pylist()
+        counts = table.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(ids), CELLS)
+        low = table.column("low").to_numpy()
+        same = table.column("lo")[0].as_py() == table.column("hi")[0].as_py()
+        left, right = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(low), np.flatnonzero(~low))
+        found: list[tuple] = []
+        for at in range(0, len(left), 64):  # a few megabytes at a time
+            part = left[at : at + 64]
+            bound = np.zeros((len(part), len(right)), np.int32)
+            for c in range(CELLS):
+                bound += np.minimum(counts[part, c][:, None], counts[right, c][None])
+            x, y = np.nonzero(bound >= min_shared)
+            found += [(ids[i], ids[j]) for i, j in zip(part[x].tolist(), right[y].tolist(), strict=True)]
+        ordered = [(min(p), max(p)) for p in found if p[0] != p[1]]
+        return pa.table({"a": pa.array([p for p, _ in ordered], kind), "b": pa.array([q for _, q in ordered], kind)})
+
+    kind = to_arrow_type(prefix.schema["n"].dataType)
+    out = StructType([StructField("a", prefix.schema["n"].dataType), StructField("b", prefix.schema["n"].dataType)])
+    return pairs.unionAll(rows.groupBy("g", "lo", "hi").applyInArrow(bounded, out)).distinct()
+
+
 def shared_item_counts(log: DataFrame, node: str, group: str, min_shared: int) -> DataFrame:
-    """Node pairs ``a < b`` that meet in at least ``min_shared`` groups, with the count.
+    """Node pairs ``a < b`` that meet in at least ``min_shared`` groups, with the count; exact.
 
-    Exact, yet never all pairs of a group. Two nodes that share ``t`` groups
-    must share one among each node's ``n - t + 1`` smallest groups, because at
-    most ``t - 1`` shared groups can lie outside that prefix. Groups are ordered
-    by size, so the largest ones fall outside the prefixes and emit nothing.
-    Candidates are then counted over the full log by two equi-joins.
+    Two nodes that share ``t`` groups must share one among each node's ``n - t + 1`` smallest groups, because at most ``t - 1`` shared
+    groups can lie outside that prefix. Groups are ordered by size, so the largest ones tend to fall outside the
+    prefixes. Pairs of small groups, and those of large ones whose upper bound reaches the threshold, are then counted over the full
+    log by two equi-joins.
     """
     pairs = log.select(F.col(node).alias("n"), F.col(group).alias("g")).distinct()
     per_node = pairs.groupBy("n").agg(F.count("*").alias("k")).where(F.col("k") >= min_shared)
     sizes = pairs.groupBy("g").agg(F.count("*").alias("size")).where(F.col("size") >= 2)
-    live = cut_lineage(pairs.join(per_node, "n").join(sizes, "g"))  # narrow, and read five times below
+    live = cut_lineage(pairs.join(per_node, "n").join(sizes, "g"))  # narrow, and read several times below
     # the t - 1 largest groups of a node are outside its prefix; finding those is a rank limit
     prefix = live
     if min_shared > 1:
         largest = top_per_group(live.select("n", "g", "size"), ["n"], [F.desc("size"), F.desc("g")], min_shared - 1)
         prefix = live.join(largest.select("n", "g"), ["n", "g"], "left_anti")
-    left, right = prefix.select("g", F.col("n").alias("a")), prefix.select("g", F.col("n").alias("b"))
-    cand = left.join(right, "g").where("a < b").select("a", "b").distinct()
+    cand = shared_item_candidates(prefix, live, min_shared)
     # count over the shorter history of the two, so that a node seen everywhere is not expanded per partner
     ka = per_node.select(F.col("n").alias("a"), F.col("k").alias("ka"))
     kb = per_node.select(F.col("n").alias("b"), F.col("k").alias("kb"))
@@ -117,3 +163,26 @@ def numbered(df: DataFrame, key: str, out: str) -> DataFrame:
     before = spark.createDataFrame(offsets, "_b int, _off bigint")
     inner = ranged.withColumn("_pos", F.row_number().over(Window.partitionBy("_b").orderBy(key)))
     return inner.join(before, "_b").withColumn(out, F.col("_off") + F.col("_pos")).drop("_b", "_pos", "_off")
+
+
+def weighted_percentiles(folded: DataFrame, key: str, value: str, weight: str, ps: list[float]) -> DataFrame:
+    """(key, p, at): interpolated percentiles of a key's values, each of which stands for ``weight`` rows; exact.
+
+    A selection by range counts: values are dealt out by ranges of (key, value), the weights of the ranges tell in which one a wanted
+    rank lies, and only there it is looked up. However many values a key has, no task holds them all. Fold equal values before.
+    """
+    parts = int(folded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(folded.select(key, value, weight).repartitionByRange(parts, key, value).withColumn("_r", F.spark_partition_id()))
+    sums = ranged.groupBy(key, "_r").agg(F.sum(weight).alias("_s"))
+    ahead = Window.partitionBy(key).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    before = sums.select(key, "_r", "_s", F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_before"))
+    rank = F.col("p") * (F.col("_n") - 1)
+    wanted = sums.groupBy(key).agg(F.sum("_s").alias("_n")).withColumn("p", F.explode(F.lit([float(p) for p in ps]))).select(
+        key, "p", F.floor(rank).alias("_lo"), F.ceil(rank).alias("_hi"), (rank - F.floor(rank)).alias("_part"))
+    asked = before.join(wanted, key).where((F.col("_before") <= F.col("_hi")) & (F.col("_before") + F.col("_s") > F.col("_lo")))
+    inside = Window.partitionBy("_r", key).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = ranged.withColumn("_upto", F.sum(weight).over(inside)).join(asked, [key, "_r"])
+    end, start = F.col("_before") + F.col("_upto"), F.col("_before") + F.col("_upto") - F.col(weight)
+    held = lambda r: F.max(F.when((start <= F.col(r)) & (end > F.col(r)), F.col(value)))
+    found = rows.groupBy(key, "p", "_part").agg(held("_lo").alias("_a"), held("_hi").alias("_b"))
+    return found.select(key, "p", (F.col("_a") + F.col("_part") * (F.col("_b") - F.col("_a"))).alias("at"))

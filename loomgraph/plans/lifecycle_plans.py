@@ -9,7 +9,7 @@ from loomgraph.fixtures import AS_OF
 from loomgraph.operators import graph as G
 from loomgraph.operators import lifecycle as L
 from loomgraph.plans.registry import query
-from loomgraph.plans.retrieval_plans import SCORED, TOP, _ranked
+from loomgraph.plans.retrieval_plans import REQUESTS, SCORED, TOP, _ranked
 from loomgraph.plans.sqlparts import LIVE, NOW, ends, quoted
 
 TOP5 = f"{SCORED}, res AS (SELECT qid, id, rank FROM final WHERE rank <= 5)"
@@ -41,6 +41,37 @@ def lc03(t):
     return L.hebbian_update(t.nodes, t.edges, _ranked(t, 5), AS_OF).select("id", "strength", "frequency")
 
 
+ENTRIES = f"""{HEBB}, asked AS (SELECT * FROM (VALUES {", ".join(f"({q}, '{text}')" for q, text in REQUESTS.items())}) v(qid, q)),
+newest AS (SELECT g.id, list('{{"q":"' || a.q || '","t":"{AS_OF}"}}' ORDER BY g.qid) AS entries FROM gains g JOIN asked a ON a.qid = g.qid GROUP BY g.id),
+logs AS (SELECT e.id, list_concat(CASE WHEN json_valid(e.description) AND e.description <> '' THEN list_transform(json_extract(e.description, '$[*]'), lambda x: CAST(x AS VARCHAR)) ELSE [] END, f.entries) AS a FROM edges e JOIN newest f ON f.id = e.id)"""
+
+
+@query("lc03_context_log", "LC3", "nodes edges", f"WITH {ENTRIES} SELECT id, '[' || array_to_string(a[greatest(len(a) - 4, 1):], ',') || ']' AS description FROM logs")
+def lc03_log(t):
+    return _learnt(t)["edges"].select("id", "description")
+
+
+def _learnt(t):
+    ranked = _ranked(t, 5).select("qid", "id", "rank", "score", "type", "layer")
+    return L.learn(t.nodes, t.edges, L.score_history(t.recall_log), ranked, REQUESTS, AS_OF)
+
+
+STEP = "CASE WHEN a[i] > 0.5 THEN ln(CAST(0.7 AS DOUBLE) / 0.3) ELSE ln(CAST(0.3 AS DOUBLE) / 0.7) END"
+
+
+@query("wn05_score_history", "WN5 LC1", "nodes edges recall_log", f"""WITH {SCORED}, res AS (SELECT qid, id, rank, score FROM final WHERE rank <= 5),
+last AS (SELECT * FROM (SELECT r.*, row_number() OVER (PARTITION BY node_id ORDER BY ts DESC, id DESC) AS rn FROM recall_log r) WHERE rn <= 50),
+hist AS (SELECT node_id AS id, list(round(score, 4) ORDER BY ts, id) AS old FROM last GROUP BY node_id),
+mx AS (SELECT qid, max(score) AS m FROM res GROUP BY qid),
+nw AS (SELECT r.id, list(round(CASE WHEN m > 0 THEN r.score / m ELSE 0 END, 4) ORDER BY r.qid) AS fresh FROM res r JOIN mx ON mx.qid = r.qid JOIN nodes n ON n.id = r.id AND n.type = 'Signal' GROUP BY r.id),
+full_ AS (SELECT nw.id, list_concat(coalesce(old, []), fresh) AS a FROM nw LEFT JOIN hist ON hist.id = nw.id), kept AS (SELECT id, a[greatest(len(a) - 49, 1):] AS a FROM full_),
+steps AS (SELECT id, i, sum({STEP}) OVER (PARTITION BY id ORDER BY i) AS llr FROM kept, unnest(range(1, len(a) + 1)) u(i)),
+m AS (SELECT id, min(CASE WHEN llr >= ln(0.8 / 0.05) THEN i END) AS up, min(CASE WHEN llr <= ln(0.2 / 0.95) THEN i END) AS down FROM steps GROUP BY id)
+SELECT kept.id, '[' || array_to_string(a, ',') || ']' AS score_history, len(a) >= 5 AND up IS NOT NULL AND (down IS NULL OR up < down) AS promote FROM kept JOIN m ON m.id = kept.id""")
+def wn05(t):
+    return _learnt(t)["histories"]
+
+
 @query("lc04_visit_update", "LC4", "nodes edges", f"""WITH {TOP5} SELECT n.id, coalesce(n.visit_count, 0) + h.c AS visit_count, coalesce(n.observation_count, 0) + h.c AS observation_count
 FROM nodes n JOIN (SELECT id, count(*) AS c FROM res GROUP BY id) h ON h.id = n.id""")
 def lc04(t):

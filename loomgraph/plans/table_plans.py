@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from loomgraph import ontology as O
@@ -12,8 +14,11 @@ from loomgraph.operators import tables as B
 from loomgraph.operators.curation import item_role, skip_item
 from loomgraph.operators.lifecycle import sync_catalog
 from loomgraph.operators.scale import carry_previous
+from loomgraph.operators.snapshots import read_days, write_days
+from loomgraph.operators.vector_store import VectorStore
 from loomgraph.plans.registry import query
 from loomgraph.plans.sqlparts import quoted
+from loomgraph.session import shared_folder
 from loomgraph.sources import catalog, exports, markdown
 
 
@@ -86,8 +91,11 @@ def gr10(t):
     from loomgraph.operators.graph import in_degree
     top = in_degree(t.nodes, t.edges, 20).select(F.col("id").alias("node_id"), "ihs_score")
     day = lambda score, d: top.select("node_id", score.alias("ihs_score"), F.lit(d).alias("snapshot_date"))
-    held = day(F.col("ihs_score") - 1, "2024-04-30").unionAll(day(F.col("ihs_score") + 7, "2024-05-01"))
-    return B.replace_day(held, day(F.col("ihs_score"), "2024-05-01"))
+    path, schema = f"{shared_folder(t.spark)}/hub-days-{uuid.uuid4().hex}", "node_id bigint, ihs_score bigint, snapshot_date string"
+    write_days(day(F.col("ihs_score") - 1, "2024-04-30").unionAll(day(F.col("ihs_score") + 7, "2024-05-01")), path)
+    for _ in range(2):  # the second day is written anew; once more changes nothing
+        write_days(day(F.col("ihs_score"), "2024-05-01"), path)
+    return read_days(t.spark, path, schema)
 
 
 @query("snk03_upsert_counters", "SNK3 MX3", "recall_log", """WITH old AS (SELECT query AS key, count(*) AS value FROM recall_log WHERE ts < TIMESTAMP '2024-01-20' AND query <> 'error' GROUP BY 1), new AS (SELECT query AS key, count(*) AS value FROM recall_log WHERE ts >= TIMESTAMP '2024-01-20' AND query <> 'view' GROUP BY 1)
@@ -190,3 +198,32 @@ def fn02(t):
 def mx01(t):
     return t.embeddings.agg(F.count("*").alias("vectors"), F.min(F.size("embedding")).cast("bigint").alias("least_dim"),
                             F.max(F.size("embedding")).cast("bigint").alias("most_dim"), (F.sum(F.size("embedding")) * 4).alias("bytes"))
+
+
+# vectors that point one way are replaced by their half, those that point another way are removed, and every first one comes again as a new id
+CHANGED = """e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), top AS (SELECT max(id) + 1 AS m FROM e),
+put AS (SELECT id, list_transform(v, lambda x: x / 2) AS v FROM e WHERE v[1] > 0.1 UNION ALL SELECT id + m, v FROM e, top WHERE v[2] > 0.1),
+gone AS (SELECT id FROM e WHERE v[3] > 0.1),
+now AS (SELECT * FROM put UNION ALL SELECT * FROM e WHERE id NOT IN (SELECT id FROM put)), left_ AS (SELECT * FROM now WHERE id NOT IN (SELECT id FROM gone))"""
+
+
+def _changed_vectors(t):
+    store = VectorStore.create(t.embeddings)
+    v = lambda i: F.element_at("embedding", i)
+    more = t.embeddings.agg((F.max("id") + 1).alias("m")).first()["m"] or 0
+    halved = t.embeddings.where(v(1) > 0.1).select("id", F.transform("embedding", lambda x: x / 2).alias("embedding"))
+    fresh = t.embeddings.where(v(2) > 0.1).select((F.col("id") + more).alias("id"), "embedding")
+    return store.put(halved.unionByName(fresh)).remove(t.embeddings.where(v(3) > 0.1).select("id"))
+
+
+@query("mx01_vector_changes", "MX1", "", f"WITH {CHANGED} SELECT id, len(v) AS dim, round(v[1], 5) AS first, round(list_sum(v), 4) AS total FROM left_")
+def mx01_changes(t):
+    rows = _changed_vectors(t).rows()  # the log is merged when it is read
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return rows.select("id", F.size("embedding").cast("bigint").alias("dim"), F.round(F.element_at("embedding", 1).cast("double"), 5).alias("first"), F.round(total, 4).alias("total"))
+
+
+@query("mx01_vector_reload", "MX1", "", f"WITH {CHANGED} SELECT count(*) AS vectors, min(len(v)) AS least_dim, max(len(v)) AS most_dim, CAST(sum(len(v)) * 4 AS BIGINT) AS bytes FROM left_")
+def mx01_reload(t):
+    store = _changed_vectors(t).compact()
+    return VectorStore.open(t.spark, store.path).stats()

@@ -28,19 +28,26 @@ def build_session(app: str = "loomgraph", cpus: int | None = None, shuffle: int
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise an iteration step so that neither plan nor lineage keeps growing.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a scratch folder where a local session (tests) names none.
 
-    Reliable checkpoint into the folder the cluster names in
-    ``spark.checkpoint.dir``: the step survives the loss of any executor.
-    Where that setting is absent, a local session (tests) gets a scratch folder;
-    a cluster must name one, since its executors do not see the driver's.
+    A cluster must name one, since its executors do not see the driver's folders.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomgraph-ckpt-"))
+        folder = tempfile.mkdtemp(prefix="loomgraph-ckpt-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise an iteration step so that neither plan nor lineage keeps growing.
+
+    Reliable checkpoint into the shared folder: the step survives the loss of any executor.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

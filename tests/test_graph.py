@@ -1,9 +1,11 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from loomgraph.operators import graph as G
 from loomgraph.operators import mining as M
-from loomgraph.operators.scale import carry_previous, numbered, shared_item_counts
+from loomgraph.operators.scale import carry_previous, numbered, shared_item_candidates, shared_item_counts
 
 
 def ids(df):
@@ -75,6 +77,22 @@ def test_components_on_chain_star_and_random(spark):
     assert got == brute_components(pairs)
 
 
+def test_large_groups_propose_few_pairs(spark):
+    """Thirty sessions of some 500 nodes, each node in three of them: pairs within sessions are millions, those that can share three are few."""
+    rnd = random.Random(9)
+    rows = [(n, g) for n in range(5000) for g in rnd.sample(range(30), 3)]
+    live = spark.createDataFrame(rows, "n bigint, g bigint").withColumn("size", F.lit(500))
+    got = {(r["a"], r["b"]) for r in shared_item_candidates(live, live, 3).collect()}
+    own = {}
+    for n, g in rows:
+        own.setdefault(n, set()).add(g)
+    by = {}
+    for n, gs in own.items():
+        by.setdefault(frozenset(gs), []).append(n)
+    want = {p for ns in by.values() for p in itertools.combinations(ns, 2)}
+    assert want <= got and len(got) < 3 * len(rows)
+
+
 def test_shared_item_counts_equals_all_pairs_even_with_a_giant_group(spark):
     rnd = random.Random(9)
     rows = [(n, "giant") for n in range(60)] + [(rnd.randrange(60), f"g{rnd.randrange(40)}") for _ in range(500)]
