@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from loomgraph.llm.common import partitions, pieces, slices
+from loomgraph.llm.common import give_back, partitions, pieces, slices
 
 #: Bytes of text, or pre-tokens, that a task handles at a time.
 SLICE = 2_000_000
@@ -205,6 +205,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     def encoded(table: pa.Table) -> pa.Table:
         """A bucket: every distinct word once; a block's own row passes through."""
+        give_back()
         if table.column("kind")[0].as_py() == 0:
             return table
         ranks, known = read_ranks(ranks_path), {}
@@ -220,6 +221,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     def assembled(table: pa.Table) -> pa.Table:
         """A block: ids of its words, by position; then the bytes of the ids."""
+        give_back()
         rows = sorted(table.to_pylist(), key=lambda r: r["bucket"])
         own, lists = rows[0], [ids for r in rows[1:] for ids in _unpack(r["pack"], r["n"])]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
@@ -297,13 +299,13 @@ def digests(encoded: DataFrame, ranks_path: str, with_ids: bool = False) -> Data
         table = token_bytes(ranks_path)
         for batch in batches:
             ids, ends = batch.column("ids"), batch.column("ids").offsets.to_numpy()
-            first, second = [], []
-            for a, b in slices(np.diff(ends), SLICE // 4):
-                part = ids.slice(a, b - a)
+            for a, b in slices(np.diff(ends), SLICE // 4):  # small batches out, as each is held on both sides
+                part, size = ids.slice(a, b - a), np.diff(ends[a : b + 1])
                 flat = part.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-                first += [hashlib.sha256(flat[x - ends[a] : y - ends[a]]).hexdigest() for x, y in zip(ends[a:b], ends[a + 1 : b + 1], strict=True)]
-                second += [hashlib.sha256(x.as_buffer()).hexdigest() for x in decoded_bytes(part, table)]
-            columns = [batch.column("doc_id"), pa.array(np.diff(ends), pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
-            yield pa.RecordBatch.from_arrays([*columns, *[ids] * with_ids], [f.name for f in fields])
+                first = [hashlib.sha256(flat[x - ends[a] : y - ends[a]]).hexdigest() for x, y in zip(ends[a:b], ends[a + 1 : b + 1], strict=True)]
+                second = [hashlib.sha256(x.as_buffer()).hexdigest() for x in decoded_bytes(part, table)]
+                columns = [batch.column("doc_id").slice(a, b - a), pa.array(size, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, *[part] * with_ids], [f.name for f in fields])
+            give_back()
 
     return encoded.mapInArrow(hashed, StructType(fields))

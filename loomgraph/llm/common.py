@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -81,11 +82,20 @@ def slices(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
 
 
 def pieces(texts: pa.Array, most: int = 6_000_000) -> Iterator[pa.Array]:
-    """A column of texts a few megabytes at a time, in order. Freed memory goes back to the system, as idle workers keep what they hold."""
-    pa.set_memory_pool(pa.system_memory_pool())
+    """A column of texts a few megabytes at a time, in order."""
+    give_back()
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     for a, b in slices(sizes, most):
         yield texts.take(pa.array(np.arange(a, b)))  # a copy: some string kernels misread slices
+        give_back()
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: a worker that waits for its next task would keep it, beside those at work."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim is not None:
+        trim(0)
 
 
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
