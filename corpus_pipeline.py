@@ -14,13 +14,27 @@ from loomgraph.llm.common import few, free, frozen, numbered, without
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+#: Megabytes of an Arrow batch of texts; a batch of the last stage is a block within which words are told apart, so it is larger.
+BATCH_MB, BLOCK_MB = 4, 16
+
+
+def bounded(spark: SparkSession, megabytes: int) -> None:
+    """From here on texts cross to Python and back in batches of so many megabytes, not of so many rows, however long they are.
+
+    The session keeps the setting, as a stage's result is computed after it has returned; each stage sets its own.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose posterior of good quality is at least one half."""
+    bounded(spark, BATCH_MB)
     return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each text, that of the largest id."""
+    bounded(spark, BATCH_MB)
     row = free("_row", docs.columns)
     rows = numbered(docs, row)
     dropped = exact_dedup.dedup(rows, row_col=row).where("not kept").select(row)
@@ -29,6 +43,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near copies, that of the smallest id. A row is a node of its own, whatever its id."""
+    bounded(spark, BATCH_MB)
     row = free("_row", docs.columns)
     rows = numbered(docs, row)
     others = frozen(minhash.near_duplicates(rows, id_col=row).where("not kept").select(F.col("doc_id").alias("node"), "component_id"), "others")
@@ -40,6 +55,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture: a document once for every pass over it; the texts of partial passes are the blocks that were drawn."""
+    bounded(spark, BATCH_MB)
     row = free("_mix_row", docs.columns)
     rows = frozen(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     sizes = mixing.measured(rows, row_col=row)
@@ -50,6 +66,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with digests of the ids and of what they decode to."""
+    bounded(spark, BLOCK_MB)
     return bpe.digests(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS, with_ids=True)
 
 
