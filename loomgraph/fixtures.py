@@ -186,6 +186,8 @@ SELECT p_partkey AS id, p_name AS title, concat('src', CAST(p_size % 20 AS VARCH
 FROM part
 """,
     "task_deps": "SELECT p_partkey AS task_id, IDIV(p_partkey, 2) AS blocked_by FROM part WHERE p_partkey > 0",
+    # vectors that lean towards one of eight topics, so that cosines reach those of a language model
+    "topic_vectors": "SELECT vec_id AS id, LEAN(embedding, vec_id) AS embedding FROM embeddings",
     # judgments of the items a user can meet: labelled documents among the seven of the user
     "goldset": r"""
 SELECT u.user_id AS qid, l.doc_id AS node_id, CASE WHEN l.quality = 1 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS grade
@@ -223,6 +225,9 @@ def render(sql: str, dialect: str) -> str:
     sql = _expand(sql, "WORDS", lambda a, n: (
         f"transform(slice(split({a}, ' '), 1, {n}), w -> lower(w))" if spark
         else f"list_transform(string_split({a}, ' ')[1:{n}], lambda w: lower(w))"))
+    sql = _expand(sql, "LEAN", lambda v, i: (
+        f"transform({v}, (x, k) -> CAST(x AS DOUBLE) + CASE WHEN k = {i} % 8 THEN 1.0D ELSE 0.0D END)" if spark
+        else f"list_transform({v}, lambda x, k: CAST(x AS DOUBLE) + CASE WHEN k - 1 = {i} % 8 THEN 1.0 ELSE 0.0 END)"))
     sql = re.sub(r"\bTS(?= ')", "TIMESTAMP_NTZ" if spark else "TIMESTAMP", sql)
     return sql.replace("\\", "\\\\") if spark else sql
 

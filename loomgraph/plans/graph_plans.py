@@ -214,35 +214,63 @@ def gr26(t):
 KB = ["Decision", "Failure", "Pattern", "Insight", "Principle", "Framework", "Signal"]
 
 
-@query("gr29_island_links", "GR29", "nodes edges", f"""WITH {RULES}, {BACK}, {CANON}, sem AS (SELECT * FROM edges WHERE status = 'active' AND generation_method IN ('rule', 'semantic_auto', 'enrichment', 'manual')), {ends('sem')},
+TOPICS = "(SELECT id AS vec_id, embedding FROM topic_vectors)"
+
+
+def island_sql(vectors: str, least: float) -> str:
+    return f"""WITH {RULES}, {BACK}, {CANON}, sem AS (SELECT * FROM edges WHERE status = 'active' AND generation_method IN ('rule', 'semantic_auto', 'enrichment', 'manual')), {ends('sem')},
 isl AS (SELECT n.* FROM nodes n LEFT JOIN (SELECT nid, count(*) AS d FROM ends GROUP BY nid) g ON g.nid = n.id WHERE n.status = 'active' AND n.type IN ({quoted(KB)}) AND coalesce(d, 0) <= 1),
 k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY distance, tid) AS rank FROM (SELECT a.vec_id AS sid, b.vec_id AS tid,
- round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS distance FROM embeddings a, embeddings b JOIN nodes n ON n.id = b.vec_id
+ round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS distance FROM {vectors} a, {vectors} b JOIN nodes n ON n.id = b.vec_id
  WHERE n.status = 'active' AND a.vec_id <> b.vec_id AND a.vec_id IN (SELECT id FROM isl))) WHERE rank <= 5)
 SELECT s.id AS source_id, t.id AS target_id, coalesce((SELECT stored FROM canon WHERE rel = {infer('s', 't')}), {infer('s', 't')}) AS relation, round(1 - k.distance, 9) AS cosine
-FROM k JOIN nodes s ON s.id = k.sid JOIN nodes t ON t.id = k.tid WHERE round(1 - k.distance, 9) >= 0.3
- AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.status = 'active' AND ((e.source_id = k.sid AND e.target_id = k.tid) OR (e.source_id = k.tid AND e.target_id = k.sid)))""")
-def gr29(t):
+FROM k JOIN nodes s ON s.id = k.sid JOIN nodes t ON t.id = k.tid WHERE round(1 - k.distance, 9) >= {least}
+ AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.status = 'active' AND ((e.source_id = k.sid AND e.target_id = k.tid) OR (e.source_id = k.tid AND e.target_id = k.sid)))"""
+
+
+def _island_links(t, vectors, **kw):
     lonely = M.islands(t.nodes, t.edges, KB)
-    corpus = t.embeddings.join(G.active(t.nodes).select("id", "type", "project"), "id")
-    near = neighbours(t.embeddings.join(lonely.select("id"), "id", "left_semi"), corpus, 5)
-    return M.island_links(lonely, t.nodes, t.edges, near, min_cosine=0.3)
+    corpus = vectors.join(G.active(t.nodes).select("id", "type", "project"), "id")
+    return M.island_links(lonely, t.nodes, t.edges, neighbours(vectors.join(lonely.select("id"), "id", "left_semi"), corpus, 5), **kw)
+
+
+@query("gr29_island_links", "GR29", "nodes edges", island_sql("embeddings", 0.3))
+def gr29(t):
+    """The raw vectors have no structure: a weaker bound."""
+    return _island_links(t, t.embeddings, min_cosine=0.3)
+
 
+@query("gr29_island_links_defined", "GR29", "nodes edges topic_vectors", island_sql(TOPICS, 0.55))
+def gr29_defined(t):
+    return _island_links(t, t.topic_vectors)
 
-@query("gr30_causal_links", "GR30", "nodes edges", f"""WITH rules(st, relation, hint, ord, m) AS (VALUES {', '.join(f"('{s}', '{r}', '{x}', {i}, {m - 0.2})" for s, r, xs, m in M.CAUSAL_RULES for i, x in enumerate(xs))}),
+
+def causal_sql(vectors: str, slack: float) -> str:
+    return f"""WITH rules(st, relation, hint, ord, m) AS (VALUES {', '.join(f"('{s}', '{r}', '{x}', {i}, {round(m - slack, 2)})" for s, r, xs, m in M.CAUSAL_RULES for i, x in enumerate(xs))}),
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, hint ORDER BY distance, id) AS rank FROM (
  SELECT a.vec_id AS qid, b.vec_id AS id, n.type AS hint, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS distance
- FROM embeddings a, embeddings b JOIN nodes n ON n.id = b.vec_id WHERE n.status = 'active' AND a.vec_id <> b.vec_id)) WHERE rank <= 5),
+ FROM {vectors} a, {vectors} b JOIN nodes n ON n.id = b.vec_id WHERE n.status = 'active' AND a.vec_id <> b.vec_id)) WHERE rank <= 5),
 g AS (SELECT s.id AS source_id, t.id AS target_id, r.relation, round(1 - k.distance, 9) AS cosine, row_number() OVER (PARTITION BY s.id, r.relation ORDER BY r.ord, k.rank) AS first
  FROM nodes s JOIN rules r ON r.st = s.type JOIN near k ON k.qid = s.id AND k.hint = r.hint JOIN nodes t ON t.id = k.id
  WHERE s.status = 'active' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.status = 'active' AND e.source_id = s.id AND e.relation = r.relation)
   AND round(1 - k.distance, 9) >= r.m AND (s.project = t.project OR round(1 - k.distance, 9) >= r.m + 0.10))
-SELECT source_id, target_id, relation, cosine FROM g WHERE first = 1""")
-def gr30(t):
-    corpus = t.embeddings.join(G.active(t.nodes).select("id", "type", "project"), "id")
+SELECT source_id, target_id, relation, cosine FROM g WHERE first = 1"""
+
+
+def _causal_links(t, vectors, **kw):
+    corpus = vectors.join(G.active(t.nodes).select("id", "type", "project"), "id")
     hints = sorted({x for _, _, xs, _ in M.CAUSAL_RULES for x in xs})
-    near = neighbours(t.embeddings, corpus, 5, hints)
-    return M.causal_links(t.nodes, t.edges, near, slack=0.2)
+    return M.causal_links(t.nodes, t.edges, neighbours(vectors, corpus, 5, hints), **kw)
+
+
+@query("gr30_causal_links", "GR30", "nodes edges", causal_sql("embeddings", 0.2))
+def gr30(t):
+    return _causal_links(t, t.embeddings, slack=0.2)
+
+
+@query("gr30_causal_links_defined", "GR30", "nodes edges topic_vectors", causal_sql(TOPICS, 0.0))
+def gr30_defined(t):
+    return _causal_links(t, t.topic_vectors)
 
 
 @query("gr31_induced_subgraph", "GR31 SNK9", "nodes edges", f"""WITH {LIVE}, r AS (SELECT id FROM nodes WHERE status = 'active' ORDER BY created_at DESC, id LIMIT 100)

@@ -256,7 +256,7 @@ def _run(t):
     return E.ranking(t.recall_log.select(F.col("user_id").alias("qid"), "node_id", F.round("score", 9).alias("score")), 10)
 
 
-@query("ev01_ndcg", "EV1 TK7", "goldset recall_log", f"WITH {RUN}, {NDCG} SELECT qid, k, round(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END, 6) AS ndcg FROM dc")
+@query("ev01_ndcg", "EV1", "goldset recall_log", f"WITH {RUN}, {NDCG} SELECT qid, k, round(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END, 6) AS ndcg FROM dc")
 def ev01(t):
     return E.ndcg(_run(t), t.goldset, [5, 10])
 
@@ -284,7 +284,7 @@ def ev04(t):
     return E.zero_result_queries(_run(t), t.goldset, 5)
 
 
-@query("qc08_search_quality", "QC8 QC9 MX9", "goldset recall_log", f"""WITH {RUN}, {NDCG}, m AS (SELECT avg(CASE WHEN k = 5 THEN dcg / idcg END) AS n5, avg(CASE WHEN k = 10 THEN dcg / idcg END) AS n10 FROM dc),
+@query("qc08_search_quality", "QC8", "goldset recall_log", f"""WITH {RUN}, {NDCG}, m AS (SELECT avg(CASE WHEN k = 5 THEN dcg / idcg END) AS n5, avg(CASE WHEN k = 10 THEN dcg / idcg END) AS n10 FROM dc),
 h AS (SELECT avg(CASE WHEN x THEN 1.0 ELSE 0.0 END) AS hr FROM (SELECT g.qid, bool_or(r.node_id IS NOT NULL) AS x FROM goldset g LEFT JOIN run r ON r.qid = g.qid AND r.node_id = g.node_id GROUP BY g.qid))
 {_check('ndcg@5', 'search', '(SELECT n5 FROM m)', 0.25)} UNION ALL {_check('ndcg@10', 'search', '(SELECT n10 FROM m)', 0.3)} UNION ALL {_check('hit_rate', 'search', '(SELECT hr FROM h)', 0.5)}""")
 def qc08(t):

@@ -27,7 +27,7 @@ def src02(t):
     return B.by_hash(t.nodes, t.nodes.where("node_role = 'knowledge_core' AND content_hash IS NOT NULL")).select("id", "type", "project")
 
 
-@query("src05_markdown_chunks", "SRC4 SRC5 SRC6", "", r"""WITH RECURSIVE d AS (SELECT doc_id AS doc, lang, regexp_replace(replace(text, chr(10), chr(10) || chr(10)), '^\s+|\s+$', '', 'g') AS body FROM documents),
+@query("src05_markdown_chunks", "SRC5", "", r"""WITH RECURSIVE d AS (SELECT doc_id AS doc, lang, regexp_replace(replace(text, chr(10), chr(10) || chr(10)), '^\s+|\s+$', '', 'g') AS body FROM documents),
 p AS (SELECT doc, lang, length(body) AS bl, list_transform(string_split_regex(body, '\n\n+'), lambda x: length(x)) AS ls FROM d WHERE body <> ''),
 walk AS (SELECT doc, lang, ls, 1 AS i, 0 AS part, ls[1] / 2.5 AS sz, ls[1] AS chars FROM p WHERE bl / 2.5 > 400
  UNION ALL SELECT doc, lang, ls, i + 1, CASE WHEN sz + ls[i + 1] / 2.5 > 400 THEN part + 1 ELSE part END, CASE WHEN sz + ls[i + 1] / 2.5 > 400 THEN ls[i] / 2.5 + ls[i + 1] / 2.5 ELSE sz + ls[i + 1] / 2.5 END,
@@ -46,7 +46,7 @@ def src07(t):
     return markdown.same_file_edges(t.base("conversations").selectExpr("conv_id AS doc", "conv_id * 1000 + turn AS id"))
 
 
-@query("src08_catalog_sync", "SRC8 LC24 SO4", "edges", f"""WITH d AS (SELECT DISTINCT unnest([{quoted(O.SCHEMA_RELATIONS)}]) AS name), s AS (SELECT relation AS name, CASE WHEN relation < 'd' THEN 'deprecated' ELSE 'active' END AS status FROM edges GROUP BY relation)
+@query("src08_catalog_sync", "LC24 SO4", "edges", f"""WITH d AS (SELECT DISTINCT unnest([{quoted(O.SCHEMA_RELATIONS)}]) AS name), s AS (SELECT relation AS name, CASE WHEN relation < 'd' THEN 'deprecated' ELSE 'active' END AS status FROM edges GROUP BY relation)
 SELECT coalesce(d.name, s.name) AS name, CASE WHEN s.name IS NULL THEN 'insert' WHEN d.name IS NULL AND s.status = 'active' THEN 'deprecate' WHEN d.name IS NULL THEN 'none' WHEN s.status = 'deprecated' THEN 'reactivate' ELSE 'none' END AS action
 FROM d FULL JOIN s ON s.name = d.name""")
 def src08(t):
