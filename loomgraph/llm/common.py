@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,18 +13,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.session import shared_folder
+
 #: A word, in Spark's and in DuckDB's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (`spark.checkpoint.dir`); one of our own only where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="loom-shared-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+    """The folder that the cluster shares (`spark.checkpoint.dir`), an error where a cluster names none; local sessions get a scratch folder."""
+    return shared_folder(spark)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

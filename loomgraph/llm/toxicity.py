@@ -9,8 +9,8 @@ Training takes a bounded sample (`SAMPLE_TOXIC`, `SAMPLE_CLEAN` labelled documen
 a window's length, spread over all of it), first with any window under its document's label (documents alike, so that short ones,
 whose label is nearer, count more), then with the worst windows of toxic documents only. A word's own embedding is left out at random
 (`DROP`), so that its characters must do as well, and the weights that are used are a running mean over the later steps (`MEAN`). The
-border between the classes comes from an inner fold: a network that has not seen it scores it, and missed documents cost `MISS` times
-as much as false alarms. The network in use is then trained on the whole sample. Only texts and labels are read: neither language,
+border between the classes comes from an inner fold, scored before the network has seen it, where a toxic document weighs `MISS` times as
+much as another; then the fold is learnt from as well. Only texts and labels are read: neither language,
 source nor id enters a score.
 """
 
@@ -29,7 +29,9 @@ WINDOW, STRIDE = 32, 16
 SAMPLE_TOXIC, SAMPLE_CLEAN, STRETCHES = 1_000, 2_000, 32
 WORD_ROWS, GRAM_ROWS, SIZE, HIDDEN, PAY = 4_096, 16_384, 8, 8, 8
 STEPS, BATCH = 80, 400
-DROP, MEAN, MISS, FOLD = 0.25, 0.99, 2.0, 5
+DROP, MEAN, MISS, FOLD = 0.25, 0.99, 4.0, 5
+#: Learning rates of the rounds before and after the border is set.
+RATES, LAST = (0.01, 0.01, 0.005), (0.01, 0.01, 0.005, 0.005)
 
 
 def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -187,14 +189,19 @@ class Network:
 
 
 def border(top: np.ndarray, label: np.ndarray) -> float:
-    """The score between the classes of least cost, in the middle of its gap."""
-    order = np.argsort(top, kind="stable")
-    missed = np.concatenate([[0], np.cumsum(label[order])])
-    alarms = (1 - label).sum() - np.concatenate([[0], np.cumsum(1 - label[order])])
-    cost = MISS * missed + alarms
-    best = np.flatnonzero(cost <= cost.min() + 1e-9)
-    at = int(best[len(best) // 2])
-    return float((top[order[max(at - 1, 0)]] + top[order[min(at, len(order) - 1)]]) / 2)
+    """The score at which a logistic curve over scores and labels is even, where a toxic document weighs `MISS` times as much as another.
+
+    A curve over all scores is steadier than the best cut between two of the few documents of a fold.
+    """
+    z, weight = np.clip(top, -8, 8).astype(np.float64), np.where(label > 0.5, MISS, 1.0)
+    slope, base = 0.5, 0.0
+    for _ in range(50):
+        p = sigmoid(slope * z + base)
+        r, off = weight * p * (1 - p), weight * (p - label)
+        pull = np.array([[(r * z * z).sum() + 0.1, (r * z).sum()], [(r * z).sum(), r.sum() + 1e-6]])
+        move = np.linalg.solve(pull, np.array([(off * z).sum() + 0.1 * slope, off.sum()]))
+        slope, base = slope - move[0], base - move[1]
+    return float(-base / slope)
 
 
 def worst_of(logits: np.ndarray, text: np.ndarray, many: int) -> np.ndarray:
@@ -203,28 +210,15 @@ def worst_of(logits: np.ndarray, text: np.ndarray, many: int) -> np.ndarray:
     return top
 
 
-def train(texts: list[str], label: np.ndarray, seed: int = 5) -> Network | None:
+def train(texts: list[str], label: np.ndarray, seed: int = 7) -> Network | None:
     """The network of a sample of texts, its border from an inner fold; none where the sample lacks a class."""
     if not len(label) or label.min() == label.max():
         return None
-    order = np.random.default_rng(seed).permutation(len(label))
-    fold = np.zeros(len(label), bool)
-    for y in (0.0, 1.0):  # every FOLD-th of either class
-        fold[order[label[order] == y][::FOLD]] = True
-    whole, shift = fitted(texts, label, np.ones(len(label), bool), seed), 0.0
-    if 0 < label[~fold].sum() < (~fold).sum():
-        inner = fitted(texts, label, ~fold, seed)
-        shift = border(inner.texts(pa.array([t for t, f in zip(texts, fold, strict=True) if f], pa.string())), label[fold])
-    else:  # a class too small to be parted
-        shift = border(whole.texts(pa.array(texts, pa.string())), label)
-    whole.shift = shift
-    return whole
-
-
-def fitted(texts: list[str], label: np.ndarray, used: np.ndarray, seed: int) -> Network:
-    """A network trained on the `used` texts alone."""
-    texts, label = [t for t, u in zip(texts, used, strict=True) if u], label[used]
     rng = np.random.default_rng(seed)
+    order, fold = rng.permutation(len(label)), np.zeros(len(label), bool)
+    for y in (0.0, 1.0):  # every FOLD-th of either class, if that leaves some of both
+        own = order[label[order] == y]
+        fold[own[:: FOLD] if len(own) >= FOLD and min(label.sum(), (1 - label).sum()) >= FOLD else own[:0]] = True
     codes, ends, words = split_words(pa.array(texts, pa.string()), lower=True)
     often = np.bincount(codes, minlength=len(words))
     vocabulary = [words[i] for i in np.argsort(-often, kind="stable")[:WORD_ROWS] if often[i] >= 5]
@@ -262,18 +256,30 @@ def fitted(texts: list[str], label: np.ndarray, used: np.ndarray, seed: int) ->
         return np.concatenate(out)
 
     toxic = label[text] > 0.5
+
+    def sharpen(used: np.ndarray, rates: tuple[float, ...]) -> None:
+        """Rounds over the worst windows of toxic documents and the hard ones of the others."""
+        for rate in rates:
+            logits = all_logits()
+            worst = np.flatnonzero(toxic & used[text] & (logits >= worst_of(logits, text, len(texts))[text]))
+            clean = ~toxic & used[text]
+            hard = np.flatnonzero(clean)
+            hard = np.concatenate([hard, *[np.argsort(np.where(clean, logits, -np.inf))[-max(1, len(hard) // 20) :]] * 10])  # the worst clean windows count more
+            learn((worst, hard), STEPS, rate)
+
     # a window for every document and round, so that a draw of windows is a draw of documents
     many = np.bincount(text)
     nth = np.floor(rng.random((16, len(many))) * many).astype(np.int64) + np.cumsum(many) - many
-    learn((nth[:, label > 0.5].ravel(), nth[:, label <= 0.5].ravel()), 2 * STEPS, 0.02)
+    learn((nth[:, (label > 0.5) & ~fold].ravel(), nth[:, (label <= 0.5) & ~fold].ravel()), 2 * STEPS, 0.02)
     mean = {k: v.copy() for k, v in net.p.items()}
-    for rate in (0.01, 0.01, 0.01, 0.005, 0.005):
-        logits = all_logits()
-        worst = np.flatnonzero(toxic & (logits >= worst_of(logits, text, len(texts))[text]))
-        hard = np.flatnonzero(~toxic)
-        hard = np.concatenate([hard, *[np.argsort(np.where(toxic, -np.inf, logits))[-max(1, len(hard) // 20) :]] * 10])  # the worst clean windows count more
-        learn((worst, hard), STEPS, rate)
-    net.p = {k: v.astype(np.float32) for k, v in mean.items()}
+    sharpen(~fold, RATES)
+    last, net.p = net.p, {k: v.astype(np.float32) for k, v in mean.items()}
+    judges = fold if fold.any() else np.ones(len(label), bool)
+    net.shift = border(worst_of(all_logits(), text, len(texts))[judges], label[judges])
+    if fold.any():  # the fold has told the border, and is learnt from as well
+        net.p = last
+        sharpen(np.ones(len(label), bool), LAST)
+        net.p = {k: v.astype(np.float32) for k, v in mean.items()}
     return net
 
 
