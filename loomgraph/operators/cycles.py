@@ -3,7 +3,7 @@
 A run of tasks with one way on and one way in is folded to one node, by pointer jumping, so that a long chain costs rounds in proportion
 to the logarithm of its length and each task a row per round. Questions inside a run are answered by the places in it; all others
 move on to the runs of their two tasks. Runs that no question can pass (nothing leads into them and none starts there, or nothing
-leads on and none ends there) are peeled off; both steps alternate until nothing changes. What remains is searched from both ends,
+leads on and none ends there) are peeled off; both steps alternate while they take off a fifth of the ways. What remains is searched from both ends,
 the smaller frontier first, and a question leaves as soon as it is answered.
 """
 
@@ -47,7 +47,7 @@ def reachable_pairs(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     edges = cut_lineage(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select("u", "v").distinct())
     # a question has at least one step to go: (a, b) as asked, from x to y as they are now
     open_ = cut_lineage(asked.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"), "x", "y"))
-    before = -1
+    before = edges.count()
     while True:
         ends = open_.select(F.col("x").alias("id"), F.lit(True).alias("start")).union(open_.select("y", F.lit(False))).distinct()
         starts, stops = ends.where("start").select("id"), ends.where("not start").select("id")
@@ -76,8 +76,8 @@ def reachable_pairs(edges: DataFrame, pairs: DataFrame) -> DataFrame:
         open_ = open_.join(edges.select(F.col("u").alias("x")).distinct(), "x", "left_semi").join(edges.select(F.col("v").alias("y")).distinct(), "y", "left_semi")
         open_ = cut_lineage(open_)
         size = edges.count()
-        if size == before or not size or open_.isEmpty():
-            break
+        if not size or 5 * size > 4 * before or open_.isEmpty():
+            break  # nothing left, or little gained
         before = size
     if not open_.isEmpty():
         answered.append(met(edges, open_))
@@ -87,29 +87,31 @@ def reachable_pairs(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def met(edges: DataFrame, open_: DataFrame) -> DataFrame:
-    """Questions (a, b, x, y) with a way of at least one edge from x to y, as (x, y) = (a, b): both sides grow by turns."""
+def met(edges: DataFrame, open_: DataFrame, hops: int = 2) -> DataFrame:
+    """Questions (a, b, x, y) with a way of at least one edge from x to y, as (x, y) = (a, b): both sides grow by turns, a few hops each."""
     ways = open_.select("x", "y").distinct()
     on = edges.select("u", "v")
     front = {"x": cut_lineage(ways.select("x").distinct().join(on, F.col("x") == F.col("u")).select("x", F.col("v").alias("id")).distinct()),
-             "y": cut_lineage(ways.select("y", F.col("y").alias("id")).distinct())}
-    seen = dict(front)
-    found = None
+             "y": ways.select("y", F.col("y").alias("id")).distinct()}
+    seen, found = dict(front), []
+    hit = ways.join(seen["x"], "x").join(seen["y"], ["y", "id"]).select("x", "y").distinct()
     while True:
-        hit = ways.join(seen["x"], "x").join(seen["y"], ["y", "id"]).select("x", "y").distinct() if found is None else (
-            ways.join(front[grown], grown).join(seen["y" if grown == "x" else "x"], ["y" if grown == "x" else "x", "id"]).select("x", "y").distinct())
-        hit = cut_lineage(hit)
-        found = hit if found is None else found.unionAll(hit)
-        ways = cut_lineage(ways.join(hit, ["x", "y"], "left_anti"))
-        if ways.isEmpty():
-            break
+        found.append(cut_lineage(hit))
+        ways = cut_lineage(ways.join(found[-1], ["x", "y"], "left_anti"))
         front = {s: front[s].join(ways.select(s).distinct(), s, "left_semi") for s in front}
         sizes = {s: front[s].count() for s in front}
         grown = min(sizes, key=sizes.get)  # a side that has nothing left has seen all it can reach
         if not sizes[grown]:
             break
-        here, there = ("u", "v") if grown == "x" else ("v", "u")
-        step = front[grown].join(on, F.col("id") == F.col(here)).select(grown, F.col(there).alias("id")).distinct().join(seen[grown], [grown, "id"], "left_anti")
-        front[grown] = cut_lineage(step)
+        other, here, there = ("y", "u", "v") if grown == "x" else ("x", "v", "u")
+        step, fresh = front[grown], None
+        for _ in range(hops):
+            step = step.join(on, F.col("id") == F.col(here)).select(grown, F.col(there).alias("id")).distinct()
+            fresh = step if fresh is None else fresh.unionAll(step)
+        front[grown] = cut_lineage(fresh.distinct().join(seen[grown], [grown, "id"], "left_anti"))
         seen[grown] = seen[grown].unionAll(front[grown])
-    return open_.join(found, ["x", "y"]).select(F.col("a").alias("x"), F.col("b").alias("y"))
+        hit = ways.join(front[grown], grown).join(seen[other], [other, "id"]).select("x", "y").distinct()
+    whole = found[0]
+    for more in found[1:]:
+        whole = whole.unionAll(more)
+    return open_.join(whole, ["x", "y"]).select(F.col("a").alias("x"), F.col("b").alias("y"))
