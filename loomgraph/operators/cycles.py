@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from loomgraph.session import cut_lineage
 
 
+#: Ways from which on a further round of folding would cost more than it saves.
+SMALL = 20_000
+
+
 def folded(edges: DataFrame) -> DataFrame | None:
     """(id, run, place, ring) for every node of `edges` (u, v) in a run of several; none if there is no such run. A run is named by
     its first node, a ring (all of whose nodes follow each other) by its smallest."""
@@ -76,8 +80,8 @@ def reachable_pairs(edges: DataFrame, pairs: DataFrame) -> DataFrame:
         open_ = open_.join(edges.select(F.col("u").alias("x")).distinct(), "x", "left_semi").join(edges.select(F.col("v").alias("y")).distinct(), "y", "left_semi")
         open_ = cut_lineage(open_)
         size = edges.count()
-        if not size or 5 * size > 4 * before or open_.isEmpty():
-            break  # nothing left, or little gained
+        if size <= SMALL or 5 * size > 4 * before or open_.isEmpty():
+            break  # little left, or little gained
         before = size
     if not open_.isEmpty():
         answered.append(met(edges, open_))
