@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import bpe, exact_dedup, minhash, mixing, quality
-from loomgraph.llm.common import few, free, frozen, numbered, without
+from loomgraph.llm.common import few, free, frozen, numbered, partitions, without
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 #: Megabytes of an Arrow batch of texts; a batch of the last stage is a block within which words are told apart, so it is larger.
-BATCH_MB, BLOCK_MB = 4, 16
+BATCH_MB, BLOCK_MB = 4, 8
+#: Word buckets of the last stage for every shuffle partition: a bucket is a group in one task.
+BUCKETS = 4
 
 
 def bounded(spark: SparkSession, megabytes: int) -> None:
@@ -67,7 +69,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with digests of the ids and of what they decode to."""
     bounded(spark, BLOCK_MB)
-    return bpe.digests(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS, with_ids=True)
+    encoded = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, buckets=BUCKETS * partitions(spark))
+    return bpe.digests(encoded, RANKS, with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
