@@ -51,15 +51,15 @@ def lc03_log(t):
     return _learnt(t)["edges"].select("id", "description")
 
 
-def _learnt(t):
-    ranked = _ranked(t, 5).select("qid", "id", "rank", "score", "type", "layer")
+def _learnt(t, k=5):
+    ranked = _ranked(t, k).select("qid", "id", "rank", "score", "type", "layer")
     return L.learn(t.nodes, t.edges, L.score_history(t.recall_log), ranked, REQUESTS, AS_OF)
 
 
 STEP = "CASE WHEN a[i] > 0.5 THEN ln(CAST(0.7 AS DOUBLE) / 0.3) ELSE ln(CAST(0.3 AS DOUBLE) / 0.7) END"
 
 
-@query("wn05_score_history", "WN5 LC1", "nodes edges recall_log", f"""WITH {SCORED}, res AS (SELECT qid, id, rank, score FROM final WHERE rank <= 5),
+@query("wn05_score_history", "WN5 LC1", "nodes edges recall_log", f"""WITH {SCORED}, res AS (SELECT qid, id, rank, score FROM final WHERE rank <= 15),
 last AS (SELECT * FROM (SELECT r.*, row_number() OVER (PARTITION BY node_id ORDER BY ts DESC, id DESC) AS rn FROM recall_log r) WHERE rn <= 50),
 hist AS (SELECT node_id AS id, list(round(score, 4) ORDER BY ts, id) AS old FROM last GROUP BY node_id),
 mx AS (SELECT qid, max(score) AS m FROM res GROUP BY qid),
@@ -69,7 +69,7 @@ steps AS (SELECT id, i, sum({STEP}) OVER (PARTITION BY id ORDER BY i) AS llr FRO
 m AS (SELECT id, min(CASE WHEN llr >= ln(0.8 / 0.05) THEN i END) AS up, min(CASE WHEN llr <= ln(0.2 / 0.95) THEN i END) AS down FROM steps GROUP BY id)
 SELECT kept.id, '[' || array_to_string(a, ',') || ']' AS score_history, len(a) >= 5 AND up IS NOT NULL AND (down IS NULL OR up < down) AS promote FROM kept JOIN m ON m.id = kept.id""")
 def wn05(t):
-    return _learnt(t)["histories"]
+    return _learnt(t, 15)["histories"]
 
 
 @query("lc04_visit_update", "LC4", "nodes edges", f"""WITH {TOP5} SELECT n.id, coalesce(n.visit_count, 0) + h.c AS visit_count, coalesce(n.observation_count, 0) + h.c AS observation_count
