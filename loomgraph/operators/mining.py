@@ -24,19 +24,19 @@ def co_retrieval(log: DataFrame, edges: DataFrame, min_count: int = 5, hub_perce
         log = log.where(~F.col("query").isin(exclude_queries))
     named = log.where("recall_id IS NOT NULL").select("node_id", F.col("recall_id").alias("grp"))
     legacy = log.where("recall_id IS NULL").select("node_id", F.concat_ws("|", "query", F.col(legacy_stamp).cast("string")).alias("grp"))
-    counts = (shared_item_counts(named, "node_id", "grp", min_count)
-              .unionAll(shared_item_counts(legacy, "node_id", "grp", min_count))
-              .groupBy("a", "b").agg(F.sum("shared").alias("co_count")))
-    hub = G.hubs(edges, hub_percentile).select("id", F.lit(True).alias("hub"))
-    marked = (counts.join(hub.select(F.col("id").alias("a"), F.col("hub").alias("ha")), "a", "left")
-              .join(hub.select(F.col("id").alias("b"), F.col("hub").alias("hb")), "b", "left")
-              .where(~(F.coalesce("ha", F.lit(False)) & F.coalesce("hb", F.lit(False)))))
+    hub = G.hubs(edges, hub_percentile).select("id")
+    named, legacy = (shared_item_counts(rows, "node_id", "grp", min_count, hub) for rows in (named, legacy))
     boost = F.round(F.least(F.lit(0.1) * (F.col("co_count") - min_count + 1), F.lit(0.5)), 6)
     old = G.active(edges).where("relation = 'co_retrieved'")
     if archive_existing:
         old = old.where("coalesce(generation_method, '') <> 'co_retrieval'")
-    old = old.groupBy(F.col("source_id").alias("a"), F.col("target_id").alias("b")).agg(F.min("id").alias("edge_id"))
-    return marked.join(old, ["a", "b"], "left").select(
+    old = old.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.col("id").alias("edge_id")).where("a < b")
+    # pairs may be far more than rows: those of the larger sessions are shuffled once, and never aggregated
+    more = (named.withColumn("edge_id", F.lit(None).cast(old.schema["edge_id"].dataType)).unionByName(old, allowMissingColumns=True)
+            .groupBy("a", "b").agg(F.sum("shared").alias("more"), F.min("edge_id").alias("edge_id")))
+    counts = legacy.join(more, ["a", "b"], "full_outer").where("shared IS NOT NULL OR more IS NOT NULL").withColumn(
+        "co_count", F.coalesce("shared", F.lit(0)) + F.coalesce("more", F.lit(0)))
+    return counts.select(
         F.col("a").alias("source_id"), F.col("b").alias("target_id"), "co_count", boost.alias("boost"), "edge_id",
         F.when(F.col("edge_id").isNull(), "insert").otherwise("update").alias("action"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -62,8 +63,8 @@ def carry_previous(df: DataFrame, key: str, bucket: Column, order: list[str], va
             .drop("_b", "_lag", "_pos", "_carry"))
 
 
-#: Largest group whose pairs are proposed outright, nodes of a block, cells of a node's sketch.
-LIGHT, BLOCK, CELLS = 32, 1_000, 64
+#: Largest group whose pairs are proposed outright, nodes of a block, cells of a node's sketch, members of a list of a class.
+LIGHT, BLOCK, CELLS, CHUNK = 32, 1_000, 64, 500
 
 
 def shared_item_candidates(prefix: DataFrame, live: DataFrame, min_shared: int) -> DataFrame:
@@ -85,29 +86,64 @@ def shared_item_candidates(prefix: DataFrame, live: DataFrame, min_shared: int)
     rows = rows.select("g", "n", "sketch", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") <= F.col("other")).alias("low"))
 
     def bounded(table: pa.Table) -> pa.Table:
-        ids = table.column("n").to_pylist()
+        ids = table.column("n").combine_chunks()
         counts = table.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(ids), CELLS)
         low = table.column("low").to_numpy()
         same = table.column("lo")[0].as_py() == table.column("hi")[0].as_py()
         left, right = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(low), np.flatnonzero(~low))
-        found: list[tuple] = []
+        found = []
         for at in range(0, len(left), 64):  # a few megabytes at a time
             part = left[at : at + 64]
             bound = np.zeros((len(part), len(right)), np.int32)
             for c in range(CELLS):
                 bound += np.minimum(counts[part, c][:, None], counts[right, c][None])
             x, y = np.nonzero(bound >= min_shared)
-            found += [(ids[i], ids[j]) for i, j in zip(part[x].tolist(), right[y].tolist(), strict=True)]
-        ordered = [(min(p), max(p)) for p in found if p[0] != p[1]]
-        return pa.table({"a": pa.array([p for p, _ in ordered], kind), "b": pa.array([q for _, q in ordered], kind)})
+            p, q = ids.take(pa.array(part[x])), ids.take(pa.array(right[y]))
+            found.append(pa.table({"a": pc.min_element_wise(p, q), "b": pc.max_element_wise(p, q)}).filter(pc.less(part[x], right[y]) if same else pc.not_equal(p, q)))
+        return pa.concat_tables(found) if found else pa.table({"a": pa.array([], kind), "b": pa.array([], kind)})
 
     kind = to_arrow_type(prefix.schema["n"].dataType)
     out = StructType([StructField("a", prefix.schema["n"].dataType), StructField("b", prefix.schema["n"].dataType)])
     return pairs.unionAll(rows.groupBy("g", "lo", "hi").applyInArrow(bounded, out)).distinct()
 
 
-def shared_item_counts(log: DataFrame, node: str, group: str, min_shared: int) -> DataFrame:
-    """Node pairs ``a < b`` that meet in at least ``min_shared`` groups, with the count; exact.
+def folded(live: DataFrame) -> DataFrame:
+    """(n, rep, k): nodes of exactly the same groups are one class, named after its smallest node; ``k`` is the number of groups.
+
+    Equal sets are told by their size and two 64-bit sums (exclusive or) of hashes, which combine map-side however many groups a node has.
+    """
+    key = ["k", "x", "y"]
+    sets = live.groupBy("n").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64(F.lit(1), "g")).alias("x"), F.bit_xor(F.xxhash64(F.lit(2), "g")).alias("y"))
+    return sets.join(sets.groupBy(*key).agg(F.min("n").alias("rep")), key).select("n", "rep", "k")
+
+
+def unfolded(classes: DataFrame, counts: DataFrame, apart: DataFrame | None) -> DataFrame:
+    """(a, b, shared) of nodes from (n, rep) and the counts between representatives, ``a = b`` for pairs within a class.
+
+    Members meet in lists of up to ``CHUNK``, so a row of a pair of lists is short beside the pairs it stands for. Of two nodes
+    of ``apart`` no pair comes out.
+    """
+    rows = classes.select("n", "rep", F.lit(False).alias("barred"))
+    if apart is not None:
+        marks = apart.select(F.col("id").alias("n"), F.lit(True).alias("_m")).distinct()
+        rows = classes.join(marks, "n", "left").select("n", "rep", F.coalesce("_m", F.lit(False)).alias("barred"))
+    many = rows.groupBy("rep", "barred").agg(F.ceil(F.count("*") / CHUNK).alias("many"))
+    dealt = rows.join(many, ["rep", "barred"]).withColumn("chunk", F.pmod(F.xxhash64("n"), F.col("many")))
+    lists = cut_lineage(dealt.groupBy("rep", "barred", "chunk").agg(F.collect_list("n").alias("ns")))  # about CHUNK each
+    own = F.struct("barred", "chunk")
+    left = lists.select(F.col("rep").alias("a"), F.col("ns").alias("xs"), own.alias("i"))
+    right = lists.select(F.col("rep").alias("b"), F.col("ns").alias("ys"), own.alias("j"))
+    met = counts.join(left, "a").join(right, "b").where("(a <> b OR i <= j) AND NOT (i.barred AND j.barred)")
+    met = met.select("shared", "xs", "ys", (F.col("a") == F.col("b")).alias("within"), F.expr("a = b AND i = j").alias("same")).repartition(F.xxhash64("xs", "ys"))
+    pairs = met.withColumn("x", F.explode("xs")).select("shared", "same", "x", F.explode("ys").alias("y")).where("NOT same OR x < y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared")
+
+
+def shared_item_counts(log: DataFrame, node: str, group: str, min_shared: int, apart: DataFrame | None = None) -> DataFrame:
+    """Node pairs ``a < b`` that meet in at least ``min_shared`` groups, with the count; exact. Two nodes of ``apart`` (id) are no pair.
+
+    Nodes of the same groups are counted once, through a representative, and come back as pairs at the end: nothing before the answer
+    grows with the square of the nodes where the groups are few.
 
     Two nodes that share ``t`` groups must share one among each node's ``n - t + 1`` smallest groups, because at most ``t - 1`` shared
     groups can lie outside that prefix. Groups are ordered by size, so the largest ones tend to fall outside the
@@ -115,9 +151,16 @@ def shared_item_counts(log: DataFrame, node: str, group: str, min_shared: int) -
     log by two equi-joins.
     """
     pairs = log.select(F.col(node).alias("n"), F.col(group).alias("g")).distinct()
-    per_node = pairs.groupBy("n").agg(F.count("*").alias("k")).where(F.col("k") >= min_shared)
-    sizes = pairs.groupBy("g").agg(F.count("*").alias("size")).where(F.col("size") >= 2)
-    live = cut_lineage(pairs.join(per_node, "n").join(sizes, "g"))  # narrow, and read several times below
+    met = pairs.groupBy("g").agg(F.count("*").alias("size")).where(F.col("size") >= 2).select("g")
+    every = cut_lineage(pairs.join(met, "g"))  # narrow, and read several times below
+    classes = cut_lineage(folded(every).where(F.col("k") >= min_shared))
+    within = classes.groupBy("rep").agg(F.count("*").alias("m"), F.first("k").alias("shared")).where("m > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), "shared")
+
+    reps = every.join(classes.where("n = rep").select("n"), "n", "left_semi")
+    sizes = reps.groupBy("g").agg(F.count("*").alias("size")).where(F.col("size") >= 2)
+    live = cut_lineage(reps.join(sizes, "g"))
+    per_node = live.groupBy("n").agg(F.count("*").alias("k")).where(F.col("k") >= min_shared)
+    live = live.join(per_node, "n")
     # the t - 1 largest groups of a node are outside its prefix; finding those is a rank limit
     prefix = live
     if min_shared > 1:
@@ -133,7 +176,8 @@ def shared_item_counts(log: DataFrame, node: str, group: str, min_shared: int) -
         F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("m"))
     slim = live.select("n", "g")
     hits = sided.join(slim, "n").join(slim.withColumnRenamed("n", "m"), ["m", "g"], "left_semi")
-    return hits.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
+    between = hits.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
+    return unfolded(classes, between.unionAll(within), apart)
 
 
 def held(df: DataFrame, most: int) -> DataFrame:

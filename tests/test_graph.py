@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import graph as G
 from loomgraph.operators import mining as M
+from loomgraph.operators import scale
 from loomgraph.operators.scale import carry_previous, numbered, shared_item_candidates, shared_item_counts
 
 
@@ -160,3 +161,18 @@ def test_dense_clusters_equal_the_greedy_walk(spark):
         taken |= {seed, *members}
     got = [(r["seed"], r["members"]) for r in G.dense_clusters(nf, ef, min_size=5, max_size=8).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_nodes_of_the_same_groups_are_counted_once(spark, monkeypatch):
+    """Three sessions of 400 nodes: the pairs are the answer, but only one node of a kind is compared."""
+    asked = []
+    plain = scale.shared_item_candidates
+    monkeypatch.setattr(scale, "CHUNK", 50)
+    monkeypatch.setattr(scale, "shared_item_candidates", lambda prefix, live, least: asked.append(live.select("n").distinct().count()) or plain(prefix, live, least))
+    rows = [(n, g) for n in range(400) for g in (["a", "b", "c"] if n % 2 else ["b", "c", "d"])] + [(n, "e") for n in range(0, 400, 50)]
+    got = {(r["a"], r["b"]): r["shared"] for r in scale.shared_item_counts(spark.createDataFrame(rows, "n bigint, g string"), "n", "g", 3, spark.createDataFrame([(1,), (2,), (3,)], "id bigint")).collect()}
+    own = {}
+    for n, g in rows:
+        own.setdefault(n, set()).add(g)
+    want = {p: len(own[p[0]] & own[p[1]]) for p in itertools.combinations(range(400), 2) if len(own[p[0]] & own[p[1]]) >= 3 and not set(p) <= {1, 2, 3}}
+    assert got == want and asked == [2]
