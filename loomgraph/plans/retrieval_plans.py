@@ -78,13 +78,13 @@ def ret01(t):
 
 @query("ret04_text_search_bm25", "RET2 RET3 RET4 JN12 RET17", "nodes", f"WITH {txt_sql(20)} SELECT qid, id, score, rank FROM txt0")
 def ret04(t):
-    return R.text_search(t.nodes, requests(t), K * 4, t.text_index)
+    return R.text_search(t.nodes, requests(t), K * 4, t.texts)
 
 
 @query("ret05_two_letter_assist", "RET5 FLT3", "nodes", f"WITH {txt_sql(20)}, {assist_sql(20)} SELECT qid, id, CAST(score AS DOUBLE) AS score, rank FROM txt")
 def ret05(t):
     qs = requests(t)
-    return R.two_letter_assist(t.nodes, qs, R.text_search(t.nodes, qs, K * 4, t.text_index), K * 4, t.text_index)
+    return R.two_letter_assist(t.nodes, qs, R.text_search(t.nodes, qs, K * 4, t.texts), K * 4, t.texts)
 
 
 HINTED = "결정 실패 도구"  # three types are named, two of them count
@@ -146,7 +146,7 @@ CHANNELS = (f"{vec_sql('v', K * 4)}, {txt_sql(K * 4)}, {assist_sql(K * 4)}, {SEE
 def _seeds(t):
     qs = requests(t)
     vec = search(corpus(t), [VectorQuery(q.qid, q.vector) for q in qs], K * 4)
-    txt = R.two_letter_assist(t.nodes, qs, held(R.text_search(t.nodes, qs, K * 4, t.text_index), 60), K * 4, t.text_index)
+    txt = R.two_letter_assist(t.nodes, qs, held(R.text_search(t.nodes, qs, K * 4, t.texts), 60), K * 4, t.texts)
     return qs, R.seeds_of(held(vec, 60), held(txt, 400))
 
 
@@ -172,7 +172,7 @@ fused AS (SELECT qid, id, round(sum(part), 9) AS fused, array_to_string(list_sor
 
 @query("ret11_rank_fusion", "RET11 WN1", "nodes edges", f"WITH {FUSED} SELECT qid, id, fused, sources FROM fused")
 def ret11(t):
-    out = R.channels(t.nodes, t.edges, t.embeddings, requests(t), t.text_index)
+    out = R.channels(t.nodes, t.edges, t.embeddings, requests(t), t.texts)
     return out.withColumn("sources", F.array_join("sources", ","))
 
 
@@ -206,7 +206,7 @@ final AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)
        f"WITH {SCORED} SELECT qid, rank, id, type, project, sources, score FROM final")
 def ret15(t):
     qs = requests(t)
-    out = R.score_candidates(t.nodes, t.edges, R.channels(t.nodes, t.edges, t.embeddings, qs, t.text_index), qs, AS_OF)
+    out = R.score_candidates(t.nodes, t.edges, R.channels(t.nodes, t.edges, t.embeddings, qs, t.texts), qs, AS_OF)
     return out.select("qid", "rank", "id", "type", "project", F.array_join("sources", ",").alias("sources"), "score")
 
 
@@ -225,7 +225,7 @@ SELECT qid, rank, id, type, substr(content, 1, 200) AS content, project, tags, r
  round(coalesce(nullif(confidence, 0), 0.5), 2) AS confidence, coalesce(source, '') AS source, round(coalesce(quality_score, 0), 2) AS quality,
  coalesce(node_role, '') AS node_role, coalesce(epistemic_status, 'provisional') AS epistemic_status FROM diverse WHERE rank <= {K}""")
 def ret22(t):
-    out = R.hybrid_search(t.nodes, t.edges, t.embeddings, requests(t), AS_OF, index=t.text_index)
+    out = R.hybrid_search(t.nodes, t.edges, t.embeddings, requests(t), AS_OF, index=t.texts)
     return R.format_results(out)
 
 
@@ -237,7 +237,7 @@ mixed AS (SELECT p.qid, p.id, CASE WHEN gap < 0.05 THEN round(score * (1 - 0.35)
 SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM mixed""")
 def ret21(t):
     qs = requests(t)
-    ranked = R.score_candidates(t.nodes, t.edges, R.channels(t.nodes, t.edges, t.embeddings, qs, t.text_index), qs, AS_OF)
+    ranked = R.score_candidates(t.nodes, t.edges, R.channels(t.nodes, t.edges, t.embeddings, qs, t.texts), qs, AS_OF)
     scorer = F.least(F.length("content"), F.lit(300)).cast("double")  # stand-in for a cross-encoder
     return R.rerank(ranked, scorer).select("qid", "id", "score", "rank")
 
@@ -247,7 +247,7 @@ TOP = f"{SCORED}, res AS (SELECT qid, id, type, project, source, node_role, scor
 
 def _ranked(t, k=15):
     qs = requests(t)
-    out = R.score_candidates(t.nodes, t.edges, R.channels(t.nodes, t.edges, t.embeddings, qs, t.text_index), qs, AS_OF)
+    out = R.score_candidates(t.nodes, t.edges, R.channels(t.nodes, t.edges, t.embeddings, qs, t.texts), qs, AS_OF)
     return held(out.where(F.col("rank") <= k), len(qs) * k)
 
 
@@ -304,14 +304,14 @@ def ret32(t):
 @query("ret24_troubleshooting_recall", "RET24 RET25 RET26", "nodes edges")
 def ret24(t):
     q = requests(t)[0]
-    return R.recall(t.nodes, t.edges, t.embeddings, R.Query(0, q.text, q.vector, mode="troubleshooting", top_k=K), AS_OF, t.text_index).select(
+    return R.recall(t.nodes, t.edges, t.embeddings, R.Query(0, q.text, q.vector, mode="troubleshooting", top_k=K), AS_OF, t.texts).select(
         "qid", "rank", "id", "type", "score")
 
 
 @query("ret27_correction_recall", "RET27", "nodes edges")
 def ret27(t):
     q = requests(t)[1]
-    return R.recall(t.nodes, t.edges, t.embeddings, R.Query(1, q.text, q.vector, mode="correction", top_k=K), AS_OF, t.text_index).select(
+    return R.recall(t.nodes, t.edges, t.embeddings, R.Query(1, q.text, q.vector, mode="correction", top_k=K), AS_OF, t.texts).select(
         "qid", "rank", "id", "type", "score")
 
 
