@@ -117,6 +117,13 @@ def test_url_rules(spark):
     assert url_filter.judge(pages.limit(0)).collect() == []
 
 
+def test_url_models_are_planned_once(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x"), (2, "http://example.org/fr/y"), (3, "http://b.com/z")], "page_id long, url string")
+    judged = url_filter.judge(pages)
+    assert judged._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") <= 2
+    assert any("url-scores" in path for path in judged.inputFiles())
+
+
 def test_url_models_tell_classes_apart(spark):
     good = [(i, f"http://site{i % 7}.example.net/en/{i}") for i in range(100)]
     bad = [(100 + i, f"http://zzqq{i % 7}.net/kk/{i}") for i in range(100)]
