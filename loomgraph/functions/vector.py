@@ -14,7 +14,9 @@ from loomgraph.operators.scale import top_per_group
 from loomgraph.session import cut_lineage
 
 HIT_SCHEMA = "qid bigint, id bigint, distance double"
-BLOCK_ROWS, CELLS = 4096, 64
+#: Requests of one search of a batch from the driver; in `neighbours` cells, rows of a chunk of a cell and requests of a block (one group
+#: holds both), requests whose distances are held at once.
+SEARCH_ROWS, CELLS, BLOCK_ROWS, STRIPE = 4096, 64, 8192, 128
 
 
 @dataclass
@@ -83,7 +85,7 @@ def search(corpus: DataFrame, queries: list[VectorQuery], k: int) -> DataFrame:
 
     The corpus stays where it is: each task keeps its own k best and only
     those rows are shuffled. A zero query finds nothing; a zero row is at
-    distance 1. Queries come as a driver list, in blocks of ``BLOCK_ROWS``.
+    distance 1. Queries come as a driver list, in blocks of ``SEARCH_ROWS``.
     """
     if not queries:
         return corpus.sparkSession.createDataFrame([], HIT_SCHEMA + ", rank int")
@@ -92,8 +94,8 @@ def search(corpus: DataFrame, queries: list[VectorQuery], k: int) -> DataFrame:
             .select("id", F.coalesce("type", F.lit("")).alias("type"),
                     F.coalesce("project", F.lit("")).alias("project"), "embedding"))
     hits = None
-    for start in range(0, len(queries), BLOCK_ROWS):
-        part = rows.mapInArrow(_search_partitions(queries[start:start + BLOCK_ROWS], k), HIT_SCHEMA)
+    for start in range(0, len(queries), SEARCH_ROWS):
+        part = rows.mapInArrow(_search_partitions(queries[start:start + SEARCH_ROWS], k), HIT_SCHEMA)
         hits = part if hits is None else hits.unionAll(part)
     return top_per_group(hits, ["qid"], [F.col("distance"), F.col("id")], k, "rank")
 
@@ -115,8 +117,10 @@ def neighbours(batch: DataFrame, corpus: DataFrame, k: int, by_type: list[str] |
 
     Both sides stay in Spark. The corpus is dealt to the cells of ``CELLS`` sampled vectors and, within a cell, to chunks of
     ``BLOCK_ROWS``. A new vector first meets its own cell; its k-th distance there, by the triangle inequality, rules out
-    every cell whose radius cannot reach it, and only the others are visited. The driver sees a row per cell. ``by_type``
-    searches each listed type apart and returns it in ``hint``. Rows of another length than the batch's take no part.
+    every cell whose radius cannot reach it, and only the others are visited. The requests of a cell are dealt to blocks of
+    ``BLOCK_ROWS`` too, and a block meets a chunk in one group, so that a task's memory does not grow with either side. The
+    driver sees a row per cell. ``by_type`` searches each listed type apart and returns it in ``hint``; rows of other types
+    are left aside. Rows of another length than the batch's take no part.
     """
     spark, hints = batch.sparkSession, by_type or [""]
     asked = batch.where("embedding is not null").select(F.col("id").alias("qid"), "embedding")
@@ -127,6 +131,8 @@ def neighbours(batch: DataFrame, corpus: DataFrame, k: int, by_type: list[str] |
     dim = len(first["embedding"])
     asked = asked.where(F.size("embedding") == dim)
     rows = corpus.where("embedding is not null").where(F.size("embedding") == dim).select("id", F.coalesce("type", F.lit("")).alias("type"), "embedding")
+    if by_type:
+        rows = rows.where(F.col("type").isin(by_type))
     sample = rows.select("embedding").orderBy(F.xxhash64("id")).limit(CELLS).toArrow().column("embedding").combine_chunks()
     if not len(sample):
         return spark.createDataFrame([], out + ", rank int")
@@ -146,48 +152,57 @@ def neighbours(batch: DataFrame, corpus: DataFrame, k: int, by_type: list[str] |
     radius, chunks = np.full(n + 1, -1.0), np.zeros(n + 1, np.int64)
     for r in index.groupBy("cell").agg(F.max("away").alias("far"), F.count("*").alias("rows")).collect():
         radius[r["cell"]], chunks[r["cell"]] = r["far"], -(-r["rows"] // BLOCK_ROWS)
-    many = F.element_at(F.lit(np.maximum(chunks, 1).tolist()), F.col("cell") + 1)
-    index = index.withColumn("chunk", F.pmod(F.xxhash64("id"), many))
 
     def met(cells_of):
-        """Requests beside every chunk of the cells that `cells_of(x, batch)` marks."""
+        """Every request with the cells that `cells_of(x, batch)` marks; one without any is left out."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 x, none = _matrix(b.column("embedding"))
                 at, cell = np.nonzero(cells_of(x, b) & (chunks > 0) & ~none[:, None])
-                again = chunks[cell]
-                chunk = np.arange(again.sum()) - np.repeat(np.cumsum(again) - again, again)
-                at, cell = np.repeat(at, again), np.repeat(cell, again)
-                taken = b.select(["qid", "embedding"]).take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell, pa.int32()), pa.array(chunk, pa.int64())], ["qid", "embedding", "cell", "chunk"])
+                ends = np.searchsorted(at, np.arange(len(x) + 1))
+                cells = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cell, pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column("qid"), b.column("embedding"), cells], ["qid", "embedding", "cells"])
         return run
 
     def best(q: pa.Table, c: pa.Table) -> pa.Table:
-        found: dict[str, list] = {"qid": [], "id": [], "distance": [], "hint": []}
+        found: list[pa.Table] = []
         if len(q) and len(c):
+            c = c.sort_by("id")  # of equally near rows the smaller ids are kept
             qx, cx = _matrix(q["embedding"].combine_chunks())[0], _matrix(c["embedding"].combine_chunks())[0]
             q_id, c_id, types = q["qid"].to_numpy(), c["id"].to_numpy(), np.array(c["type"].to_pylist(), dtype=object)
             for hint in hints:
                 able = np.flatnonzero(types == hint) if hint else np.arange(len(c_id))
-                for a in range(0, len(q_id), 512):
-                    distance = np.round(1.0 - qx[a : a + 512] @ cx[able].T, 9)
-                    distance[q_id[a : a + 512, None] == c_id[None, able]] = np.inf
-                    keep = min(k, len(able))
-                    border = np.partition(distance, keep - 1, axis=1)[:, keep - 1 : keep] if keep else np.zeros((len(distance), 1))
-                    at, col = np.nonzero((distance <= border) & np.isfinite(distance))
-                    found["qid"].append(q_id[a + at])
-                    found["id"].append(c_id[able[col]])
-                    found["distance"].append(distance[at, col])
-                    found["hint"].append(np.full(len(at), hint, dtype=object))
-        flat = {name: np.concatenate(v) if v else [] for name, v in found.items()}
-        return pa.table({"qid": pa.array(flat["qid"], pa.int64()), "id": pa.array(flat["id"], pa.int64()), "distance": pa.array(flat["distance"], pa.float64()), "hint": pa.array(flat["hint"], pa.string())})
+                keep, to, to_id = min(k, len(able)), cx[able].T, c_id[able]
+                for a in range(0, len(q_id) if keep else 0, STRIPE):
+                    distance = np.round(1.0 - qx[a : a + STRIPE] @ to, 9)
+                    distance[q_id[a : a + STRIPE, None] == to_id[None]] = np.inf
+                    border = np.partition(distance, keep - 1, axis=1)[:, keep - 1 : keep]
+                    near = (distance <= border) & np.isfinite(distance)
+                    for row in np.flatnonzero(near.sum(1) > keep):
+                        near[row] = False
+                        near[row, np.argsort(distance[row], kind="stable")[:keep]] = True
+                    at, col = np.nonzero(near)
+                    found.append(pa.table({"qid": q_id[a + at], "id": to_id[col], "distance": distance[at, col], "hint": pa.repeat(hint, len(at))}))
+        none = pa.table({"qid": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64()), "hint": pa.array([], pa.string())})
+        return pa.concat_tables([none, *found])
 
     def searched(requests: DataFrame) -> DataFrame:
-        hits = requests.groupBy("cell", "chunk").cogroup(index.groupBy("cell", "chunk")).applyInArrow(best, out)
+        """Hits of (qid, embedding, cells); the requests of each cell are counted, a row per cell, to deal them to blocks."""
+        blocks = np.zeros(n + 1, np.int64)
+        for r in requests.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect():
+            blocks[r["cell"]] = -(-r["count"] // BLOCK_ROWS)
+        of = lambda counts: F.element_at(F.lit(counts.tolist()), F.col("cell") + 1)
+        every = lambda counts: F.explode(F.when(of(counts) > 0, F.sequence(F.lit(0).cast("long"), of(counts) - 1)))
+        own = lambda key, counts: F.pmod(F.xxhash64(key), F.greatest(of(counts), F.lit(1)))
+        left = requests.select("qid", "embedding", F.explode("cells").alias("cell")).withColumn("block", own("qid", blocks)).withColumn("chunk", every(chunks))
+        right = index.drop("away").withColumn("chunk", own("id", chunks)).withColumn("block", every(blocks))
+        keys = ["cell", "chunk", "block"]
+        hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, out)
         return top_per_group(hits, ["qid", "hint"], [F.col("distance"), F.col("id")], k, "rank")
 
-    own = lambda x, b: np.arange(n + 1)[None] == _away(x, centers).argmin(1)[:, None]
-    near = cut_lineage(searched(asked.mapInArrow(met(own), f"qid bigint, embedding {kind}, cell int, chunk bigint")))
+    asking = f"qid bigint, embedding {dict(asked.dtypes)['embedding']}, cells array<int>"
+    home = lambda x, b: np.arange(n + 1)[None] == _away(x, centers).argmin(1)[:, None]
+    near = cut_lineage(searched(asked.mapInArrow(met(home), asking)))
     full = near.groupBy("qid", "hint").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
     reach = full.groupBy("qid").agg(F.when((F.count("*") == len(hints)) & (F.min("n") == k), F.max("far")).alias("reach"))
 
@@ -198,5 +213,5 @@ def neighbours(batch: DataFrame, corpus: DataFrame, k: int, by_type: list[str] |
         open_[np.arange(len(x)), away.argmin(1)] = False
         return np.concatenate([open_, np.ones((len(x), 1), bool)], axis=1)
 
-    rest = asked.join(reach, "qid", "left").select("qid", "embedding", "reach").mapInArrow(met(others), f"qid bigint, embedding {kind}, cell int, chunk bigint")
+    rest = cut_lineage(asked.join(reach, "qid", "left").select("qid", "embedding", "reach").mapInArrow(met(others), asking))  # counted, then searched
     return top_per_group(near.drop("rank").unionByName(searched(rest).drop("rank")), ["qid", "hint"], [F.col("distance"), F.col("id")], k, "rank")

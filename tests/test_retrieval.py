@@ -82,6 +82,30 @@ def test_neighbours_are_exact(spark, by_type, monkeypatch):
     assert sum(got[key][0] != want[key][0] for key in want) <= 0.02 * len(want)  # ties at the ninth digit
 
 
+def test_neighbours_meet_in_bounded_groups(spark, monkeypatch):
+    """No step holds more rows than a block, on either side, and equal rows leave no more than k hits each."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 3))
+    x[100:400] = x[100]
+    df = spark.createDataFrame([(i, "A", "p", v.tolist()) for i, v in enumerate(x)], "id bigint, type string, project string, embedding array<double>")
+    matrix = V._matrix
+
+    def watched(column):
+        assert len(column) <= 80, "a group holds more than a block"
+        return matrix(column)
+
+    monkeypatch.setattr(V, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(V, "CELLS", 2)
+    monkeypatch.setattr(V, "_matrix", watched)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        got = {(r["qid"], r["rank"]): r["id"] for r in V.neighbours(df, df, 3).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 1800
+    assert [got[(300, r)] for r in (1, 2, 3)] == [100, 101, 102] and [got[(100, r)] for r in (1, 2, 3)] == [101, 102, 103]
+
+
 def test_saturation_boundary(spark):
     def run(projects):
         df = spark.createDataFrame([(0, p) for p in projects], "qid bigint, project string")
