@@ -14,9 +14,9 @@ from loomgraph.operators.scale import top_per_group
 from loomgraph.session import cut_lineage
 
 HIT_SCHEMA = "qid bigint, id bigint, distance double"
-#: Requests of one search of a batch from the driver; in `neighbours` cells, rows of a chunk of a cell and requests of a block (one group
+#: Requests of one search of a batch from the driver; in `neighbours` cells, rows of a chunk of a tile and requests of a block (one group
 #: holds both), requests whose distances are held at once.
-SEARCH_ROWS, CELLS, BLOCK_ROWS, STRIPE = 4096, 64, 8192, 128
+SEARCH_ROWS, CELLS, BLOCK_ROWS, STRIPE = 4096, 64, 16384, 128
 
 
 @dataclass
@@ -112,14 +112,30 @@ def _away(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * x @ centers.T))
 
 
+def _tiles(centers: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Tile of every cell (the last one is the zero rows'): cells near each other share one while they hold ``BLOCK_ROWS`` rows at most; -1: no rows."""
+    tile, order, at = np.full(len(rows), -1), [], 0
+    left = set(range(len(centers)))
+    while left:
+        order.append(at := max(left, key=lambda c: (centers[c] @ centers[at], -c)))
+        left.remove(at)
+    held, last = 0, -1
+    for c in [*order, len(centers)]:
+        if rows[c]:
+            if last < 0 or held + rows[c] > BLOCK_ROWS:
+                held, last = 0, last + 1
+            tile[c], held = last, held + rows[c]
+    return tile
+
+
 def neighbours(batch: DataFrame, corpus: DataFrame, k: int, by_type: list[str] | None = None) -> DataFrame:
     """k nearest corpus rows of every row of a batch of new vectors, without the row itself; exact.
 
-    Both sides stay in Spark. The corpus is dealt to the cells of ``CELLS`` sampled vectors and, within a cell, to chunks of
-    ``BLOCK_ROWS``. A new vector first meets its own cell; its k-th distance there, by the triangle inequality, rules out
-    every cell whose radius cannot reach it, and only the others are visited. The requests of a cell are dealt to blocks of
-    ``BLOCK_ROWS`` too, and a block meets a chunk in one group, so that a task's memory does not grow with either side. The
-    driver sees a row per cell. ``by_type`` searches each listed type apart and returns it in ``hint``; rows of other types
+    Both sides stay in Spark. The corpus is dealt to the cells of ``CELLS`` sampled vectors; small cells share a tile, large
+    ones are cut into chunks of ``BLOCK_ROWS``. A new vector first meets the tile of its own cell; its k-th distance there, by
+    the triangle inequality, rules out every cell whose radius cannot reach it, and only tiles with others are visited. The
+    requests of a tile are dealt to blocks of ``BLOCK_ROWS`` too, and a block meets a chunk in one group, so that a task's
+    memory does not grow with either side. The driver sees a row per cell and tile. ``by_type`` searches each listed type apart and returns it in ``hint``; rows of other types
     are left aside. Rows of another length than the batch's take no part.
     """
     spark, hints = batch.sparkSession, by_type or [""]
@@ -149,19 +165,23 @@ def neighbours(batch: DataFrame, corpus: DataFrame, k: int, by_type: list[str] |
 
     kind = dict(rows.dtypes)["embedding"]
     index = cut_lineage(rows.mapInArrow(dealt, f"id bigint, type string, embedding {kind}, cell int, away double"))
-    radius, chunks = np.full(n + 1, -1.0), np.zeros(n + 1, np.int64)
+    radius, sizes = np.full(n + 1, -1.0), np.zeros(n + 1, np.int64)
     for r in index.groupBy("cell").agg(F.max("away").alias("far"), F.count("*").alias("rows")).collect():
-        radius[r["cell"]], chunks[r["cell"]] = r["far"], -(-r["rows"] // BLOCK_ROWS)
-
-    def met(cells_of):
-        """Every request with the cells that `cells_of(x, batch)` marks; one without any is left out."""
+        radius[r["cell"]], sizes[r["cell"]] = r["far"], r["rows"]
+    tile = _tiles(centers, sizes)
+    tiled = np.arange(tile.max() + 1)[:, None] == tile[None]  # (tile, cell)
+    chunks = np.maximum(1, -(-(tiled @ sizes) // BLOCK_ROWS))
+    index = index.select("id", "type", "embedding", F.element_at(F.lit(tile.tolist()), F.col("cell") + 1).alias("tile"))
+
+    def met(tiles_of):
+        """Every request with the tiles that `tiles_of(x, batch)` marks; a zero request has none."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 x, none = _matrix(b.column("embedding"))
-                at, cell = np.nonzero(cells_of(x, b) & (chunks > 0) & ~none[:, None])
+                at, open_ = np.nonzero(tiles_of(x, b) & ~none[:, None])
                 ends = np.searchsorted(at, np.arange(len(x) + 1))
-                cells = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cell, pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column("qid"), b.column("embedding"), cells], ["qid", "embedding", "cells"])
+                tiles = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(open_, pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column("qid"), b.column("embedding"), tiles], ["qid", "embedding", "tiles"])
         return run
 
     def best(q: pa.Table, c: pa.Table) -> pa.Table:
@@ -187,31 +207,34 @@ def neighbours(batch: DataFrame, corpus: DataFrame, k: int, by_type: list[str] |
         return pa.concat_tables([none, *found])
 
     def searched(requests: DataFrame) -> DataFrame:
-        """Hits of (qid, embedding, cells); the requests of each cell are counted, a row per cell, to deal them to blocks."""
-        blocks = np.zeros(n + 1, np.int64)
-        for r in requests.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect():
-            blocks[r["cell"]] = -(-r["count"] // BLOCK_ROWS)
-        of = lambda counts: F.element_at(F.lit(counts.tolist()), F.col("cell") + 1)
+        """Hits of (qid, embedding, tiles); the requests of each tile are counted, a row per tile, to deal them to blocks."""
+        blocks = np.zeros(len(chunks), np.int64)
+        for r in requests.select(F.explode("tiles").alias("tile")).groupBy("tile").count().collect():
+            blocks[r["tile"]] = -(-r["count"] // BLOCK_ROWS)
+        of = lambda counts: F.element_at(F.lit(counts.tolist()), F.col("tile") + 1)
         every = lambda counts: F.explode(F.when(of(counts) > 0, F.sequence(F.lit(0).cast("long"), of(counts) - 1)))
         own = lambda key, counts: F.pmod(F.xxhash64(key), F.greatest(of(counts), F.lit(1)))
-        left = requests.select("qid", "embedding", F.explode("cells").alias("cell")).withColumn("block", own("qid", blocks)).withColumn("chunk", every(chunks))
-        right = index.drop("away").withColumn("chunk", own("id", chunks)).withColumn("block", every(blocks))
-        keys = ["cell", "chunk", "block"]
+        left = requests.select("qid", "embedding", F.explode("tiles").alias("tile")).withColumn("block", own("qid", blocks)).withColumn("chunk", every(chunks))
+        right = index.withColumn("chunk", own("id", chunks)).withColumn("block", every(blocks))
+        keys = ["tile", "chunk", "block"]
         hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, out)
         return top_per_group(hits, ["qid", "hint"], [F.col("distance"), F.col("id")], k, "rank")
 
-    asking = f"qid bigint, embedding {dict(asked.dtypes)['embedding']}, cells array<int>"
-    home = lambda x, b: np.arange(n + 1)[None] == _away(x, centers).argmin(1)[:, None]
-    near = cut_lineage(searched(asked.mapInArrow(met(home), asking)))
+    asking = f"qid bigint, embedding {dict(asked.dtypes)['embedding']}, tiles array<int>"
+
+    def home(x: np.ndarray) -> np.ndarray:
+        """The tile of the nearest cell that has rows, as (request, tile)."""
+        away = np.where(tile[None, :n] >= 0, _away(x, centers), np.inf)
+        return np.arange(len(chunks))[None] == tile[away.argmin(1)][:, None]
+
+    near = cut_lineage(searched(asked.mapInArrow(met(lambda x, b: home(x)), asking)))
     full = near.groupBy("qid", "hint").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
     reach = full.groupBy("qid").agg(F.when((F.count("*") == len(hints)) & (F.min("n") == k), F.max("far")).alias("reach"))
 
     def others(x: np.ndarray, b: pa.RecordBatch) -> np.ndarray:
         far = np.nan_to_num(b.column("reach").to_numpy(zero_copy_only=False).astype(float), nan=4.0)
-        away = _away(x, centers)
-        open_ = away - radius[None, :n] <= np.sqrt(2 * np.maximum(far, 0.0) + 2e-9)[:, None] + 1e-6
-        open_[np.arange(len(x)), away.argmin(1)] = False
-        return np.concatenate([open_, np.ones((len(x), 1), bool)], axis=1)
+        open_ = _away(x, centers) - radius[None, :n] <= np.sqrt(2 * np.maximum(far, 0.0) + 2e-9)[:, None] + 1e-6
+        return (np.concatenate([open_, np.ones((len(x), 1), bool)], axis=1) @ tiled.T) & ~home(x)
 
     rest = cut_lineage(asked.join(reach, "qid", "left").select("qid", "embedding", "reach").mapInArrow(met(others), asking))  # counted, then searched
     return top_per_group(near.drop("rank").unionByName(searched(rest).drop("rank")), ["qid", "hint"], [F.col("distance"), F.col("id")], k, "rank")
