@@ -21,14 +21,13 @@ def active(df: DataFrame) -> DataFrame:
 def endpoints(edges: DataFrame, *cols: str) -> DataFrame:
     """One row per (edge, end): the node ``nid``, its neighbour ``nbr`` and ``out`` direction.
 
-    Replaces every ``source = x OR target = x`` join by an equi-join. A self-loop gives one row.
+    Replaces every ``source = x OR target = x`` join by an equi-join. A self-loop gives one row. The edges are read once.
     """
-    fwd = edges.select(F.col("id").alias("edge_id"), F.col("source_id").alias("nid"),
-                       F.col("target_id").alias("nbr"), F.lit(True).alias("out"), *cols)
-    back = (edges.where("source_id <> target_id")
-            .select(F.col("id").alias("edge_id"), F.col("target_id").alias("nid"),
-                    F.col("source_id").alias("nbr"), F.lit(False).alias("out"), *cols))
-    return fwd.unionAll(back)
+    def end(nid: str, nbr: str, out: bool) -> Column:
+        return F.struct(F.col("id").alias("edge_id"), F.col(nid).alias("nid"), F.col(nbr).alias("nbr"), F.lit(out).alias("out"), *cols)
+
+    fwd, back = end("source_id", "target_id", True), end("target_id", "source_id", False)
+    return edges.select(F.inline(F.when(F.col("source_id") != F.col("target_id"), F.array(fwd, back)).otherwise(F.array(fwd))))
 
 
 def touched(edges: DataFrame) -> DataFrame:
@@ -117,11 +116,13 @@ def reachable(edges: DataFrame, seeds: DataFrame, depth: int = O.GRAPH_MAX_HOPS)
     """
     pool = endpoints(reasoning_edges(edges)).select("nid", "nbr")
     seen = seeds.select("qid", "id").distinct()
-    frontier = seen
-    for _ in range(depth):
+    frontier = held(seen, HELD)
+    for hop in range(depth):
         step = (frontier.join(pool, frontier["id"] == pool["nid"])
                 .select("qid", F.col("nbr").alias("id")).distinct())
         frontier = step.join(seen, ["qid", "id"], "left_anti")
+        if hop + 1 < depth:
+            frontier = held(frontier, HELD)  # of known size: a short one is sent to the edges
         seen = seen.unionAll(frontier)
     return seen.join(seeds, ["qid", "id"], "left_anti")
 
@@ -150,6 +151,14 @@ def build_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return cut_lineage(pool.join(visits_of(nodes).withColumnRenamed("id", "nbr"), "nbr"))
 
 
+def graph_at(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``build_graph`` around a list of nodes: only edges that end in one of them are checked and shuffled."""
+    near = live_edges(nodes, edges_at(reasoning_edges(edges), ids))
+    own = ids.select(F.col("id").alias("nid")).distinct()
+    pool = endpoints(near, "relation", "strength", "generation_method").join(own, "nid", "left_semi")
+    return pool.join(visits_of(nodes).withColumnRenamed("id", "nbr"), "nbr")
+
+
 def ucb_traverse(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = O.GRAPH_MAX_HOPS,
                  width: int = O.TRAVERSAL_WIDTH, apply_penalty: bool = False, graph: DataFrame | None = None) -> DataFrame:
     """Upper-confidence traversal: per hop the ``width`` best unvisited neighbours of each query.
@@ -157,15 +166,15 @@ def ucb_traverse(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: in
     ``seeds`` has (qid, id, c). Parallel edges of one direction collapse to the
     latest; an outgoing edge is preferred to an incoming one. The frontier has
     at most ``width`` rows per query. While it is short it is sent to the
-    adjacency, so that only the edges it touches are shuffled; the frontier of a
-    large batch is a checkpoint and joined by id.
+    edges (or to the ``graph`` of ``build_graph``, where many batches share one), so that only
+    those it touches are shuffled; the frontier of a large batch is a checkpoint and joined by id.
     """
-    graph = build_graph(nodes, edges) if graph is None else graph
     known = held(visits_of(nodes).join(seeds.select("id").distinct(), "id", "left_semi"), HELD)
     frontier = held(seeds.join(known, "id", "left").select("qid", "c", "id", F.coalesce("visits", F.lit(1)).alias("n_i")), HELD)
     seen, out = frontier.select("qid", "id"), None
     for _ in range(depth):
-        hop = (graph.join(frontier.withColumnRenamed("id", "nid"), "nid")
+        pool = graph_at(nodes, edges, frontier.select("id")) if graph is None else graph
+        hop = (pool.join(frontier.withColumnRenamed("id", "nid"), "nid")
                .withColumnRenamed("nbr", "id").join(seen, ["qid", "id"], "left_anti"))
         hop = best_row(hop, ["qid", "c", "nid", "n_i", "id", "visits"], F.struct("out", "edge_id"),
                        ["relation", "strength", "generation_method"])

@@ -54,8 +54,13 @@ def sprt_verdict(history: Column, min_obs: int = O.SPRT_MIN_OBS) -> Column:
     return F.when(F.size(history) < min_obs, "open").otherwise(verdict)
 
 
-def score_history(log: DataFrame, keep: int = O.SPRT_HISTORY) -> DataFrame:
-    """Latest ``keep`` scores of each node in time order; a rank limit bounds every list before the shuffle."""
+def score_history(log: DataFrame, keep: int = O.SPRT_HISTORY, among: DataFrame | None = None) -> DataFrame:
+    """Latest ``keep`` scores of each node in time order; a rank limit bounds every list before the shuffle.
+
+    With ``among`` (id), a short list that should be held, only its nodes' scores leave the scan.
+    """
+    if among is not None:
+        log = log.join(among.select(F.col("id").alias("node_id")), "node_id", "left_semi")
     last = top_per_group(log.select("node_id", "ts", "id", F.round("score", 4).alias("score")),
                          ["node_id"], [F.desc("ts"), F.desc("id")], keep)
     ordered = F.sort_array(F.collect_list(F.struct("ts", "id", "score")))

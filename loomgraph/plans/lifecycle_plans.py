@@ -53,7 +53,7 @@ def lc03_log(t):
 
 def _learnt(t, k=5):
     ranked = _ranked(t, k).select("qid", "id", "rank", "score", "type", "layer")
-    return L.learn(t.nodes, t.edges, L.score_history(t.recall_log), ranked, REQUESTS, AS_OF)
+    return L.learn(t.nodes, t.edges, L.score_history(t.recall_log, among=ranked), ranked, REQUESTS, AS_OF)
 
 
 STEP = "CASE WHEN a[i] > 0.5 THEN ln(CAST(0.7 AS DOUBLE) / 0.3) ELSE ln(CAST(0.3 AS DOUBLE) / 0.7) END"
