@@ -1,6 +1,8 @@
 """Would a dependency close a cycle? Batch reachability by contraction, then search from both sides.
 
-A run of tasks with one way on and one way in is folded to one node, by pointer jumping, so that a long chain costs rounds in proportion
+Where only one way leads to a task, a question that ends there ends as well at the task before: such tasks form trees, in which a question
+is answered by depth, or moves to the root of its tree, in rounds by the logarithm of the depth; the same from the other end. What is
+left after that is folded. A run of tasks with one way on and one way in is folded to one node, by pointer jumping, so that a long chain costs rounds in proportion
 to the logarithm of its length and each task a row per round. Questions inside a run are answered by the places in it; all others
 move on to the runs of their two tasks. Runs that no question can pass (nothing leads into them and none starts there, or nothing
 leads on and none ends there) are peeled off; both steps alternate while they take off a fifth of the ways. What remains is searched from both ends,
@@ -44,6 +46,42 @@ def folded(edges: DataFrame) -> DataFrame | None:
     return rows.select("id", F.when(F.col("done"), F.col("at")).otherwise(F.col("low")).alias("run"), "place", (~F.col("done")).alias("ring"))
 
 
+def lifted(edges: DataFrame, open_: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """Questions (a, b, x, y), x <> y, whose y moves back along the only ways in: (those with x on that path, the others).
+
+    Nodes with one way in form trees below nodes with none or several. ``levels[j]`` holds the node 2^j steps up from each, or the root.
+    A question is answered if x is the node as many steps above y as their depths differ; else every way to y comes by the root, where it
+    ends from now on. What is below a ring has no root and stays.
+    """
+    ins = edges.groupBy(F.col("v").alias("id")).agg(F.count("*").alias("m"), F.min("u").alias("at")).where("m = 1")
+    links = ins.join(ins.select(F.col("id").alias("at"), F.lit(True).alias("inner")), "at", "left")
+    rows = cut_lineage(links.select("id", "at", F.lit(1).cast("bigint").alias("place"), F.col("inner").isNull().alias("done")))  # (id, node above, steps)
+    many, levels = rows.count(), [rows]
+    if not many:
+        return None, open_
+    for _ in range(math.ceil(math.log2(many + 1)) + 1):
+        if rows.where("not done").isEmpty():
+            break
+        ahead = rows.select(F.col("id").alias("at"), F.col("at").alias("at2"), F.col("place").alias("place2"), F.col("done").alias("done2"))
+        step = rows.where("not done").join(ahead, "at").select("id", F.col("at2").alias("at"), (F.col("place") + F.col("place2")).alias("place"), F.col("done2").alias("done"))
+        rows = cut_lineage(rows.where("done").unionAll(step))
+        levels.append(rows)
+    side = lambda c: rows.where("done").select(F.col("id").alias(c), F.col("at").alias(f"{c}_root"), F.col("place").alias(f"{c}_depth"))
+    at = open_.join(side("x"), "x", "left").join(side("y"), "y", "left").select(
+        "a", "b", "x", "y", F.coalesce("x_root", "x").alias("top"), F.coalesce("y_root", "y").alias("root"),
+        (F.coalesce("y_depth", F.lit(0)) - F.coalesce("x_depth", F.lit(0))).alias("steps"), F.col("y").alias("now"))
+    at = cut_lineage(at)
+    walk = cut_lineage(at.where("top = root AND steps > 0").select("a", "b", "x", "now", "steps"))
+    left = walk.agg(F.max("steps")).first()[0] or 0
+    for j, level in enumerate(levels[: left.bit_length()]):
+        bit = F.col("steps").bitwiseAND(F.lit(1 << j)) != 0
+        jump = walk.where(bit).join(level.select(F.col("id").alias("now"), "at"), "now").select("a", "b", "x", F.col("at").alias("now"), "steps")
+        walk = cut_lineage(walk.where(~bit).unionByName(jump))
+    met_ = walk.where("x = now").select("a", "b")
+    rest = at.join(met_, ["a", "b"], "left_anti").select("a", "b", "x", F.col("root").alias("y"))
+    return met_.select(F.col("a").alias("x"), F.col("b").alias("y")), rest
+
+
 def reachable_pairs(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of ``pairs`` (x, y) with a way from x to y along ``edges`` (u, v); a node reaches itself."""
     asked = pairs.where("x IS NOT NULL AND y IS NOT NULL").select("x", "y").distinct()
@@ -51,6 +89,15 @@ def reachable_pairs(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     edges = cut_lineage(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select("u", "v").distinct())
     # a question has at least one step to go: (a, b) as asked, from x to y as they are now
     open_ = cut_lineage(asked.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"), "x", "y"))
+    for u, v, x, y in (("u", "v", "x", "y"), ("v", "u", "y", "x")):  # from the ends, then from the starts
+        turned = open_.select("a", "b", F.col(x).alias("x"), F.col(y).alias("y"))
+        hit, turned = lifted(edges.select(F.col(u).alias("u"), F.col(v).alias("v")), turned)
+        if hit is not None:
+            answered.append(hit)
+        open_ = turned.select("a", "b", F.col(x).alias("x"), F.col(y).alias("y"))
+        open_ = cut_lineage(open_.join(edges.select(F.col("u").alias("x")).distinct(), "x", "left_semi").join(edges.select(F.col("v").alias("y")).distinct(), "y", "left_semi"))
+        if open_.isEmpty():
+            return united(answered)
     before = edges.count()
     while True:
         ends = open_.select(F.col("x").alias("id"), F.lit(True).alias("start")).union(open_.select("y", F.lit(False))).distinct()
@@ -85,6 +132,10 @@ def reachable_pairs(edges: DataFrame, pairs: DataFrame) -> DataFrame:
         before = size
     if not open_.isEmpty():
         answered.append(met(edges, open_))
+    return united(answered)
+
+
+def united(answered: list[DataFrame]) -> DataFrame:
     out = answered[0]
     for more in answered[1:]:
         out = out.unionByName(more)

@@ -56,6 +56,16 @@ def test_a_long_chain_with_many_questions(spark, monkeypatch):
     assert max(rows) <= 3001 and len(rows) < 40  # no row per question and task, and rounds by the logarithm
 
 
+def test_a_tree_moves_questions_to_its_root(spark, monkeypatch):
+    monkeypatch.setattr(C, "met", lambda *a: 1 / 0)  # nothing is left to search
+    edges = [(i // 2, i) for i in range(2, 500)]
+    rnd = random.Random(2)
+    pairs = [(i, i + i % 5) for i in range(1, 500)] + [(rnd.randrange(1, 20), rnd.randrange(1, 500)) for _ in range(200)] + [(0, 4), (4, 900)]
+    assert pairs_of(spark, edges, pairs) == closure(edges, pairs)
+    turned = [(v, u) for u, v in edges]
+    assert pairs_of(spark, turned, [(y, x) for x, y in pairs]) == closure(turned, [(y, x) for x, y in pairs])
+
+
 def test_proposed_dependencies(spark):
     deps = spark.createDataFrame([(2, 1), (3, 2), (4, 2)], "task_id bigint, blocked_by bigint")
     asked = spark.createDataFrame([(1, 4, "a"), (4, 3, "b"), (5, 5, "c"), (1, 3, "d"), (3, 1, "e"), (None, 1, "f")], "task_id bigint, blocked_by bigint, note string")
