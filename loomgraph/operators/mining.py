@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph import ontology as O
 from loomgraph.functions import text as T
 from loomgraph.operators import graph as G
-from loomgraph.operators.scale import shared_item_counts, top_per_group
+from loomgraph.operators.scale import shared_item_sums, top_per_group
 
 
 def co_retrieval(log: DataFrame, edges: DataFrame, min_count: int = 5, hub_percentile: int = 95,
@@ -22,23 +22,17 @@ def co_retrieval(log: DataFrame, edges: DataFrame, min_count: int = 5, hub_perce
     """
     if exclude_queries:
         log = log.where(~F.col("query").isin(exclude_queries))
-    named = log.where("recall_id IS NOT NULL").select("node_id", F.col("recall_id").alias("grp"))
-    legacy = log.where("recall_id IS NULL").select("node_id", F.concat_ws("|", "query", F.col(legacy_stamp).cast("string")).alias("grp"))
-    hub = G.hubs(edges, hub_percentile).select("id")
-    named, legacy = (shared_item_counts(rows, "node_id", "grp", min_count, hub) for rows in (named, legacy))
-    boost = F.round(F.least(F.lit(0.1) * (F.col("co_count") - min_count + 1), F.lit(0.5)), 6)
+    named = log.where("recall_id IS NOT NULL").select(F.col("node_id").alias("n"), F.col("recall_id").alias("g"))
+    legacy = log.where("recall_id IS NULL").select(F.col("node_id").alias("n"), F.concat_ws("|", "query", F.col(legacy_stamp).cast("string")).alias("g"))
     old = G.active(edges).where("relation = 'co_retrieved'")
     if archive_existing:
         old = old.where("coalesce(generation_method, '') <> 'co_retrieval'")
-    old = old.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.col("id").alias("edge_id")).where("a < b")
-    # pairs may be far more than rows: those of the larger sessions are shuffled once, and never aggregated
-    more = (named.withColumn("edge_id", F.lit(None).cast(old.schema["edge_id"].dataType)).unionByName(old, allowMissingColumns=True)
-            .groupBy("a", "b").agg(F.sum("shared").alias("more"), F.min("edge_id").alias("edge_id")))
-    counts = legacy.join(more, ["a", "b"], "full_outer").where("shared IS NOT NULL OR more IS NOT NULL").withColumn(
-        "co_count", F.coalesce("shared", F.lit(0)) + F.coalesce("more", F.lit(0)))
+    old = old.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.col("id").alias("mark")).where("a < b")
+    counts = shared_item_sums([named, legacy], min_count, G.hubs(edges, hub_percentile), old)
+    boost = F.round(F.least(F.lit(0.1) * (F.col("shared") - min_count + 1), F.lit(0.5)), 6)
     return counts.select(
-        F.col("a").alias("source_id"), F.col("b").alias("target_id"), "co_count", boost.alias("boost"), "edge_id",
-        F.when(F.col("edge_id").isNull(), "insert").otherwise("update").alias("action"))
+        F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.col("shared").alias("co_count"), boost.alias("boost"), F.col("mark").alias("edge_id"),
+        F.when(F.col("mark").isNull(), "insert").otherwise("update").alias("action"))
 
 
 def features(nodes: DataFrame) -> DataFrame:

@@ -8,8 +8,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
+from loomgraph.operators.cells import pairs_in_cells
 from loomgraph.session import cut_lineage
 
 
@@ -63,8 +64,9 @@ def carry_previous(df: DataFrame, key: str, bucket: Column, order: list[str], va
             .drop("_b", "_lag", "_pos", "_carry"))
 
 
-#: Largest group whose pairs are proposed outright, nodes of a block, cells of a node's sketch, members of a list of a class.
-LIGHT, BLOCK, CELLS, CHUNK = 32, 1_000, 64, 500
+#: Largest group whose pairs are proposed outright, nodes of a block, cells of a node's sketch, members of a list of a class, largest
+#: group that is not wide.
+LIGHT, BLOCK, CELLS, CHUNK, WIDE = 32, 1_000, 64, 500, 1_000
 
 
 def shared_item_candidates(prefix: DataFrame, live: DataFrame, min_shared: int) -> DataFrame:
@@ -139,8 +141,8 @@ def unfolded(classes: DataFrame, counts: DataFrame, apart: DataFrame | None) ->
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared")
 
 
-def shared_item_counts(log: DataFrame, node: str, group: str, min_shared: int, apart: DataFrame | None = None) -> DataFrame:
-    """Node pairs ``a < b`` that meet in at least ``min_shared`` groups, with the count; exact. Two nodes of ``apart`` (id) are no pair.
+def near_counts(rows: DataFrame, min_shared: int, apart: DataFrame | None) -> DataFrame:
+    """(a, b, shared), ``a < b``: pairs that share at least ``min_shared`` groups of ``rows`` (n, g, wide), one of them not wide.
 
     Nodes of the same groups are counted once, through a representative, and come back as pairs at the end: nothing before the answer
     grows with the square of the nodes where the groups are few.
@@ -148,15 +150,12 @@ def shared_item_counts(log: DataFrame, node: str, group: str, min_shared: int, a
     Two nodes that share ``t`` groups must share one among each node's ``n - t + 1`` smallest groups, because at most ``t - 1`` shared
     groups can lie outside that prefix. Groups are ordered by size, so the largest ones tend to fall outside the
     prefixes. Pairs of small groups, and those of large ones whose upper bound reaches the threshold, are then counted over the full
-    log by two equi-joins.
+    log by two equi-joins. Wide groups come last in the order: a pair that meets first in such a one shares no other.
     """
-    pairs = log.select(F.col(node).alias("n"), F.col(group).alias("g")).distinct()
-    met = pairs.groupBy("g").agg(F.count("*").alias("size")).where(F.col("size") >= 2).select("g")
-    every = cut_lineage(pairs.join(met, "g"))  # narrow, and read several times below
-    classes = cut_lineage(folded(every).where(F.col("k") >= min_shared))
+    classes = cut_lineage(folded(rows).where(F.col("k") >= min_shared))
     within = classes.groupBy("rep").agg(F.count("*").alias("m"), F.first("k").alias("shared")).where("m > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), "shared")
 
-    reps = every.join(classes.where("n = rep").select("n"), "n", "left_semi")
+    reps = rows.join(classes.where("n = rep").select("n"), "n", "left_semi")
     sizes = reps.groupBy("g").agg(F.count("*").alias("size")).where(F.col("size") >= 2)
     live = cut_lineage(reps.join(sizes, "g"))
     per_node = live.groupBy("n").agg(F.count("*").alias("k")).where(F.col("k") >= min_shared)
@@ -164,9 +163,9 @@ def shared_item_counts(log: DataFrame, node: str, group: str, min_shared: int, a
     # the t - 1 largest groups of a node are outside its prefix; finding those is a rank limit
     prefix = live
     if min_shared > 1:
-        largest = top_per_group(live.select("n", "g", "size"), ["n"], [F.desc("size"), F.desc("g")], min_shared - 1)
+        largest = top_per_group(live.select("n", "g", "size", "wide"), ["n"], [F.desc("wide"), F.desc("size"), F.desc("g")], min_shared - 1)
         prefix = live.join(largest.select("n", "g"), ["n", "g"], "left_anti")
-    cand = shared_item_candidates(prefix, live, min_shared)
+    cand = shared_item_candidates(prefix.where("NOT wide"), live, min_shared)
     # count over the shorter history of the two, so that a node seen everywhere is not expanded per partner
     ka = per_node.select(F.col("n").alias("a"), F.col("k").alias("ka"))
     kb = per_node.select(F.col("n").alias("b"), F.col("k").alias("kb"))
@@ -180,6 +179,65 @@ def shared_item_counts(log: DataFrame, node: str, group: str, min_shared: int, a
     return unfolded(classes, between.unionAll(within), apart)
 
 
+def shared_item_parts(log: DataFrame, min_shared: int, apart: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+    """Of a log of (n, g): the counts (a, b, shared) of pairs that share a group which is not wide, and (n, s), the wide groups of each
+    node that has ``min_shared`` of them, as numbers. Either is None where there is no such group.
+
+    Groups of more than ``WIDE`` nodes are wide, if comparing all of their nodes costs less than doing so group by group.
+    """
+    pairs = log.where("n IS NOT NULL AND g IS NOT NULL").distinct()
+    sizes = pairs.groupBy("g").agg(F.count("*").alias("nodes")).where("nodes >= 2")
+    every = cut_lineage(pairs.join(sizes, "g"))  # narrow, and read several times below
+    large = every.where(F.col("nodes") > WIDE)
+    many, work = large.agg(F.count_distinct("n"), F.sum("nodes")).first()
+    if not work or many * many > CELLS * work:
+        return near_counts(every.select("n", "g", F.lit(False).alias("wide")), min_shared, apart), None
+    numbers = numbered(large.select("g").distinct(), "g", "i").select("g", "i")
+    sets = large.join(numbers, "g").groupBy("n").agg(F.collect_list("i").alias("s")).where(F.size("s") >= min_shared)
+    small = every.where(F.col("nodes") <= WIDE).select("n").distinct()
+    if small.isEmpty():
+        return None, sets
+    return near_counts(every.select("n", "g", (F.col("nodes") > WIDE).alias("wide")).join(small, "n", "left_semi"), min_shared, apart), sets
+
+
+def shared_item_sums(logs: list[DataFrame], min_shared: int, apart: DataFrame | None = None, marks: DataFrame | None = None) -> DataFrame:
+    """(a, b, shared, mark): node pairs ``a < b`` that meet in at least ``min_shared`` groups of a log of (n, g), with the count; exact.
+
+    Counts that reach the threshold are summed over the logs. Two nodes of ``apart`` (id) are no pair. ``marks`` (a, b, mark), ``a < b``:
+    a pair that comes out gets its smallest mark. Pairs that meet in wide groups only may be far more than rows; they are counted, summed
+    and marked in one place (``pairs_in_cells``) and never shuffled.
+    """
+    if apart is not None:
+        apart = cut_lineage(apart.select("id").distinct())
+    parts = [shared_item_parts(log.select("n", "g"), min_shared, apart) for log in logs]
+    node = logs[0].schema["n"].dataType
+    spark, kinds = logs[0].sparkSession, range(len(logs))
+    marks = marks if marks is not None else spark.createDataFrame([], StructType([StructField("a", node), StructField("b", node), StructField("mark", LongType())]))
+    known = marks.select("a", "b", *[F.lit(None).cast("bigint").alias(f"c{i}") for i in kinds], "mark")
+    for i, (near, _) in enumerate(parts):
+        if near is not None:
+            known = known.unionByName(near.select("a", "b", F.col("shared").alias(f"c{i}")), allowMissingColumns=True)
+    known = known.groupBy("a", "b").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in kinds], F.min("mark").alias("mark"))
+    if not any(sets is not None for _, sets in parts):
+        counts = [F.col(f"c{i}") for i in kinds]
+        return known.where(F.coalesce(*counts).isNotNull()).select("a", "b", sum(F.coalesce(c, F.lit(0).cast("bigint")) for c in counts).alias("shared"), "mark")
+    nodes = None
+    for i, (_, sets) in enumerate(parts):
+        if sets is not None:
+            own = sets.select("n", *[(F.col("s") if i == j else F.lit(None).cast("array<bigint>")).alias(f"s{j}") for j in kinds])
+            nodes = own if nodes is None else nodes.unionAll(own)
+    nodes = nodes.groupBy("n").agg(*[F.first(f"s{i}", ignorenulls=True).alias(f"s{i}") for i in kinds])
+    barred = F.lit(False)
+    if apart is not None:
+        nodes, barred = nodes.join(apart.select(F.col("id").alias("n"), F.lit(True).alias("_m")), "n", "left"), F.coalesce("_m", F.lit(False))
+    return pairs_in_cells(nodes.withColumn("barred", barred).drop("_m"), known, len(logs), min_shared)
+
+
+def shared_item_counts(log: DataFrame, node: str, group: str, min_shared: int, apart: DataFrame | None = None) -> DataFrame:
+    """Node pairs ``a < b`` that meet in at least ``min_shared`` groups, with the count; exact. Two nodes of ``apart`` (id) are no pair."""
+    return shared_item_sums([log.select(F.col(node).alias("n"), F.col(group).alias("g"))], min_shared, apart).select("a", "b", "shared")
+
+
 def held(df: DataFrame, most: int) -> DataFrame:
     """A result that later steps shall not compute again: up to ``most`` rows as a local relation, else in a checkpoint.
 
