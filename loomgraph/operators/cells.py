@@ -14,8 +14,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from loomgraph.session import cut_lineage
 
-#: Nodes of a block, blocks worth having for the sake of tasks and the nodes that make up such a one, nodes compared with a block
-#: at a time, given pairs of a cell, partitions at most.
+#: Nodes of a block; so many blocks at least, for the sake of tasks, if each has so many nodes; nodes of a block that are compared with the
+#: other at a time; given pairs of a cell; partitions at most.
 CELL, SPREAD, LEAST, ROWS, GIVEN, PARTS = 8_192, 8, 1_000, 64, 2_000_000, 4_000
 
 

@@ -26,7 +26,8 @@ def all_pairs(rows, least):
 def test_sums_of_small_and_large_groups_equal_all_pairs(spark, monkeypatch, name, kind):
     """Groups of a few and of most nodes, two logs, repeated rows, nulls, nodes that are no pair, several marks of a pair; many cells."""
     monkeypatch.setattr(scale, "WIDE", 30)
-    monkeypatch.setattr(cells, "CELL", 40)
+    monkeypatch.setattr(cells, "GIVEN", 20)  # more blocks than nodes ask for
+    monkeypatch.setattr(cells, "PARTS", 8)
     rnd = random.Random(3)
     first = [(name(rnd.randrange(100)), f"g{int(rnd.random() ** 2 * 12)}") for _ in range(600)] + [(name(rnd.randrange(130)), f"l{rnd.randrange(90)}") for _ in range(500)]
     second = [(name(rnd.randrange(90)), f"h{rnd.randrange(80)}" if rnd.random() < 0.2 else f"w{rnd.randrange(70)}") for _ in range(3_000)]  # over 64 large ones
